@@ -184,7 +184,7 @@ def context_summary(
         *[F.avg(f"rmse_at_{h}").alias(f"mean_rmse_at_{h}") for h in baseline.report_horizons],
         F.avg(F.when(learned, F.col("rec_skill"))).alias("mean_recording_skill"),
         F.avg("base").alias("persistence_mean"),
-        *[F.when(F.first("model") != PERSISTENCE, c).alias(f"{k}_vs_persistence") for k, c in win_loss_tie(F.col("delta")).items()],
+        *[F.when(learned, c).alias(f"{k}_vs_persistence") for k, c in win_loss_tie(F.col("delta")).items()],
     )
     boot = bootstrap_ci(rows, keys, "rmse_all_horizons", order, spec, bounded)
     renamed = {"mean": "mean_rmse", "median": "median_rmse", "std": "sd_rmse", "min": "min_rmse", "max": "max_rmse"}
