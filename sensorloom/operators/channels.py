@@ -294,9 +294,10 @@ def extreme_values(streams: DataFrame, native: DataFrame | None = None, half: in
 
     # The few rows around each peak, fetched by exact (recording, idx) keys.
     offsets = F.explode(F.array(*[F.lit(i) for i in range(-half, half + 1) if i]))
-    near = peaks.select(*RECORDING, (F.col("peak_idx") + offsets).alias("idx")).join(
-        streams.select(*RECORDING, "idx", "q_f"), [*RECORDING, "idx"]
+    wanted = peaks.select(*RECORDING, "peak_idx", offsets.alias("offset")).select(
+        *RECORDING, (F.col("peak_idx") + F.col("offset")).alias("idx")
     )
+    near = wanted.join(streams.select(*RECORDING, "idx", "q_f"), [*RECORDING, "idx"])
     around = near.groupBy(*RECORDING).agg(F.median("q_f").alias("neighbour_median"))
     equal = (
         streams.select(*RECORDING, "q_f")

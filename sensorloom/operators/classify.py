@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
 from sensorloom.functions.scalar import yes_no
+from sensorloom.operators.rows import side_by_side, union_all
 
 # Reasons of the usability rules.
 NO_IMU = "IMU acceleration/angular velocity not available"
@@ -125,10 +126,7 @@ def audit_verdict(evidence: DataFrame) -> DataFrame:
 
 def primary_set(tables: Sequence[DataFrame]) -> DataFrame:
     """Eligible recordings of all datasets."""
-    union = tables[0]
-    for df in tables[1:]:
-        union = union.unionByName(df, allowMissingColumns=True)
-    return union.filter(F.col("usable_status") == "USABLE_PRIMARY")
+    return union_all(*tables).filter(F.col("usable_status") == "USABLE_PRIMARY")
 
 
 def stage_verdict(integrity: DataFrame, findings: DataFrame, hashes: DataFrame, channels: DataFrame) -> DataFrame:
@@ -154,10 +152,7 @@ def stage_verdict(integrity: DataFrame, findings: DataFrame, hashes: DataFrame,
         .when(F.col("near_constant") | F.col("major"), "CONDITIONAL_PASS")
         .otherwise("PASS")
     )
-    row = flat
-    for one in (good, found, locked):  # one-row tables
-        row = row.join(F.broadcast(one), F.lit(True))
-    return row.withColumn("decision", decision)
+    return side_by_side(flat, good, found, locked).withColumn("decision", decision)
 
 
 def acquisition_verdict(usable: DataFrame, checks: Mapping[str, Column | bool], downloaded: bool, needed: int = 6) -> DataFrame:
@@ -213,7 +208,7 @@ def residual_gate(summary: DataFrame, predictability: DataFrame, within: Sequenc
         .when((bw <= 0.05) & (F.col("median_ratio") > 0.3), "ADVANCED_MODELS_JUSTIFIED")
         .otherwise("ADVANCED_MODELS_LOW_PRIORITY")
     )
-    return best.join(F.broadcast(ratio), F.lit(True)).withColumn("gate", label)
+    return side_by_side(best, ratio).withColumn("gate", label)
 
 
 def gain_flags(deltas: DataFrame, seed_spread: DataFrame) -> DataFrame:
@@ -317,7 +312,7 @@ def key_findings(summary: DataFrame, paired: DataFrame, within_first: str, withi
         F.struct(F.lit(k).alias("finding"), v.alias("status"))
         for k, v in (("A", support(a)), ("B", support(b)), ("C", support(c)), ("D", support(dd, "PARTIALLY_SUPPORTED")), ("E", support(e)))
     ])
-    return s.join(F.broadcast(d), F.lit(True)).join(F.broadcast(winners), F.lit(True)).select(F.inline(rows))
+    return side_by_side(s, d, winners).select(F.inline(rows))
 
 
 def compatibility(meta: DataFrame, a: str, b: str, n_available: Column | int = 6) -> DataFrame:

@@ -149,11 +149,10 @@ def fit_models(train: DataFrame, keys: Sequence[str], spec: WindowSpec, shift: t
     """Fitted models: one per train row and matching config.
 
     `train` has the keys, `n_rec`, `n_windows` and summed `moments`; `configs` has
-    model, lag, alpha and, optionally, some of the keys. Inputs are in channel units.
+    model, lag, alpha and at least one of the keys. Inputs are in channel units.
     """
     layout = Moments(spec.lookback, spec.horizon)
-    shared = [k for k in keys if k in configs.columns]
-    jobs = train.join(configs, shared) if shared else train.join(F.broadcast(configs))
+    jobs = train.join(configs, [k for k in keys if k in configs.columns])
     key_types = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators.rows import union_all
+
 
 def verify_hashes(expected: DataFrame, observed: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """PASS, FAIL or MISSING per expected artefact."""
@@ -65,10 +67,7 @@ def rename_models(results: DataFrame, names: Mapping[str, str]) -> DataFrame:
 def union_contexts(tables: Mapping[str, DataFrame], names: Mapping[str, str]) -> DataFrame:
     """Context-tagged result tables as one, with published model names."""
     tagged = [df.withColumn("evaluation_context", F.lit(c)) for c, df in tables.items()]
-    union = tagged[0]
-    for df in tagged[1:]:
-        union = union.unionByName(df, allowMissingColumns=True)
-    return rename_models(union, names)
+    return rename_models(union_all(*tagged), names)
 
 
 def relabel_baseline(results: DataFrame, model: str, alias: str) -> DataFrame:
@@ -86,23 +85,13 @@ def relabel_baseline(results: DataFrame, model: str, alias: str) -> DataFrame:
 def merge_manifests(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Union of manifests; the earlier table wins on equal keys."""
     tagged = [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(tables)]
-    union = tagged[0]
-    for df in tagged[1:]:
-        union = union.unionByName(df, allowMissingColumns=True)
+    union = union_all(*tagged)
     values = [c for c in union.columns if c not in (*keys, "source_rank")]
     # The remaining columns break ties inside one table.
     first = F.min_by(F.struct(*values), F.struct("source_rank", *values))
     return union.groupBy(*keys).agg(first.alias("row")).select(*keys, "row.*")
 
 
-def exactly_one(df: DataFrame, condition: Column, what: str) -> DataFrame:
-    """The single row that satisfies `condition`; an error if there is none or several."""
-    found = df.filter(condition)
-    size = found.agg(F.count(F.lit(1)).alias("n"))
-    check = F.assert_true(F.col("n") == 1, F.lit(f"{what}: expected exactly one row"))
-    return found.join(F.broadcast(size.filter(check.isNull())), F.lit(True)).drop("n")
-
-
 def package_check(expectations: DataFrame, inventory: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Required tables present and non-empty, expected values met.
 

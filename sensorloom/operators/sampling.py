@@ -31,11 +31,9 @@ def equal_recording_sample(windows: DataFrame, n_draws: int, seed: int, bounded:
     numbered = ordinal_windows(windows, bounded=bounded)
     counts = windows.groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("n_windows")).withColumn("all", F.lit(1))
     pool = assign_idx(counts, ["all"], list(RECORDING), bounded).withColumnRenamed("idx", "rec_no")
-    n_rec = counts.agg(F.count(F.lit(1)).alias("n_rec"))
+    n_rec = counts.agg(F.count(F.lit(1))).scalar()
     draws = windows.sparkSession.range(n_draws).withColumnRenamed("id", "draw")
-    picked = draws.join(F.broadcast(n_rec), F.lit(True)).select(
-        "draw", F.floor(_uniform(seed, F.col("draw"), "r") * F.col("n_rec")).alias("rec_no")
-    )
+    picked = draws.select("draw", F.floor(_uniform(seed, F.col("draw"), "r") * n_rec).alias("rec_no"))
     located = picked.join(pool, "rec_no").select(
         "draw", *RECORDING, F.floor(_uniform(seed, F.col("draw"), "w") * F.col("n_windows")).alias("w")
     )
@@ -48,6 +46,8 @@ def thin_evenly(windows: DataFrame, most: int, bounded: bool | None = None) -> D
     Row r of n is kept iff r = floor(j(n-1)/(most-1)) for some j, which only needs the
     smallest j that reaches r.
     """
+    if most < 2:
+        raise ValueError("thinning needs at least two windows")
     sizes = windows.groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("n"))
     rows = ordinal_windows(windows, bounded=bounded).join(sizes, list(RECORDING))
     step = (F.col("n") - 1) / F.lit(float(most - 1))
