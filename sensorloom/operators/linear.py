@@ -276,13 +276,13 @@ def channel_scaler(windows: DataFrame, by: Sequence[str] = ("dataset",), use_qw:
     ) / F.size(c)
     per_rec = rows.groupBy(*dict.fromkeys([*by, *RECORDING])).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.first(f"c_{k}").alias(f"c_{k}") for k in parts],
+        *[F.first(f"c_{k}").alias(f"from_{k}") for k in parts],
         *[F.avg(mean_of(c, k)).alias(f"m_{k}") for k, c in parts.items()],
         *[F.avg(square_of(c, k)).alias(f"s_{k}") for k, c in parts.items()],
     )
     pooled = per_rec.groupBy(*by).agg(
         F.sum("n").alias("n_windows"),
-        *[(F.first(f"c_{k}") + F.avg(f"m_{k}")).alias(f"{k}_mean") for k in parts],
+        *[(F.first(f"from_{k}") + F.avg(f"m_{k}")).alias(f"{k}_mean") for k in parts],
         *[F.sqrt(F.greatest(F.avg(f"s_{k}") - F.avg(f"m_{k}") * F.avg(f"m_{k}"), F.lit(0.0))).alias(f"{k}_sd") for k in parts],
     )
     names = {"f": "feature_qf", "w": "feature_qw", "y": "target"}
