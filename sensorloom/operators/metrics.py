@@ -85,7 +85,7 @@ def horizon_rows(results: DataFrame, spec: WindowSpec, by: Sequence[str], dt_ms:
     pairs = F.array(
         *[F.struct(F.lit(h).cast("bigint").alias("horizon_index"), F.col(horizon_name(h)).alias("rmse")) for h in range(1, spec.horizon + 1)]
     )
-    rows = results.select(*by, *RECORDING, F.inline(pairs))
+    rows = results.select(*dict.fromkeys([*by, *RECORDING]), F.inline(pairs))
     return rows.withColumn("horizon_ms", F.col("horizon_index") * dt_ms)
 
 

@@ -102,9 +102,9 @@ def sign_flip_p(df: DataFrame, by: Sequence[str], delta: str, order: str, bounde
         ).alias("d"),
     )
     too_many = F.raise_error(F.lit(f"exact sign-flip needs at most {MAX_SIGN_FLIP} recordings"))
-    patterns = F.when(F.col("n") > MAX_SIGN_FLIP, too_many.cast("bigint")).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.col("n").cast("int")) - 1)
+    patterns = F.when(F.col("n") > MAX_SIGN_FLIP, too_many.cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n").cast("int")) - 1)
     signed = F.aggregate(
-        F.transform("d", lambda v, i: F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, v).otherwise(-v)),
+        F.transform("d", lambda v, i: F.when(F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1, v).otherwise(-v)),
         F.lit(0.0),
         lambda a, v: a + v,
     )
@@ -201,7 +201,7 @@ def horizon_summary(
     by: Sequence[str] = ("evaluation_context", "model"), bounded: bool | None = None,
 ) -> DataFrame:
     """Equal-recording mean per horizon, with intervals if a bootstrap is given."""
-    rows = horizon_rows(results, window_spec, by)
+    rows = horizon_rows(results, window_spec, list(dict.fromkeys([*by, order])))
     keys = [*by, "horizon_index", "horizon_ms"]
     if spec is None:
         return rows.groupBy(*keys).agg(F.avg("rmse").alias("mean_rmse"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,19 +107,26 @@ def pending_jobs(jobs: DataFrame, log: DataFrame, key: str = "job_id") -> DataFr
     return jobs.join(log.select(key), key, "left_anti")
 
 
-def config_grid(spark: SparkSession, configs: Mapping[str, Sequence[Mapping]], columns: Sequence[str], most: int = 12) -> DataFrame:
-    """Nested model configurations as one row per config; list cells become 'a,b,c'.
+def config_grid(configs: DataFrame, most: int | None = None) -> DataFrame:
+    """Model configurations as text cells: lists become 'a,b,c', missing cells blank.
 
-    Config ids must be unique and an architecture may have at most `most` configs.
+    `configs` has architecture, config_id and any further columns. Repeated ids, or more
+    than `most` configurations of an architecture, are errors.
     """
-    rows, seen = [], set()
-    for architecture, items in configs.items():
-        if len(items) > most:
-            raise ValueError(f"{architecture} has more than {most} configs")
-        for item in items:
-            if item["config_id"] in seen:
-                raise ValueError(f"duplicate config_id {item['config_id']}")
-            seen.add(item["config_id"])
-            cell = lambda v: ",".join(str(x) for x in v) if isinstance(v, (list, tuple)) else "" if v is None else str(v)
-            rows.append([architecture] + [cell(item.get(c)) for c in columns])
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("architecture", *columns)))
+    ids = configs.groupBy("config_id").agg(F.count(F.lit(1)).alias("same_id"))
+    checked = configs.join(ids, "config_id")
+    repeated = F.raise_error(F.format_string("duplicate config_id %s", F.col("config_id"))).cast("string")
+    first = F.when(F.col("same_id") > 1, repeated).otherwise(F.col("config_id"))
+    if most is not None:
+        sizes = configs.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_configs"))
+        crowded = F.raise_error(F.format_string(f"%s has more than {most} configs", F.col("architecture"))).cast("string")
+        checked = checked.join(sizes, "architecture")
+        first = F.when(F.col("n_configs") > most, crowded).otherwise(first)
+
+    def cell(name: str) -> Column:
+        kind = configs.schema[name].dataType
+        text = F.array_join(F.col(name).cast("array<string>"), ",") if isinstance(kind, T.ArrayType) else F.col(name).cast("string")
+        return F.coalesce(text, F.lit("")).alias(name)
+
+    rest = [c for c in configs.columns if c not in ("architecture", "config_id")]
+    return checked.select("architecture", first.alias("config_id"), *[cell(c) for c in rest])
