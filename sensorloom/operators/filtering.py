@@ -66,8 +66,11 @@ def memory_rows(sos: Sos) -> int:
     return rows
 
 
-def filter_block(sos: Sos, x: np.ndarray) -> np.ndarray:
-    """Zero-state response, computed chunk-wise as matrix products."""
+def filter_block(sos: Sos, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Response to x from a starting state (zero by default), and the end state.
+
+    Rows are handled in chunks, as matrix products; only the chunk states recur.
+    """
     A, B, C, D = state_space(sos)
     n, m = len(B), CHUNK
     powers = [np.eye(n)]
@@ -79,14 +82,18 @@ def filter_block(sos: Sos, x: np.ndarray) -> np.ndarray:
     respond = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     charge = np.array([powers[m - 1 - i] @ B for i in range(m)])  # inputs -> end state
 
-    padded = np.zeros(-(-len(x) // m) * m)
+    whole, rest = divmod(len(x), m)
+    padded = np.zeros((whole + (rest > 0)) * m)
     padded[: len(x)] = x
     chunks = padded.reshape(-1, m)
     ends = chunks @ charge
-    states = np.zeros((len(chunks), n))
-    for i in range(1, len(chunks)):
-        states[i] = powers[m] @ states[i - 1] + ends[i - 1]
-    return (chunks @ respond.T + states @ observe.T).ravel()[: len(x)]
+    states = np.zeros((whole + 1, n))
+    states[0] = 0.0 if state is None else state
+    for i in range(whole):
+        states[i + 1] = powers[m] @ states[i] + ends[i]
+    out = (chunks @ respond.T + states[: len(chunks)] @ observe.T).ravel()[: len(x)]
+    final = powers[rest] @ states[whole] + (chunks[whole, :rest] @ charge[m - rest :] if rest else 0.0)
+    return out, final
 
 
 def causal_filter(samples: DataFrame, sos: Sos, columns: Sequence[str] = ("q_f", "q_w"), block_rows: int = 8 * BLOCK_ROWS) -> DataFrame:
@@ -98,7 +105,7 @@ def causal_filter(samples: DataFrame, sos: Sos, columns: Sequence[str] = ("q_f",
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
         for c in columns:
-            pdf[c] = filter_block(sos, pdf[c].to_numpy(float))
+            pdf[c], _ = filter_block(sos, pdf[c].to_numpy(float))
         return pdf.loc[pdf["own"], names]
 
     blocks = halo_rows(samples, memory, 0, size)

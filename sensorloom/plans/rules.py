@@ -69,7 +69,7 @@ integ AS (SELECT {KEY}, count(*) AS n_samples, count(*) > 1 AND min(fx) = max(fx
   count(*) FILTER (WHERE dt < 0) AS backward_count, arg_max(ts_s, idx) - arg_min(ts_s, idx) AS duration_s, arg_min(ts_s, idx) AS a0, arg_max(ts_s, idx) AS a1,
   (6 * count(*) - count(*) FILTER (WHERE wz IS NULL)) / (6.0 * count(*)) AS ff FROM imu_steps GROUP BY ALL),
 ref AS (SELECT {KEY}, count(*) AS n_reference, arg_min(ts_s, idx) AS b0, arg_max(ts_s, idx) AS b1 FROM imu WHERE fy >= 0.09 AND recording_id <> 's5' GROUP BY ALL),
-ev AS (SELECT i.*, n_reference, greatest(least(a1, b1) - greatest(a0, b0), 0) AS overlap_s, dataset <> 'R' AS has_calibration, CASE WHEN recording_id = 's7' THEN 'UNRESOLVED' ELSE 'HEADER_MAPPED' END AS layout,
+ev AS (SELECT i.*, n_reference, CASE WHEN b0 IS NOT NULL THEN greatest(least(a1, b1) - greatest(a0, b0), 0) END AS overlap_s, dataset <> 'R' AS has_calibration, CASE WHEN recording_id = 's7' THEN 'UNRESOLVED' ELSE 'HEADER_MAPPED' END AS layout,
   recording_id <> 's9' AS units_ok FROM integ i LEFT JOIN ref USING (dataset, recording_id))"""
 
 

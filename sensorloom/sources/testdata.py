@@ -59,9 +59,14 @@ def _largest_recording(app_id: str, sf_dir: str) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def largest_recording(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the longest recording; counted once per application and folder."""
+    return _largest_recording(spark.sparkContext.applicationId, sf_dir)
+
+
 def bounded(spark: SparkSession, sf_dir: str) -> bool:
     """True if every recording of these tables is small enough for one task."""
-    return _largest_recording(spark.sparkContext.applicationId, sf_dir) <= BOUNDED_GROUP_ROWS
+    return largest_recording(spark, sf_dir) <= BOUNDED_GROUP_ROWS
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
