@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from sensorloom.plans.catalog import QUERIES
@@ -46,6 +47,7 @@ def main() -> None:
             started = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - started, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),

@@ -33,17 +33,18 @@ def _decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
 # --- blocks ---------------------------------------------------------------
 
 
-def halo_rows(df: DataFrame, before: int, after: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def halo_rows(df: DataFrame, before: int, after: int, block_rows: int = BLOCK_ROWS, keys: Sequence[str] = RECORDING) -> DataFrame:
     """Tag rows with `block` and copy boundary rows into neighbour blocks.
 
     A block sees `before` rows ahead of it and `after` rows behind it. `own` marks
-    the rows that belong to the block.
+    the rows that belong to the block. Rows are partitioned by (keys, block): left to
+    itself, Spark would accept an earlier partitioning by keys alone, and with it a
+    whole recording in one task.
     """
     first = F.greatest(F.floor((F.col("idx") - after) / block_rows), F.lit(0))
     last = F.floor((F.col("idx") + before) / block_rows)
-    return df.withColumn("block", F.explode(F.sequence(first, last))).withColumn(
-        "own", F.floor(F.col("idx") / block_rows) == F.col("block")
-    )
+    tagged = df.withColumn("block", F.explode(F.sequence(first, last)))
+    return tagged.withColumn("own", F.floor(F.col("idx") / block_rows) == F.col("block")).repartition(*keys, "block")
 
 
 def block_window(keys: Sequence[str] = RECORDING) -> WindowSpec:
@@ -60,29 +61,10 @@ def with_block_columns(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add window columns (built on `block_window`) whose frames fit the halo."""
-    wide = halo_rows(df, before, after, block_rows).withColumns(dict(columns))
+    wide = halo_rows(df, before, after, block_rows, keys).withColumns(dict(columns))
     return wide.filter("own").drop("own", "block")
 
 
-def block_arrays(df: DataFrame, columns: Sequence[str], before: int, after: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per (recording, block) with the block's rows as ordered arrays.
-
-    The arrays hold at most block_rows + before + after entries; `first_idx` is the
-    idx of their first entry.
-    """
-    packed = (
-        halo_rows(df.select(*RECORDING, "idx", *columns), before, after, block_rows)
-        .groupBy(*RECORDING, "block")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", *columns))).alias("rows"))
-    )
-    return packed.select(
-        *RECORDING,
-        "block",
-        F.col("rows")[0]["idx"].alias("first_idx"),
-        *[F.col("rows")[c].alias(c) for c in columns],
-    )
-
-
 # --- prefix sums ----------------------------------------------------------
 
 

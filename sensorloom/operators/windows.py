@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING, WindowSpec
-from sensorloom.operators.ordering import block_arrays, exact_quantiles
+from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, halo_rows
 from sensorloom.operators.timestamps import native_steps
 
 STATUSES = ("start", "end", "other", "gap", "valid")
@@ -14,56 +14,42 @@ STATUSES = ("start", "end", "other", "gap", "valid")
 
 def step_limits(streams: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Per recording: row count and the median of the positive time steps."""
-    steps = native_steps(streams)
-    sizes = steps.groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("n"))
-    medians = exact_quantiles(steps.filter("dt > 0"), RECORDING, "dt", {"median_dt": 0.5}, bounded)
-    return sizes.join(medians, list(RECORDING), "left")
+    steps = native_steps(streams).withColumn("pdt", F.when(F.col("dt") > 0, F.col("dt")))
+    return grouped_stats(steps, RECORDING, [F.count(F.lit(1)).alias("n")], {"pdt": {"median_dt": 0.5}}, bounded)
 
 
-def _classified_blocks(streams: DataFrame, spec: WindowSpec, bounded: bool | None, columns: list[str]) -> DataFrame:
-    """Blocks with `origins`: an array of (origin, status).
+def _classified_rows(streams: DataFrame, spec: WindowSpec, bounded: bool | None, columns: list[str]) -> DataFrame:
+    """Halo rows with `status` on candidate origins (NULL elsewhere and in the halo).
 
-    Steps that break a window are rare, so each block lists their positions once
-    and every origin only looks for one of them inside its own span.
+    A window is broken iff the latest breaking step up to its last row lies inside it,
+    so a running maximum of the breaking positions is enough: linear work per block.
     """
     size, (L, H, S) = spec.block_rows, (spec.lookback, spec.horizon, spec.stride)
-    blocks = block_arrays(streams, ["ts_s", *columns], L - 1, H, size).join(step_limits(streams, bounded), list(RECORDING))
-    start = F.col("block") * size
-    blocks = blocks.filter(start < F.col("n"))
-
-    count = F.size("ts_s")
-    steps = F.zip_with(F.slice("ts_s", 2, count), F.slice("ts_s", 1, count - 1), lambda b, a: b - a)
-    at = lambda i: F.col("first_idx") + 1 + i
-    positions = lambda test: F.filter(
-        F.transform(F.col("steps"), lambda d, i: F.when(test(d), at(i))), lambda p: p.isNotNull()
+    rows = streams.select(*RECORDING, "idx", "ts_s", *columns).join(step_limits(streams, bounded), list(RECORDING))
+    k = F.col("idx")
+    in_order = block_window()
+    up_to_end = in_order.rowsBetween(Window.unboundedPreceding, H)
+    latest = lambda broken: F.max(F.when(broken, k)).over(up_to_end)
+    inside = lambda at: F.coalesce(F.col(at) > k - (L - 1), F.lit(False))
+    status = (
+        F.when(k < L - 1, "start")
+        .when(k + H >= F.col("n"), "end")
+        .when(inside("stuck_at"), "other")
+        .when(inside("jump_at"), "gap")
+        .otherwise("valid")
     )
-    blocks = blocks.withColumn("steps", F.when(count > 1, steps).otherwise(F.array().cast("array<double>"))).withColumns(
-        {
-            "stuck": positions(lambda d: d <= 0),
-            "jumps": positions(lambda d: d > spec.gap_factor * F.col("median_dt")),
-        }
+    return (
+        halo_rows(rows, L - 1, H, size)
+        .withColumn("dt", F.col("ts_s") - F.lag("ts_s").over(in_order))
+        .withColumns({"stuck_at": latest(F.col("dt") <= 0), "jump_at": latest(F.col("dt") > spec.gap_factor * F.col("median_dt"))})
+        .withColumn("status", F.when(F.col("own") & (k % S == 0), status))
     )
 
-    def broken(where: str, k: Column) -> Column:
-        return F.exists(F.col(where), lambda p: (p > k - (L - 1)) & (p <= k + H))
-
-    def classify(k: Column) -> Column:
-        status = (
-            F.when(k < L - 1, "start")
-            .when(k + H >= F.col("n"), "end")
-            .when(broken("stuck", k), "other")
-            .when(broken("jumps", k), "gap")
-            .otherwise("valid")
-        )
-        return F.struct(k.alias("origin"), status.alias("status"))
-
-    last = F.least(start + size, F.col("n")) - 1
-    return blocks.withColumn("origins", F.transform(F.sequence(start, last, F.lit(S).cast("bigint")), classify))
-
 
 def classify_origins(streams: DataFrame, spec: WindowSpec, bounded: bool | None = None) -> DataFrame:
     """Every candidate origin with its status; the first broken rule wins."""
-    return _classified_blocks(streams, spec, bounded, []).select(*RECORDING, F.inline("origins"))
+    rows = _classified_rows(streams, spec, bounded, []).filter("status is not null")
+    return rows.select(*RECORDING, F.col("idx").alias("origin"), "status")
 
 
 def window_counts(streams: DataFrame, spec: WindowSpec, bounded: bool | None = None) -> DataFrame:
@@ -94,25 +80,39 @@ def window_counts(streams: DataFrame, spec: WindowSpec, bounded: bool | None = N
 def build_windows(streams: DataFrame, spec: WindowSpec, bounded: bool | None = None) -> DataFrame:
     """One row per valid origin with its history and future arrays.
 
-    Rows k-L+1..k are the history, k+1..k+H the future. Slices are cut per block,
-    after the stride filter, so nothing is copied for rows that are not origins.
+    Rows k-L+1..k are the history, k+1..k+H the future. The rows of a block, already
+    together for the classification, become arrays, and only valid origins read their
+    slices from them.
     """
     L, H = spec.lookback, spec.horizon
-    blocks = _classified_blocks(streams, spec, bounded, ["q_f", "q_w", "dependency_group"])
+    packed = (
+        _classified_rows(streams, spec, bounded, ["q_f", "q_w", "dependency_group"])
+        .groupBy(*RECORDING, "block")
+        .agg(
+            F.first("dependency_group").alias("dependency_group"),
+            F.array_sort(F.collect_list(F.struct("idx", "q_f", "q_w", (F.col("status") == "valid").alias("valid")))).alias("rows"),
+        )
+    )
+    origins = F.transform(F.filter("rows", lambda r: r["valid"]), lambda r: r["idx"])
+    # The generator fixes the arrays as columns. Left as expressions, they would be
+    # evaluated again for every origin that reads from them.
+    arrays = packed.select(
+        *RECORDING,
+        "dependency_group",
+        F.inline(F.array(F.struct(F.col("rows")[0]["idx"].alias("first"), F.col("rows.q_f").alias("f"), F.col("rows.q_w").alias("w"), origins.alias("origins")))),
+    )
+
+    def read(values: str, low: Column, n: int) -> Column:
+        places = F.sequence(low, low + (n - 1))
+        return F.transform(places, lambda i: F.get(F.col(values), i.cast("int")))
 
-    def cut(o: Column) -> Column:
-        place = (o["origin"] - F.col("first_idx") + 1).cast("int")
+    def cut(k: Column) -> Column:
+        at = k - F.col("first")
         return F.struct(
-            o["origin"].alias("origin"),
-            F.slice("q_f", place - L + 1, F.lit(L)).alias("hist_qf"),
-            F.slice("q_w", place - L + 1, F.lit(L)).alias("hist_qw"),
-            F.slice("q_f", place + 1, F.lit(H)).alias("future_qf"),
+            k.alias("origin"), read("f", at - (L - 1), L).alias("hist_qf"), read("w", at - (L - 1), L).alias("hist_qw"), read("f", at + 1, H).alias("future_qf")
         )
 
-    valid = F.filter("origins", lambda o: o["status"] == "valid")
-    return blocks.select(
-        *RECORDING, F.col("dependency_group")[0].alias("dependency_group"), F.inline(F.transform(valid, cut))
-    )
+    return arrays.select(*RECORDING, "dependency_group", F.inline(F.transform("origins", cut)))
 
 
 def high_thresholds(streams: DataFrame, percentile: float = 0.95, bounded: bool | None = None) -> DataFrame:
