@@ -145,7 +145,10 @@ def validation_scores(moments: DataFrame, recordings: DataFrame, spec: WindowSpe
 def select_ridge(
     moments: DataFrame, recordings: DataFrame, spec: WindowSpec, baseline: BaselineSpec, lags: Sequence[int] | None = None
 ) -> DataFrame:
-    """Nested leave-group-out selection for every outer fold, per ridge model."""
+    """Nested leave-group-out selection for every outer fold, per ridge model.
+
+    A fold whose train set is a single group cannot be split again and is left out.
+    """
     grid = [(m, lag, a) for m in RIDGE_MODELS for lag in (lags or baseline.lags) for a in baseline.alphas]
     scores = (
         validation_scores(moments, recordings, spec, grid)
