@@ -21,7 +21,7 @@ def setup(spark, stream):
         q = 9.8 + np.convolve(rng.normal(size=n + 5), np.ones(5) / 5, "valid")[:n]
         return [(i * 0.01, q[i], abs(q[i] - 9) + rng.random()) for i in range(n)]
 
-    s = stream({f"a{i}": make(80 + 20 * i) for i in range(4)}).unionByName(stream({f"b{i}": make(90 + 10 * i) for i in range(3)}, "B")).cache()
+    s = stream({f"a{i}": make(80 + 20 * i) for i in range(4)}).unionByName(stream({f"b{i}": make(90 + 10 * i) for i in range(4)}, "B")).cache()
     recs = s.groupBy("dataset", "recording_id", "dependency_group").count().withColumn("ord", F.substring("recording_id", 2, 1).cast("bigint")).drop("count").cache()
     w = build_windows(s, SPEC, True).cache()
     m = linear.recording_moments(w, SPEC, (9.8, 1.0)).cache()
@@ -47,9 +47,7 @@ def test_fits_predictions_and_selection(setup, spark):
     by_rec = {k: g for k, g in pdf.groupby("recording_id")}
     chosen = selection.select_ridge(m, recs, SPEC, BASE).cache()
     fits = selection.refit(m, recs, chosen, SPEC, (9.8, 1.0)).cache()
-    # Two models for 7 held-out folds and 2 source fits; holding out b1 leaves one group,
-    # so that fold has no inner split to select on.
-    assert fits.count() == 2 * (7 + 2 - 1)
+    assert fits.count() == 2 * (8 + 2)
     for r in fits.collect():
         names = [x for x in by_rec if x[0] == r.dataset.lower() and x != r.held_recording]
         mean, std, coef, intercept = direct_fit([by_rec[x] for x in names], r.lag, r.alpha, r.model == forecasts.RIDGE_QF_QW)
@@ -105,7 +103,8 @@ def test_future_does_not_reach_the_history(setup, spark):
 
 
 def test_folds_are_disjoint(setup):
-    _, recs, _, _ = setup
+    _, recs, _, m = setup
+    recs = recs.filter("recording_id <> 'b3'")
     loro = splits.leave_one_recording_out(recs)
     assert loro.count() == 4 * 4 + 3 * 3
     assert loro.filter("split_role = 'test'").count() == 7
@@ -113,6 +112,9 @@ def test_folds_are_disjoint(setup):
     assert splits.overlapping_roles(every).count() == 0
     single = splits.leave_group_out(recs).filter("fold_id = 'B_LGO_g1'").first()
     assert single.notes.endswith("SMALL_GROUP_SINGLE_RECORDING")
+    # Holding b1 out leaves a single group: no inner split, so no selection for that fold.
+    chosen = selection.select_ridge(m.filter("recording_id <> 'b3'"), recs, SPEC, BASE)
+    assert chosen.select("fold_id").distinct().count() == 7 + 2 - 1
 
 
 def test_tied_argmin_prefers_short_lag_then_strong_penalty(spark):
