@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from sensorloom.config import WindowSpec
@@ -113,3 +114,12 @@ def test_wasserstein_of_known_samples(stream):
 def test_blocks_are_partitioned_by_block(walk):
     plan = windows.build_windows(walk.repartition("dataset", "recording_id"), WindowSpec(20, 5, 5), True)._jdf.queryExecution().toString()
     assert "hashpartitioning(dataset" in plan and "block" in plan.split("hashpartitioning(dataset", 1)[1].split(")")[0]
+
+
+def test_frames_reach_over_block_ends(walk):
+    frame = {"back": F.lag("ts_s").over(ordering.block_window()), "ahead": F.lead("q_f", 3).over(ordering.block_window())}
+    small, large = (
+        rows(ordering.with_block_columns(walk, frame, 1, 3, block_rows=n).select("recording_id", "idx", "back", "ahead"), "recording_id", "idx")
+        for n in (7, 1 << 20)
+    )
+    assert small == large and len(small) == 790
