@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import parse_number
+from sensorloom.operators.ordering import assign_idx
 
 MISSING = ("", "nan", "na")
 
@@ -257,10 +258,11 @@ def map_pose_header(headers: DataFrame, rules: dict = ASL_POSE_RULES) -> DataFra
     )
 
 
-def imu_samples(table: DataFrame, mapped: DataFrame) -> DataFrame:
+def imu_samples(table: DataFrame, mapped: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Body tokens to channels: path, idx, clock (exact BIGINT and DOUBLE), f*, w*.
 
     `mapped` is the per-file header table; it is small and Spark decides how to join.
+    `bounded` tells whether every file fits one task; if not given, rows are counted.
     """
     token = lambda c: F.get(F.col("tokens"), F.col(f"places.{c}"))
     body = table.join(mapped.select("path", "places"), "path")
@@ -273,6 +275,4 @@ def imu_samples(table: DataFrame, mapped: DataFrame) -> DataFrame:
         *[parse_number(token(c)).alias(c) for c in channels],
     )
     # Rows keep file order; dropped lines leave no holes.
-    from sensorloom.operators.ordering import assign_idx
-
-    return assign_idx(rows, ["path"], ["row_no"]).drop("row_no")
+    return assign_idx(rows, ["path"], ["row_no"], bounded).drop("row_no")
