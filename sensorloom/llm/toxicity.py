@@ -56,21 +56,23 @@ def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
 
 def train(texts: list[str], toxic: np.ndarray, prior: float, least_df: int, least_z: float, penalty: float, rounds: int) -> Model:
     """Fit on the sample. `prior`: share of toxic documents among all labelled ones."""
+    p, q, df = np.ones(1 << BITS), np.ones(1 << BITS), np.zeros(1 << BITS)
+    for a, b in blocks(texts, 500_000):  # first the ratios, then only the chosen features are kept
+        row, col, value = grams(texts[a:b])
+        bad = toxic[row + a] == 1
+        p += np.bincount(col[bad], value[bad], 1 << BITS)
+        q += np.bincount(col[~bad], value[~bad], 1 << BITS)
+        df += np.bincount(col, minlength=1 << BITS)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    chosen = (df >= least_df) & (np.abs(ratio) / np.sqrt(1 / p + 1 / q) >= least_z)
     rows, cols, values = [], [], []
     for a, b in blocks(texts, 500_000):
-        r, f, v = grams(texts[a:b])
-        rows.append((r + a).astype(np.int32))
-        cols.append(f.astype(np.int32))
-        values.append(v)
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    bad = toxic[row] == 1
-    p = 1.0 + np.bincount(col[bad], value[bad], 1 << BITS)
-    q = 1.0 + np.bincount(col[~bad], value[~bad], 1 << BITS)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    keep = ((np.bincount(col, minlength=1 << BITS) >= least_df) & (certain >= least_z))[col]
-    row, col = row[keep], col[keep]
-    x = value[keep] * ratio[col].astype(np.float32)
+        row, col, value = grams(texts[a:b], chosen)
+        rows.append((row + a).astype(np.int32))
+        cols.append(col.astype(np.int32))
+        values.append(value)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    x = np.concatenate(values) * ratio[col].astype(np.float32)
     n, y = len(texts), toxic.astype(np.float64)
     w, b = np.zeros(1 << BITS), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     m1, m2, c1, c2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
