@@ -91,6 +91,11 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def sample_by_hash(df: DataFrame, key: Column, weight: int, total: int, seed: int) -> DataFrame:
-    """About `weight` of `total` rows, chosen by hash of the key, the same in every run."""
-    return df if total <= weight else df.where(unit_hash(key, seed=seed) < weight / total)
+def ranked_sample(rows: DataFrame, size: int) -> list:
+    """About `size` rows of smallest `rank` (uniform to 1 where `hit`, to 2 elsewhere), sorted by rank.
+
+    The cut comes from a count over all rows, so only the sample itself reaches the driver.
+    """
+    n = rows.agg(F.sum(F.when(F.col("hit"), 1.0).otherwise(0.5))).first()[0] or 0.0
+    drawn = rows.where(F.col("rank") < size / n) if n > size else rows
+    return sorted(drawn.drop("hit").collect(), key=lambda r: (r["rank"], str(r)))

@@ -7,7 +7,7 @@ left to the neighbour window, and the rest are reconciled over the whole text by
 scheduling (largest total margin over O, no overlaps). Spans of the patterns always stay; the network's
 spans are added where they touch none of them and have the digits their kind needs.
 
-Training is numpy back-propagation through the CRF likelihood on labelled windows: the `windows` (a
+Training is numpy back-propagation through the CRF likelihood on labelled windows: about `windows` (a
 parameter) smallest by hash over all documents, labelled by the patterns, plus variants of their spans in
 spellings the patterns do not know (double separators, 00 for +, written-out at signs).
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.base import query, table, texts_of
+from sensorloom.llm.base import query, ranked_sample, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -336,7 +336,7 @@ def tag(texts: list[str], net: Tagger | None, step: int = 2048) -> list[tuple[li
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {"rank": [], "piece": [], "spans": []}
+        rows: dict[str, list] = {"hit": [], "rank": [], "piece": [], "spans": []}
         ids = batch.column(0).to_pylist()
         for i, text in zip(ids, texts_of(batch), strict=True):
             starts = window_starts(text)
@@ -346,18 +346,18 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in starts:
                 h = int.from_bytes(hashlib.blake2b(f"{i}:{a}".encode(), digest_size=6).digest(), "big") / 2.0**48
                 inside = [s for s in spans if a <= s[1] and s[2] <= a + WINDOW]
+                rows["hit"].append(bool(inside))
                 rows["rank"].append(h if inside else 2 * h)
                 rows["piece"].append(text[a : a + WINDOW])
                 rows["spans"].append([f"{k}:{b - a}:{c - a}" for k, b, c in inside])
-        yield pa.RecordBatch.from_pydict(rows, pa.schema([("rank", pa.float64()), ("piece", pa.string()), ("spans", pa.list_(pa.string()))]))
+        yield pa.RecordBatch.from_pydict(rows, pa.schema([("hit", pa.bool_()), ("rank", pa.float64()), ("piece", pa.string()), ("spans", pa.list_(pa.string()))]))
 
 
 def train(docs: DataFrame, windows: int = 2500, epochs: int = 10) -> Tagger | None:
-    """Fit on the `windows` labelled windows that rank first by hash (windows without a span count half)."""
-    rows = docs.select("doc_id", "text").mapInArrow(_labelled, "rank double, piece string, spans array<string>")
-    drawn = rows.orderBy("rank", "piece").limit(windows).collect()
+    """Fit on about `windows` labelled windows that rank first by hash (windows without a span count half)."""
+    rows = docs.select("doc_id", "text").mapInArrow(_labelled, "hit boolean, rank double, piece string, spans array<string>")
     made = []
-    for k, r in enumerate(drawn):
+    for k, r in enumerate(ranked_sample(rows, windows)):
         spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r["spans"]]
         made += examples(r["piece"], spans, 0, k)
     if not any(t.any() for _, t in made):

@@ -7,7 +7,7 @@ the rest of the text is decided without it. Features: shape, length, character m
 the token, the neighbouring words and whether one of them is a key word, and of the file its share of
 digits, of punctuation and its length. Tags are begin, inside and outside; decoding is Viterbi.
 
-Training: exact gradients of the chain likelihood (forward-backward) with AdaGrad, on the `chains` (a
+Training: exact gradients of the chain likelihood (forward-backward) with AdaGrad, on about `chains` (a
 parameter) smallest by hash over all documents, labelled by the patterns; in every other one the key word
 before the secret is changed, so that shape and neighbours have to carry the decision.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.base import query, table, texts_of
+from sensorloom.llm.base import query, ranked_sample, table, texts_of
 
 KINDS = ("assign", "access", "hex")
 ADDED = "crf"
@@ -231,7 +231,7 @@ def labelled(text: str) -> Iterator[tuple[bool, int, list[tuple[int, int]], list
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rank", pa.float64()), ("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("file", pa.list_(pa.string()))])
+    schema = pa.schema([("hit", pa.bool_()), ("rank", pa.float64()), ("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("file", pa.list_(pa.string()))])
     for batch in batches:
         rows: dict[str, list] = {n: [] for n in schema.names}
         for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
@@ -241,6 +241,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = int.from_bytes(hashlib.blake2b(f"{i}:{a}".encode(), digest_size=6).digest(), "big") / 2.0**48
                 k = next((j for j, t in enumerate(tags) if t != O), len(tags) // 2)  # long chains: the part around the secret
                 part = slice(max(0, k - 12), k + 13)
+                rows["hit"].append(hit)
                 rows["rank"].append(h if hit else 2 * h)
                 rows["words"].append([text[x:y] for x, y in at[part]])
                 rows["tags"].append(tags[part])
@@ -249,10 +250,10 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, chains: int = 2000, epochs: int = 4, penalty: float = 1e-4) -> Field | None:
-    """Fit on the `chains` labelled chains that rank first by hash (chains without a secret count half)."""
-    rows = docs.select("doc_id", "text").mapInArrow(_labelled, "rank double, words array<string>, tags array<int>, file array<string>")
+    """Fit on about `chains` labelled chains that rank first by hash (chains without a secret count half)."""
+    rows = docs.select("doc_id", "text").mapInArrow(_labelled, "hit boolean, rank double, words array<string>, tags array<int>, file array<string>")
     made = []
-    for k, r in enumerate(rows.orderBy("rank", "words").limit(chains).collect()):
+    for k, r in enumerate(ranked_sample(rows, chains)):
         words = list(r["words"])
         if k % 2:  # unknown key words
             words = [f"name{zlib.crc32(w.encode()) % 97}" if w.lower() in KEY_WORDS else w for w in words]
