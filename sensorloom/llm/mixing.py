@@ -5,10 +5,10 @@ words by weight; a target stops at `most` times its source's size and the excess
 until none is above. A source's documents get target / size expected copies each. The whole part is certain:
 so many copies of every document. For the fraction p, documents are ranked by random odds divided by inclusion
 odds, (u / (1 - u)) / (p / (1 - p)), and the sample of fixed size, measured in words, is the head of that order
-that fits what is left of the target; the last place goes to the later document whose size is nearest to the gap.
+that fits what is left of the target; the last FILLS places go to the later documents whose sizes come nearest to the gap.
 
 u is a hash of doc_id, text and seed: reruns and other partitionings agree. The order is cut by range
-partitions and prefix sums, so no source meets in one task; what comes out of it are two ranks per source,
+partitions and prefix sums, so no source meets in one task; what comes out of it are a few ranks per source,
 and every document is decided by comparing its own rank with it, where it lies.
 
 Defined cases: null text -> size 0, taken 0; a null source is a source of its own; a null doc_id is ranked
@@ -28,6 +28,7 @@ from sensorloom.operators.ordering import prefix_sums
 from sensorloom.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
+FILLS = 3
 OUT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -62,17 +63,24 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
 
 def boundaries(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources with whole copies, p, the last (rank, doc_id) of the sample's head and the one that fills the gap (null: none)."""
+    """sources with whole copies, p, the last (rank, doc_id) of the sample's head (null: none) and those that fill the gap."""
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("certain", F.floor(expected + F.lit(1e-12))).withColumn("p", F.greatest(F.lit(0.0), expected - F.col("certain")))
     open_ = sizes.where("size > 0").join(sources.where("p > 0").select("key", "p", (F.col("target") - F.col("certain") * F.col("source_size")).alias("left")), "key")
     ranked = prefix_sums(open_.withColumn("rank", pareto(F.col("u"), F.col("p"))), ["key"], ["rank", "doc_id"], {"upto": "size"}, bounded=False)
+    ranked = materialise(ranked.select("key", "rank", "doc_id", "size", "upto", "left"), "mix-ranked")
     place = F.struct("rank", "doc_id")
-    head = ranked.where("upto <= left").groupBy("key").agg(F.max(place).alias("last"), F.max("upto").alias("took"))
-    gap = F.col("left") - F.coalesce("took", F.lit(0))
-    rest = ranked.where("upto > left").join(head.select("key", "took"), "key", "left").where(F.col("size") < 2 * gap)
-    fill = rest.groupBy("key").agg(F.min_by(place, F.struct(F.abs(F.col("size") - gap), place)).alias("fill"))
-    return sources.join(head.drop("took"), "key", "left").join(fill, "key", "left")
+    empty = F.lit(None).cast(f"struct<rank: double, doc_id: {sizes.schema['doc_id'].dataType.simpleString()}>")
+    head = ranked.groupBy("key").agg(F.max(F.when(F.col("upto") <= F.col("left"), place)).alias("last"), (F.first("left") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0))).alias("gap"))
+    filled = materialise(head.withColumn("fills", F.array(empty)), "mix-fill-0")
+    for k in range(1, FILLS + 1):
+        open_ = ranked.where("upto > left").join(filled, "key").where((F.col("size") < 2 * F.col("gap")) & ~F.coalesce(F.array_contains("fills", place), F.lit(False)))
+        best = open_.groupBy("key").agg(F.min_by(F.struct(place.alias("place"), "size"), F.struct(F.abs(F.col("size") - F.col("gap")), place)).alias("best"))
+        filled = materialise(
+            filled.join(best, "key", "left").select("key", "last", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"), F.array_append("fills", F.col("best.place")).alias("fills")),
+            f"mix-fill-{k}",
+        )
+    return sources.join(filled.drop("gap"), "key", "left")
 
 
 def pareto(u: Column, p: Column) -> Column:
@@ -88,10 +96,10 @@ def narrow(docs: DataFrame, seed: int) -> DataFrame:
 def decided(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows (doc_id, key, size, u, ...) with source_size, target, copies and taken."""
     place = F.struct(pareto(F.col("u"), F.col("p")).alias("rank"), F.col("doc_id"))
-    chosen = F.coalesce(place <= F.col("last"), F.lit(False)) | F.coalesce(place == F.col("fill"), F.lit(False))
+    chosen = F.coalesce(place <= F.col("last"), F.lit(False)) | F.coalesce(F.array_contains("fills", place), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("certain") + (chosen & (F.col("p") > 0)).cast("long")).otherwise(0)
     joined = rows.join(limits.drop("source"), "key")
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("certain", "p", "last", "fill")
+    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("certain", "p", "last", "fills")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
