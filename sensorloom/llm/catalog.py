@@ -1,6 +1,6 @@
 """Loads every corpus query, so that the registry is complete."""
 
-from sensorloom.llm import decontaminate, language, mixing, pii, secrets, suffix_tree, toxicity  # noqa: F401
+from sensorloom.llm import decontaminate, jaccard, language, mixing, pii, secrets, suffix_tree, toxicity  # noqa: F401
 from sensorloom.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
