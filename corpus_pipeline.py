@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import decontaminate, jaccard, language, mixing, pii
-from sensorloom.llm.base import table
+from sensorloom.llm.base import bounded_batches, table
 from sensorloom.session import materialise
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing lang is filled in."""
+    bounded_batches(spark)
     told = language.identify(docs, language.fit(docs)).where(~F.col("rejected"))
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
