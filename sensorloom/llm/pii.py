@@ -198,7 +198,7 @@ class Tagger:
         return tags, np.take_along_axis(e, tags[..., None], 2)[..., 0] - e[..., 0]
 
 
-def fit(ids: np.ndarray, tags: np.ndarray, epochs: int, seed: int = 1, batch: int = 128, rate: float = 0.01) -> Tagger:
+def fit(ids: np.ndarray, tags: np.ndarray, epochs: int, seed: int = 1, batch: int = 64, rate: float = 0.01) -> Tagger:
     """Adam on the CRF likelihood."""
     net, r, step = Tagger.new(seed), np.random.default_rng(seed), 0
     parts = [net.x, net.u, net.o, net.t, net.s]
@@ -353,7 +353,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(rows, pa.schema([("hit", pa.bool_()), ("rank", pa.float64()), ("piece", pa.string()), ("spans", pa.list_(pa.string()))]))
 
 
-def train(docs: DataFrame, windows: int = 2500, epochs: int = 10) -> Tagger | None:
+def train(docs: DataFrame, windows: int = 2500, epochs: int = 12) -> Tagger | None:
     """Fit on about `windows` labelled windows that rank first by hash (windows without a span count half)."""
     rows = docs.select("doc_id", "text").mapInArrow(_labelled, "hit boolean, rank double, piece string, spans array<string>")
     made = []
