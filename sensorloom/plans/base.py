@@ -13,6 +13,7 @@ from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
 from sensorloom.operators.metrics import recording_results, with_skill
 from sensorloom.operators.selection import local_assignments
 from sensorloom.operators.windows import build_windows
+from sensorloom.session import ship_package
 from sensorloom.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,14 +24,18 @@ ORACLES: dict[str, str] = {}
 PAIRS = (("A", "B"), ("B", "A"))
 BASE = BaselineSpec(linear_k=5, lags=(1, 2, 5, 10), alphas=(1e-6, 1e-4, 1e-2, 1.0, 100.0), report_horizons=(1, 2, 4))
 LAG1 = BaselineSpec(linear_k=5, lags=(1,), alphas=(1e-4, 1e-2, 1.0, 100.0), report_horizons=(1, 2, 4))
-BOOT = BootstrapSpec(reps=400, seed=20260912, draws="hash")
+BOOT = BootstrapSpec(reps=10_000, seed=20260912, draws="hash")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with the SQL that gives the same rows."""
 
     def add(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return tidy(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -61,6 +61,33 @@ def x2(spark, d):
     return out.select(*RECORDING, "origin", "model", F.element_at("yhat", -1).alias("yhat_last"), F.element_at("y", -1).alias("y_last"))
 
 
+# Every 97th row arrives a slice later: it is late, and no window may reach over the hole it leaves.
+LATE_SLICE = 256
+
+
+@query(
+    "x2_live_windows_late",
+    f"""WITH {STREAMS}, kept AS (SELECT * FROM (SELECT *, max(idx) OVER (PARTITION BY dataset, recording_id) AS top FROM streams)
+      WHERE NOT (idx % 97 = 5 AND idx % {LATE_SLICE} < {LATE_SLICE - 20} AND idx < top - 20)),
+    steps AS (SELECT *, ts_s - lag(ts_s) OVER r AS dt FROM kept WINDOW r AS (PARTITION BY dataset, recording_id ORDER BY idx)),
+    f AS (SELECT *, lag(idx, 9) OVER r AS first, lead(idx, 4) OVER r AS final, lag(q_f, 9) OVER r AS oldest, lead(q_f, 4) OVER r AS y_last,
+      min(dt) OVER inner_steps AS lo, max(dt) OVER inner_steps AS hi FROM steps
+      WINDOW r AS (PARTITION BY dataset, recording_id ORDER BY idx), inner_steps AS (PARTITION BY dataset, recording_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 4 FOLLOWING))
+    SELECT {KEY}, idx AS origin, round(oldest, 6) AS oldest, round(q_f, 6) AS newest, round(y_last, 6) AS y_last FROM f
+    WHERE idx % 2 = 0 AND final - first = 13 AND lo > 0 AND hi <= {MAX_STEP_S}""",
+)
+def x2_late(spark, d):
+    folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
+    rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
+    ends = rows.groupBy(*RECORDING).agg(F.max("idx").alias("top"))
+    late = (F.col("idx") % 97 == 5) & (F.col("idx") % LATE_SLICE < LATE_SLICE - 20) & (F.col("idx") < F.col("top") - 20)
+    shown = rows.join(ends, [*RECORDING]).withColumn("arrival", F.col("idx") + F.when(late, LATE_SLICE).otherwise(0)).drop("top")
+    live.replay_table(shown, f"{folder}/in", LATE_SLICE, "arrival", files=1)
+    source = spark.readStream.schema(shown.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = _finish(spark, live.live_windows(source, td.SPEC, MAX_STEP_S), folder)
+    return out.select(*RECORDING, "origin", F.element_at("hist_qf", 1).alias("oldest"), F.element_at("hist_qf", -1).alias("newest"), F.element_at("future_qf", -1).alias("y_last"))
+
+
 @query(
     "x3_live_health",
     f"""WITH {STEPS} SELECT {KEY}, count(*) AS sample_count, count(*) FILTER (WHERE dt < 0) AS backward_count, count(*) FILTER (WHERE dt = 0) AS duplicate_count, round(max(dt) FILTER (WHERE dt > 0), 6) AS maximum_gap, CAST(0 AS BIGINT) AS late_rows
@@ -76,12 +103,15 @@ def x3(spark, d):
 
 @query(
     "x3_live_counts",
-    f"""WITH {STREAMS}, b AS (SELECT {KEY}, CAST(floor(ts_s / 86400) AS BIGINT) AS day, q_f FROM streams), m AS (SELECT max(ts_s) AS last FROM streams)
-    SELECT {KEY}, day, count(*) AS n, {r6('min(q_f)', 'max(q_f)').replace('AS min(q_f)', 'AS min_qf').replace('AS max(q_f)', 'AS max_qf')} FROM b, m WHERE (day + 1) * 86400 <= last - 600 GROUP BY ALL""",
+    f"""WITH {STREAMS}, b AS (SELECT {KEY}, CAST(floor(ts_s / 86400) AS BIGINT) AS day, q_f FROM streams)
+    SELECT {KEY}, day, count(*) AS n, {r6('min(q_f)', 'max(q_f)').replace('AS min(q_f)', 'AS min_qf').replace('AS max(q_f)', 'AS max_qf')} FROM b GROUP BY ALL""",
 )
 def x3_counts(spark, d):
-    """Closed days only: the watermark holds the last, still open one back."""
+    """All days: a marker row two days after the end moves the watermark past the last of them."""
     source, folder = _replay(spark, d, "ts_s")
+    whole = spark.read.schema(source.schema).parquet(f"{folder}/in")
+    marker = whole.agg((F.max("ts_s") + 2 * 86400).alias("ts_s")).select(*[F.col("ts_s") if f.name == "ts_s" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema])
+    marker.write.mode("append").parquet(f"{folder}/in")
     timed = source.withColumn("ts", F.timestamp_seconds("ts_s"))
-    out = _finish(spark, live.live_counts(timed, "ts", "10 minutes", "1 day"), folder)
+    out = _finish(spark, live.live_counts(timed, "ts", "10 minutes", "1 day"), folder).filter("recording_id is not null")
     return out.select(*RECORDING, F.floor(F.unix_seconds("window_start") / 86400).alias("day"), "n", "min_qf", "max_qf")

@@ -2,7 +2,9 @@
 
 Every operator keeps a small state per recording. Rows of a recording are ordered by
 `idx` inside a micro-batch; a row whose idx is not beyond the last one seen is late,
-is counted, and changes nothing.
+is counted, and changes nothing. It leaves a hole, and no window reaches over a hole. With
+`idle_ms` the state of a recording silent for so many milliseconds is dropped; that needs a query that keeps
+running, since a processing-time timeout asks for one more micro-batch for ever.
 """
 
 from __future__ import annotations
@@ -19,6 +21,20 @@ from sensorloom.config import RECORDING, WindowSpec
 from sensorloom.operators.filtering import Sos, filter_block
 
 
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def _ended(state: GroupState, idle_ms: int | None) -> bool:
+    """Drop the state of a recording that timed out, else start its clock again."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+    return False
+
+
 def _in_order(frames: Iterator[pd.DataFrame], last: int) -> tuple[pd.DataFrame, int]:
     """Rows of the micro-batch beyond `last`, by idx, and the number of late ones."""
     rows = pd.concat(list(frames), ignore_index=True).sort_values("idx", kind="stable")
@@ -26,7 +42,7 @@ def _in_order(frames: Iterator[pd.DataFrame], last: int) -> tuple[pd.DataFrame,
     return fresh, len(rows) - len(fresh)
 
 
-def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float = 0.0) -> DataFrame:
+def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float = 0.0, idle_ms: int | None = None) -> DataFrame:
     """Filter, decimate and drop the warm-up as rows arrive.
 
     State per recording: two numbers per filter section and channel, the first
@@ -35,6 +51,8 @@ def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float =
     width = 2 * len(sos)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _ended(state, idle_ms):
+            return
         zf, zw, t0, last, late = state.get if state.exists else ([0.0] * width, [0.0] * width, None, -1, 0)
         rows, missed = _in_order(frames, last)
         late += missed
@@ -56,12 +74,12 @@ def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float =
             "dataset string, recording_id string, idx bigint, ts_s double, q_f double, q_w double, late_rows bigint",
             "zf array<double>, zw array<double>, t0 double, last_idx bigint, late bigint",
             "append",
-            GroupStateTimeout.NoTimeout,
+            _timeout(idle_ms),
         )
     )
 
 
-def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float) -> DataFrame:
+def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float, idle_ms: int | None = None) -> DataFrame:
     """Windows as soon as their horizon has arrived; feed them to any forecaster.
 
     State per recording: the last look-back + horizon - 1 rows. A live stream has no
@@ -71,24 +89,23 @@ def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float) -> Data
     keep = L + H - 1
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, qf, qw, last = state.get if state.exists else ([], [], [], -1)
-        rows, _ = _in_order(frames, last)
+        if _ended(state, idle_ms):
+            return
+        ids, ts, qf, qw = state.get if state.exists else ([], [], [], [])
+        rows, _ = _in_order(frames, ids[-1] if ids else -1)
         if not len(rows):
             return
         held = len(ts)
+        i = np.concatenate([np.asarray(ids, np.int64), rows["idx"].to_numpy(np.int64)])
         t = np.concatenate([ts, rows["ts_s"].to_numpy(float)])
         f = np.concatenate([qf, rows["q_f"].to_numpy(float)])
         w = np.concatenate([qw, rows["q_w"].to_numpy(float)])
-        end = int(rows["idx"].iloc[-1])
-        first = end - len(t) + 1  # idx of t[0]; idx is dense within a recording
         steps = np.diff(t)
         bad = np.concatenate([[0], np.cumsum((steps <= 0) | (steps > max_step_s))])
-        # Origins whose last horizon row is new.
-        lowest = max(first + held - H, first + L - 1, L - 1)
-        origins = np.arange(-(-lowest // S) * S, end - H + 1, S)
-        at = origins - first
-        good = bad[at + H] == bad[at - L + 1] if len(at) else np.zeros(0, bool)
-        origins, at = origins[good], at[good]
+        # Places of origins whose last horizon row is new and whose rows follow each other without a hole.
+        at = np.arange(max(held - H, L - 1), len(t) - H)
+        at = at[(i[at] % S == 0) & (i[at + H] - i[at - L + 1] == L + H - 1) & (bad[at + H] == bad[at - L + 1])]
+        origins = i[at]
         if len(at):
             group = rows["dependency_group"].iloc[0]
             cut = lambda x, lo, hi: list(x[at[:, None] + np.arange(lo, hi)])
@@ -96,7 +113,7 @@ def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float) -> Data
                 "dataset": key[0], "recording_id": key[1], "dependency_group": group, "origin": origins,
                 "hist_qf": cut(f, 1 - L, 1), "hist_qw": cut(w, 1 - L, 1), "future_qf": cut(f, 1, H + 1),
             })
-        state.update(([float(v) for v in t[-keep:]], [float(v) for v in f[-keep:]], [float(v) for v in w[-keep:]], end))
+        state.update(([int(v) for v in i[-keep:]], *([float(v) for v in x[-keep:]] for x in (t, f, w))))
 
     return (
         stream.select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
@@ -104,17 +121,19 @@ def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float) -> Data
         .applyInPandasWithState(
             run,
             "dataset string, recording_id string, dependency_group string, origin bigint, hist_qf array<double>, hist_qw array<double>, future_qf array<double>",
-            "ts array<double>, qf array<double>, qw array<double>, last_idx bigint",
+            "ids array<bigint>, ts array<double>, qf array<double>, qw array<double>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            _timeout(idle_ms),
         )
     )
 
 
-def live_health(stream: DataFrame) -> DataFrame:
+def live_health(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Running clock counters per recording after each micro-batch (update mode)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _ended(state, idle_ms):
+            return
         count, back, same, gap, last_ts, last, late = state.get if state.exists else (0, 0, 0, None, None, -1, 0)
         rows, missed = _in_order(frames, last)
         late += missed
@@ -138,7 +157,7 @@ def live_health(stream: DataFrame) -> DataFrame:
             "dataset string, recording_id string, sample_count bigint, backward_count bigint, duplicate_count bigint, maximum_gap double, late_rows bigint",
             "n bigint, back bigint, same bigint, gap double, last_ts double, last_idx bigint, late bigint",
             "update",
-            GroupStateTimeout.NoTimeout,
+            _timeout(idle_ms),
         )
     )
 
@@ -153,20 +172,25 @@ def live_counts(stream: DataFrame, event_time: str, delay: str = "10 minutes", e
     )
 
 
-def replay_table(rows: DataFrame, path: str, width: int, along: str = "idx") -> None:
+def replay_table(rows: DataFrame, path: str, width: int, along: str = "idx", files: int | None = None) -> None:
     """Write a finished table so that it can be replayed in order.
 
     Slices of `width` along a column are appended one after the other, and within a
     slice a recording lies in one file. Sliced along idx, a micro-batch never sees a
     recording out of order and holds at most `width` rows of it per file. Sliced along
-    event time, no row arrives behind a watermark moved by another recording.
+    event time, no row arrives behind a watermark moved by another recording. The source is
+    read once: the slices are partitions of one written table, and each append reads its own.
+    `files` fixes the files per slice.
     """
     first, last = rows.agg(F.min(along), F.max(along)).first()
     if first is None:
         return
+    spark, cut = rows.sparkSession, f"{path}-slices"
+    sliced = rows.withColumn("slice", F.floor(F.col(along) / width))
+    (sliced.repartition("slice", *RECORDING) if files is None else sliced.repartition("slice")).write.partitionBy("slice").parquet(cut)
     for low in range(int(first // width), int(last // width) + 1):
-        part = rows.filter(F.floor(F.col(along) / width) == low)
-        part.repartition(*RECORDING).write.mode("append").parquet(path)
+        part = spark.read.schema(sliced.schema).parquet(cut).filter(F.col("slice") == low).drop("slice")
+        (part.repartition(*RECORDING) if files is None else part.repartition(files)).write.mode("append").parquet(path)
 
 
 def slice_rows(longest: int, slices: int = 4, least: int = 512, most: int = 1_000_000) -> int:
