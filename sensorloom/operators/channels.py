@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING, WindowSpec
 from sensorloom.functions.scalar import filter_name, is_finite, magnitude, yes_no
-from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, with_block_columns
+from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, join_facts, with_block_columns
 from sensorloom.operators.timestamps import native_steps, rate_check
 
 G = 9.81
@@ -65,8 +65,7 @@ def channel_inventory(df: DataFrame, channels: Sequence[str], bounded: bool | No
         bounded,
     )
     same = (
-        rows.filter(finite)
-        .join(stats.select(*CHANNEL, "first_x"), list(CHANNEL))
+        join_facts(rows.filter(finite), stats.select(*CHANNEL, "first_x"), CHANNEL, "idx")
         .groupBy(*CHANNEL)
         .agg(F.avg((F.col("x") == F.col("first_x")).cast("double")).alias("constant_fraction"))
     )
@@ -119,10 +118,10 @@ def gravity_flags(samples: DataFrame, head_s: float = 1.5, bounded: bool | None
     """
     rows = samples.withColumn("norm", magnitude(*[F.col(c) for c in ACCEL]))
     start = rows.groupBy(*RECORDING).agg(F.min("ts_s").alias("t0"))
-    timed = rows.join(start, list(RECORDING)).withColumn("in_head", F.col("ts_s") <= F.col("t0") + head_s)
+    timed = join_facts(rows, start, RECORDING, "idx").withColumn("in_head", F.col("ts_s") <= F.col("t0") + head_s)
     sizes = timed.filter("in_head").groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("n_head"))
     rest = (
-        timed.join(sizes, list(RECORDING), "left")
+        join_facts(timed, sizes, RECORDING, "idx", "left")
         .filter(F.when(F.col("n_head") >= 10, F.col("in_head")).otherwise(F.col("idx") < 200))
         .filter(is_finite(F.col("norm")))
     )
@@ -247,7 +246,7 @@ def resampling_audit(streams: DataFrame, counts: DataFrame, sos_table: DataFrame
 def autocorrelation(streams: DataFrame, lags: Sequence[int], column: str = "q_f") -> DataFrame:
     """Autocorrelation around the recording mean; NULL without enough rows or variance."""
     means = streams.groupBy(*RECORDING).agg(F.avg(column).alias("centre"))
-    centred = streams.select(*RECORDING, "idx", column).join(means, list(RECORDING)).withColumn("c", F.col(column) - F.col("centre"))
+    centred = join_facts(streams.select(*RECORDING, "idx", column), means, RECORDING, "idx").withColumn("c", F.col(column) - F.col("centre"))
     ahead = {f"c{k}": F.lead("c", k).over(block_window()) for k in lags}
     rows = with_block_columns(centred, ahead, 0, max(lags))
     return rows.groupBy(*RECORDING).agg(
@@ -300,8 +299,7 @@ def extreme_values(streams: DataFrame, native: DataFrame | None = None, half: in
     near = wanted.join(streams.select(*RECORDING, "idx", "q_f"), [*RECORDING, "idx"])
     around = near.groupBy(*RECORDING).agg(F.median("q_f").alias("neighbour_median"))
     equal = (
-        streams.select(*RECORDING, "q_f")
-        .join(peaks, list(RECORDING))
+        join_facts(streams.select(*RECORDING, "idx", "q_f"), peaks, RECORDING, "idx")
         .groupBy(*RECORDING)
         .agg(F.count(F.when(F.abs(F.col("q_f") - F.col("top")) <= 1e-9, 1)).alias("n_samples_at_max"))
     )

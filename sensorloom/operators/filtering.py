@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import BLOCK_ROWS, RECORDING
-from sensorloom.operators.ordering import assign_idx, halo_rows
+from sensorloom.operators.ordering import assign_idx, halo_rows, join_facts
 
 # Second-order sections [b0, b1, b2, a0, a1, a2] of the two designs.
 SOS_200_HZ = (
@@ -127,7 +127,7 @@ def drop_warmup(decimated: DataFrame, starts: DataFrame, warmup_s: float, bounde
     The clock may step backwards, so rows can drop out in the middle; the new idx
     is then ranked, otherwise it is a plain shift. Ranking covers both.
     """
-    kept = decimated.join(starts, list(RECORDING)).filter(F.col("ts_s") - F.col("t0") >= warmup_s - 1e-15).drop("t0", "idx")
+    kept = join_facts(decimated, starts, RECORDING, "idx").filter(F.col("ts_s") - F.col("t0") >= warmup_s - 1e-15).drop("t0", "idx")
     return assign_idx(kept, RECORDING, ["native_index"], bounded)
 
 

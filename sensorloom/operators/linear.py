@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sensorloom.config import RECORDING, BaselineSpec, WindowSpec
 from sensorloom.functions.arrays import dot, norm2
 from sensorloom.operators.forecasts import PREDICTION_COLUMNS, RIDGE_QF, RIDGE_QF_QW, list_column, matrix
+from sensorloom.operators.ordering import join_facts
 
 RIDGE_MODELS = {RIDGE_QF: False, RIDGE_QF_QW: True}
 MERGE_SALTS = 32
@@ -193,7 +194,7 @@ def _predict_joined(windows: DataFrame, models: DataFrame, spec: WindowSpec, ass
     tail = lambda c: F.slice(c, F.lit(L + 1) - lag, lag)
     x = F.when(F.size("scaler_mean") > lag, F.concat(tail("hist_qf"), tail("hist_qw"))).otherwise(tail("hist_qf"))
     scaled = F.zip_with(F.zip_with(x, F.col("scaler_mean"), lambda a, b: a - b), F.col("scaler_std"), lambda a, b: a / b)
-    joined = windows.join(models, list(assign)).withColumn("xs", scaled)
+    joined = join_facts(windows, models, assign, "origin").withColumn("xs", scaled)
     yhat = F.zip_with(F.transform("coef", lambda c: dot(c, F.col("xs"))), F.col("intercept"), lambda a, b: a + b)
     return joined.withColumns({"yhat": yhat, "y": F.col("future_qf")}).select("evaluation_context", "fold_id", *PREDICTION_COLUMNS)
 

@@ -11,6 +11,7 @@ from sensorloom.config import RECORDING, BaselineSpec, WindowSpec
 from sensorloom.functions.arrays import errors, total
 from sensorloom.functions.scalar import skill_score
 from sensorloom.operators.forecasts import PERSISTENCE
+from sensorloom.operators.ordering import join_facts
 
 METRICS = ("rmse_all_horizons", "mae_all_horizons")
 
@@ -94,7 +95,7 @@ def high_target_results(predictions: DataFrame, thresholds: DataFrame, by: Seque
     cells = F.filter(F.arrays_zip("yhat", "y"), lambda c: c["y"] > F.col("p95_qf"))
     sse = F.aggregate(cells, F.lit(0.0), lambda a, c: a + (c["yhat"] - c["y"]) * (c["yhat"] - c["y"]))
     return (
-        predictions.join(thresholds, list(RECORDING))
+        join_facts(predictions, thresholds, RECORDING, "origin")
         .withColumn("cells", cells)
         .groupBy(*by, *RECORDING)
         .agg(

@@ -30,6 +30,23 @@ def _decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
     return groups_are_bounded(df, keys) if bounded is None else bounded
 
 
+# --- facts per group ------------------------------------------------------
+
+SALTS = 32
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join a large table to a table of one or few rows per group.
+
+    The facts are repeated per salt and the rows salted by the hash of `spread`, so that
+    no group lies in one task where the planner shuffles both sides. Where the facts turn
+    out small, adaptive execution broadcasts them after measuring their size.
+    """
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+    return own.join(salted, [*keys, "salt"], how).drop("salt")
+
+
 # --- blocks ---------------------------------------------------------------
 
 
@@ -157,7 +174,7 @@ def exact_quantiles(
     holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
     low, high = F.floor("at"), F.ceil("at")
     ends = (
-        ranked.join(wanted, list(keys))
+        join_facts(ranked, wanted, keys, "v")
         .filter(holds(low) | holds(high))
         .groupBy(*keys, "name", "at")
         .agg(F.min(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))

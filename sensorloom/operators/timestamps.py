@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
 from sensorloom.functions.scalar import inverse, is_finite, overlap_fraction, overlap_seconds
-from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, prefix_sums, with_block_columns
+from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, join_facts, prefix_sums, with_block_columns
 
 DT_QUANTILES = {"median_dt": 0.5, "p01_dt": 0.01, "p05_dt": 0.05, "p95_dt": 0.95, "p99_dt": 0.99}
 
@@ -25,7 +25,7 @@ def relative_seconds(df: DataFrame, origin: Column | None = None, keys: Sequence
     integers so nanosecond counters keep their spacing."""
     if origin is None:
         first = df.groupBy(*keys).agg(F.min_by("ts_ns", "idx").alias("origin_ns"))
-        df, origin = df.join(first, list(keys)), F.col("origin_ns")
+        df, origin = join_facts(df, first, keys, "idx"), F.col("origin_ns")
     return df.withColumn("rel_s", (F.col("ts_ns") - origin) / F.lit(1e9)).drop("origin_ns")
 
 
@@ -117,8 +117,7 @@ def audit_timestamps(streams: DataFrame, bounded: bool | None = None, unit: str
     )
     over = lambda k: F.sum((F.col("pdt") > k * F.col("median_dt")).cast("bigint"))
     gaps = (
-        steps.select(*RECORDING, "pdt")
-        .join(base.select(*RECORDING, "median_dt"), list(RECORDING))
+        join_facts(steps.select(*RECORDING, "pdt", "idx"), base.select(*RECORDING, "median_dt"), RECORDING, "idx")
         .groupBy(*RECORDING)
         .agg(*[F.coalesce(over(k), F.lit(0)).alias(f"number_gaps_gt_{k}x_median") for k in (2, 5, 10)])
     )

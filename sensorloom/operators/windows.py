@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING, WindowSpec
-from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, halo_rows
+from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, halo_rows, join_facts
 from sensorloom.operators.timestamps import native_steps
 
 STATUSES = ("start", "end", "other", "gap", "valid")
@@ -25,7 +25,7 @@ def _classified_rows(streams: DataFrame, spec: WindowSpec, bounded: bool | None,
     so a running maximum of the breaking positions is enough: linear work per block.
     """
     size, (L, H, S) = spec.block_rows, (spec.lookback, spec.horizon, spec.stride)
-    rows = streams.select(*RECORDING, "idx", "ts_s", *columns).join(step_limits(streams, bounded), list(RECORDING))
+    rows = join_facts(streams.select(*RECORDING, "idx", "ts_s", *columns), step_limits(streams, bounded), RECORDING, "idx")
     k = F.col("idx")
     in_order = block_window()
     up_to_end = in_order.rowsBetween(Window.unboundedPreceding, H)

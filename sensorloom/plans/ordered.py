@@ -226,13 +226,13 @@ def w9(spark, d):
     "w13_rest_norm",
     """SELECT 'E' AS dataset, 'e' || CAST(label AS VARCHAR) AS recording_id, round(quantile_cont(sqrt(x * x + y * y + z * z), 0.5), 6) AS rest_norm_median
     FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z,
-                 row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 30 GROUP BY label""",
+                 row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 400 GROUP BY label""",
 )
 def w13(spark, d):
     from sensorloom.operators.ordering import assign_idx
 
     s = td.samples(spark, d).withColumnRenamed("idx", "vec_id")
-    return rest_norm(assign_idx(s, RECORDING, ["vec_id"], td.bounded(spark, d)), 30)
+    return rest_norm(assign_idx(s, RECORDING, ["vec_id"], td.bounded(spark, d)))
 
 
 @query("w14_stream_spans", f"WITH {STREAMS} SELECT {KEY}, round(arg_min(ts_s, idx), 6) AS first_s, round(arg_max(ts_s, idx), 6) AS last_s, count(*) AS n FROM streams GROUP BY ALL")

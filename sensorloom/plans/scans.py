@@ -311,7 +311,7 @@ def p15(spark, d):
 def s13_archives(spark, d):
     hall = F.col("recording_id").startswith("MH")
     ids = _ids(spark, d).withColumns({"name": F.when(hall, "machine_hall.zip").otherwise("rooms.zip"), "environment": F.when(hall, "machine_hall").otherwise("vicon")})
-    archives = ids.groupBy("name", "environment").agg(F.collect_set("recording_id").alias("recordings"))
+    archives = ids.select("name", "environment", F.array("recording_id").alias("recordings")).distinct()
     return catalogs.expand_archives(archives.withColumn("size_bytes", (F.length("name") * 1000).cast("bigint")))
 
 
@@ -390,9 +390,8 @@ def u2(spark, d):
 
 @query("u3_common_groups", "WITH g AS (SELECT DISTINCT user_id % 14 < 6 AS a, user_id % 3 AS k, event_type FROM events) SELECT k, event_type FROM g WHERE a INTERSECT SELECT k, event_type FROM g WHERE NOT a")
 def u3(spark, d):
-    g = td.event_rows(spark, d).join(td.table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("k")), "event_id")
-    side = lambda x: g.filter(F.col("dataset") == x).select("k", "event_type")
-    return side("A").intersect(side("B"))
+    g = td.table(spark, d, "events").select((F.col("user_id") % 14 < 6).alias("a"), (F.col("user_id") % 3).alias("k"), "event_type")
+    return g.filter("a").drop("a").intersect(g.filter(~F.col("a")).drop("a"))
 
 
 @query("t4_first_seen_groups", "SELECT CASE WHEN user_id % 14 < 6 THEN 'A' ELSE 'B' END AS dataset, 'g' || CAST(user_id % 14 % 3 AS VARCHAR) AS held_group, min(user_id % 14) AS group_ord, count(DISTINCT user_id % 14) AS n_held FROM events GROUP BY ALL")

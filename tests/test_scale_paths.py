@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from sensorloom.config import WindowSpec
-from sensorloom.operators import filtering, ordering, windows
+from sensorloom.operators import channels, filtering, ordering, windows
 from sensorloom.operators.channels import describe_channels
 from sensorloom.operators.transfer import domain_shift
 
@@ -123,3 +122,18 @@ def test_frames_reach_over_block_ends(walk):
         for n in (7, 1 << 20)
     )
     assert small == large and len(small) == 790
+
+
+@pytest.mark.parametrize("build", [lambda s: windows.build_windows(s, WindowSpec(20, 5, 5, 5.0), True), lambda s: channels.autocorrelation(s, (1, 5))])
+def test_no_recording_meets_its_facts_in_one_task(spark, stream, build):
+    """Without broadcasts, joins of the stream to per-recording facts are salted."""
+    s = stream({"r": [(i * 0.01, i % 7, 1) for i in range(200)]})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = build(s)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert any("salt" in line for line in joins)
+    assert all(line.count("salt") >= 2 or "idx" in line for line in joins if "Inner" in line)

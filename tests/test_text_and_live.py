@@ -140,3 +140,13 @@ def test_live_health(spark, replayed):
         assert (r.sample_count, r.backward_count, r.duplicate_count) == (a.sample_count, a.backward_count, a.duplicate_count)
         assert r.maximum_gap == pytest.approx(a.maximum_gap)
     assert got["r"].late_rows == 10
+
+
+def test_no_live_window_reaches_over_a_late_row(spark, stream, tmp_path):
+    """Row 6 arrives behind row 7: it is dropped, and the windows that need it do not come out."""
+    s = stream({"r": [(i * 0.01, float(i), 1) for i in range(14)]}).withColumn("arrival", F.when(F.col("idx") == 6, 10).otherwise(F.col("idx")))
+    live.replay_table(s, f"{tmp_path}/in", 5, "arrival", files=1)
+    source = spark.readStream.schema(s.withColumn("arrival", F.col("arrival").cast("bigint")).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.run_to_end(live.live_windows(source, WindowSpec(3, 2, 1, 5.0), 0.05), f"{tmp_path}/w", f"{tmp_path}/ws")
+    got = sorted((r.origin, [*r.hist_qf, *r.future_qf]) for r in spark.read.parquet(f"{tmp_path}/w").collect())
+    assert got == [(o, [float(o + k) for k in range(-2, 3)]) for o in (2, 3, 9, 10, 11)]
