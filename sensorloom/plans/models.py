@@ -77,12 +77,18 @@ def k4_leaky(spark, d):
     return splits.overlapping_roles(folds.unionByName(leak))
 
 
+# In the fold B to A, recordings of group g1 of the target also train.
 @query(
     "k5_transfer_separation",
-    "SELECT * FROM (VALUES ('TRANSFER_A_TO_B', 'A', 'B', 'PASS'), ('TRANSFER_B_TO_A', 'B', 'A', 'PASS')) AS v(fold_id, train_datasets, target_datasets, status) WHERE EXISTS (SELECT 1 FROM events)",
+    f"""WITH {_RECS}, route AS (SELECT * FROM (VALUES ('A', 'B'), ('B', 'A')) AS v(s, t)),
+    m AS (SELECT 'TRANSFER_' || s || '_TO_' || t AS fold_id, s, t, dataset, dataset = s OR (s = 'B' AND dependency_group = 'g1') AS trains, dataset = t AS target FROM recs JOIN route ON dataset = s OR dataset = t),
+    sides AS (SELECT fold_id, min(s) AS s, string_agg(DISTINCT dataset, ',' ORDER BY dataset) FILTER (WHERE trains) AS train_datasets, string_agg(DISTINCT dataset, ',' ORDER BY dataset) FILTER (WHERE target) AS target_datasets FROM m GROUP BY fold_id)
+    SELECT fold_id, train_datasets, target_datasets, CASE WHEN train_datasets = s AND target_datasets <> s AND target_datasets NOT LIKE '%,%' THEN 'PASS' ELSE 'FAIL' END AS status FROM sides""",
 )
 def k5(spark, d):
-    return splits.transfer_separation(splits.transfer_manifests(td.recordings(spark, d), PAIRS))
+    folds = splits.transfer_manifests(td.recordings(spark, d), PAIRS)
+    leak = folds.filter("fold_id = 'TRANSFER_B_TO_A' and split_role = 'target_eval' and dependency_group = 'g1'").withColumn("split_role", F.lit("source_train"))
+    return splits.transfer_separation(folds.unionByName(leak))
 
 
 def _fit_log(spark, d) -> DataFrame:

@@ -6,7 +6,6 @@ become 3-axis samples. All reads are column-pruned parquet scans.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,21 +51,20 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=64)
-def _largest_recording(app_id: str, sf_dir: str) -> int:
-    spark = SparkSession.getActiveSession()
+def largest_recording(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the longest recording of the events."""
     sizes = table(spark, sf_dir, "events").groupBy((F.col("user_id") % N_RECORDINGS).alias("r")).count()
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
-def largest_recording(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of the longest recording; counted once per application and folder."""
-    return _largest_recording(spark.sparkContext.applicationId, sf_dir)
-
-
 def bounded(spark: SparkSession, sf_dir: str) -> bool:
-    """True if every recording of these tables is small enough for one task."""
-    return largest_recording(spark, sf_dir) <= BOUNDED_GROUP_ROWS
+    """True if no group of these tables is too large for one task.
+
+    Groups differ from query to query (recordings, whole datasets, results of a context, one
+    group of everything), so the bound is held against the row counts of the tables themselves,
+    which no group exceeds; Parquet answers that from its footers.
+    """
+    return all(table(spark, sf_dir, name).count() <= BOUNDED_GROUP_ROWS for name in ("events", "embeddings"))
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
