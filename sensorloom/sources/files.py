@@ -32,7 +32,7 @@ def file_role(path: Column) -> Column:
         .when(base.contains("groundtruth") | base.startswith("gt.") | base.contains("ground_truth"), "gt")
         .when(full.contains("leica"), "leica")
         .when(base.rlike(r"\.(yaml|yml)$"), "yaml")
-        .when(base.contains("camchain") | full.contains("kalibr"), "calib")
+        .when(base.contains("camchain") | base.contains("imu.yaml") | full.contains("kalibr"), "calib")
         .when(base.endswith(".txt") & ~base.contains("image") & ~base.contains("event"), "text")
     )
 

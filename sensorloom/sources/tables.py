@@ -92,8 +92,10 @@ def read_stream_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append run records, stamped so that the last one per job can win."""
-    runs.withColumn("appended_at", F.current_timestamp()).write.mode("append").parquet(path)
+    """Append run records, stamped so that the last one per job can win; `finished_utc` is the stamp as text."""
+    now = F.current_timestamp()
+    text = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    runs.withColumns({"appended_at": now, "finished_utc": text}).write.mode("append").parquet(path)
 
 
 def latest_runs(log: DataFrame, key: str = "job_id") -> DataFrame:
