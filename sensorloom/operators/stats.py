@@ -63,15 +63,27 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, order: str, bounded: bo
     )
 
 
+def _joined_means(values: DataFrame, by: Sequence[str], spec: BootstrapSpec) -> DataFrame:
+    """Mean of each replicate; a group's values are looked up by a join."""
+    drawn = bootstrap_draws(values, by, spec).join(values.select(*by, F.col("pos").alias("draw"), "v"), [*by, "draw"])
+    return drawn.groupBy(*by, "rep").agg(F.avg("v").alias("m"))
+
+
+def _gathered_means(values: DataFrame, by: Sequence[str], spec: BootstrapSpec) -> DataFrame:
+    """The same with the values of a bounded group in one array: no row per draw, no join."""
+    listed = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("vs"), F.count(F.lit(1)).alias("n"))
+    reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.reps - 1).cast("bigint")))
+    drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda p: F.get("vs", hash_draw(spec.seed, F.col("rep"), p, F.col("n")).cast("int"))["v"])
+    total = F.aggregate(drawn, F.lit(0.0), lambda a, v: a + v)
+    return listed.select(*by, "vs", "n", reps.alias("rep")).select(*by, "rep", (total / F.col("n")).alias("m"))
+
+
 def bootstrap_ci(
     df: DataFrame, by: Sequence[str], value: str, order: str, spec: BootstrapSpec = BootstrapSpec(), bounded: bool | None = None
 ) -> DataFrame:
     """Mean over recordings with a percentile bootstrap interval, plus spread."""
     values = ranked(df.filter(F.col(value).isNotNull()), by, value, order, bounded)
-    drawn = bootstrap_draws(values, by, spec).join(
-        values.select(*by, F.col("pos").alias("draw"), "v"), [*by, "draw"]
-    )
-    means = drawn.groupBy(*by, "rep").agg(F.avg("v").alias("m"))
+    means = _gathered_means(values, by, spec) if bounded and spec.draws == "hash" else _joined_means(values, by, spec)
     interval = means.groupBy(*by).agg(F.percentile("m", [spec.alpha / 2, 1 - spec.alpha / 2]).alias("q"))
     spread = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_recordings"),
