@@ -11,9 +11,10 @@ that survive are verified on the sets.
 Random documents are about equally far from each other in so many groups, so one tree over all of them would be
 read nearly whole by every query. The search is therefore routed first, without loss: for each size class the
 hashes are dealt into more groups than a linking pair can have differing hashes, so it agrees in the whole
-content of one non-empty group (documents with too many empty groups also send these). Documents that
-agree in a group are joined to its smallest id; the components of those stars hold every linking pair. Trees
-are built and searched inside components. A component beyond BLOCK_ROWS documents or BLOCK_HASHES hashes is
+content of at least one. A document sends the contents of its fullest groups, as many as that argument needs (all,
+empty ones too, where it needs them). Within a class, documents that agree in a group are joined to its
+smallest id; the components of those stars hold every linking pair, the pair's class being the larger one's. Trees
+are built and searched inside components. A component beyond BLOCK_ROWS documents or BLOCK_CHARS characters is
 split: all members meet its first document, and only those that do not link to it meet all the
 blocks of the others, block by block; pairs inside the linked rest are connected already.
 
@@ -37,8 +38,8 @@ from sensorloom.llm.base import query, table
 from sensorloom.llm.suffix_tree import slices
 from sensorloom.session import materialise
 
-GROUPS, FANOUT = 64, 16
-BLOCK_ROWS, BLOCK_HASHES = 2000, 4_000_000
+GROUPS, FANOUT, CLASS_BITS = 64, 16, 8
+BLOCK_ROWS, BLOCK_CHARS = 2000, 24_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,6 +90,16 @@ def size_classes(largest: int, num: int, den: int) -> list[int]:
     return [*lows, max(lows[-1] + 1, -(-lows[-1] * den // num))]
 
 
+def in_class(key: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Signatures whose top CLASS_BITS bits are the size class."""
+    low = np.uint64(64 - CLASS_BITS)
+    return ((key >> np.uint64(CLASS_BITS)) | (level.astype(np.uint64) << low)).view(np.int64)
+
+
+def class_of(sig: np.ndarray) -> np.ndarray:
+    return (sig.view(np.uint64) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+
+
 def signatures(sets: np.ndarray, starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature): contents of the groups, in the class of the text and in the one above."""
     size = np.diff(starts)
@@ -107,32 +118,38 @@ def signatures(sets: np.ndarray, starts: np.ndarray, num: int, den: int) -> tupl
         at = first[row] + ((sets >> np.uint64(20)) % groups[row].astype(np.uint64)).astype(np.int64)
         content = np.zeros(first[-1], np.uint64)
         np.add.at(content, at, mixed(sets))
-        filled = np.zeros(first[-1], bool)
-        filled[at] = True
+        held = np.bincount(at, minlength=first[-1])
         text = np.repeat(np.arange(len(size)), groups)
-        enough = np.bincount(text[filled], minlength=len(size)) > differing
-        keep = filled | ~enough[text]
+        # The fullest groups, as many as are needed for one to agree; all groups, empty ones too, if that takes them.
+        least = np.zeros(len(size), np.int64)
+        for c in range(1, 16):
+            least[np.bincount(text[held >= c], minlength=len(size)) > differing] = c
+        keep = held >= least[text]
         number = np.arange(first[-1]) - first[text]
         key = mixed(content + mixed((number * 64 + level[text] * 2_000_003).astype(np.uint64)))
         rows.append(text[keep])
-        out.append(key[keep].view(np.int64))
+        out.append(in_class(key[keep], level[text][keep]))
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _starred(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First id of each signature, and the links of the other ids to it."""
+def _starred(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First id of each signature, and the links (class, id, first id) of its other ids."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-    other = ~first & (ids != ids[head])
-    links = np.unique(np.stack([ids[other], ids[head[other]]], 1), axis=0)
-    return sig[first], ids[first], links[:, 0], links[:, 1]
+    other = np.flatnonzero(~first & (ids != ids[head]))
+    a, b, c = ids[other], ids[head[other]], class_of(sig[other])
+    order = np.lexsort((b, a, c))
+    a, b, c = a[order], b[order], c[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    return sig[first], ids[first], a[new], b[new], c[new]
 
 
 def candidate_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): stars of the documents that agree in a group; b is the smaller id."""
+    """(level, a, b): stars of the documents that agree in a group of a size class; b is the smaller id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +160,9 @@ def candidate_links(docs: DataFrame, words: int, num: int, den: int) -> DataFram
                 ids.append(part.column(0).to_numpy(zero_copy_only=False)[text])
             if not sigs:
                 continue
-            sig, head, a, b = _starred(np.concatenate(sigs), np.concatenate(ids))
+            sig, head, a, b, c = _starred(np.concatenate(sigs), np.concatenate(ids))
             # Links found inside the batch travel as signatures of their own: a pair meets under its hash.
-            pair = mixed(a.astype(np.uint64) * MIX + b.astype(np.uint64)).view(np.int64)
+            pair = in_class(mixed(a.astype(np.uint64) * MIX + b.astype(np.uint64)), c)
             yield pa.RecordBatch.from_pydict({"sig": np.concatenate([sig, pair, pair]), "id": np.concatenate([head, a, b])})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,28 +173,28 @@ def candidate_links(docs: DataFrame, words: int, num: int, den: int) -> DataFram
                 continue
             if last is not None:
                 sig, ids = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], ids))
-            first, head, a, b = _starred(sig, ids)
-            last = (first[-1], head[-1])
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            sig, head, a, b, c = _starred(sig, ids)
+            last = (sig[-1], head[-1])
+            yield pa.RecordBatch.from_pydict({"level": c.astype(np.int32), "a": a, "b": b})
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     rows = known.mapInArrow(emit, "sig long, id long")
-    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "a long, b long").distinct()
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "level int, a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
-    """(id, comp): smallest id of the component of each linked id, by label spreading with pointer jumps."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")), f"{name}-links")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), f"{name}-0")
+    """(level, id, comp): smallest id of the component of each linked id of a level, by label spreading with pointer jumps."""
+    both = materialise(links.select("level", "a", "b").union(links.select("level", "b", "a")), f"{name}-links")
+    labels = materialise(both.groupBy("level", "a").agg(F.min("b").alias("b")).select("level", F.col("a").alias("id"), F.least("a", "b").alias("comp")), f"{name}-0")
     k = 0
     while True:
         k += 1
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
-        spread = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        moved = spread.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
+        near = both.join(labels.withColumnRenamed("id", "b"), ["level", "b"]).groupBy("level", "a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
+        spread = labels.join(near, ["level", "id"]).select("level", "id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = labels.select("level", F.col("id").alias("comp"), F.col("comp").alias("up"))
+        moved = spread.join(jump, ["level", "comp"], "left").select("level", "id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
         moved = materialise(moved, f"{name}-{k}")
-        labels = moved.select("id", "comp")
+        labels = moved.select("level", "id", "comp")
         if moved.where("old <> comp").isEmpty():
             return labels
 
@@ -254,24 +271,12 @@ def connect(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, num: in
 # --- verification -----------------------------------------------------------------
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, starts = shingle_sets(part.column(2), words)
-                packed = pa.array([sets[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(starts), pa.int64()), packed], ["comp", "id", "n", "hashes"])
-
-    return run
-
-
-def _groups(num: int, den: int):
-    """Links inside each (comp, x, y): members stream in, sorted by group."""
+def _groups(words: int, num: int, den: int):
+    """Links inside each (comp, x, y): members (id, text, probe) stream in, sorted by group."""
 
     def flush(rows: list[tuple]) -> tuple[list[int], list[int]]:
         ids = np.array([r[0] for r in rows])
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        label = connect(ids, sets, np.flatnonzero([r[2] for r in rows]), num, den)
+        label = connect(ids, [r[1] for r in rows], np.flatnonzero([r[2] for r in rows]), num, den)
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         return ids.tolist(), low[label].tolist()
@@ -286,12 +291,15 @@ def _groups(num: int, den: int):
                     o.extend(x)
 
         for batch in batches:
-            comp, x, y, ids, hashes, probe = (batch.column(k).to_pylist() for k in range(6))
-            for k, now in enumerate(zip(comp, x, y, strict=True)):
-                if now != key:
-                    close()
-                    key, rows = now, []
-                rows.append((ids[k], hashes[k], probe[k]))
+            for part in slices(batch):
+                sets, starts = shingle_sets(part.column(4), words)
+                comp, x, y, ids = (part.column(k).to_pylist() for k in range(4))
+                probe = part.column(5).to_pylist()
+                for k, now in enumerate(zip(comp, x, y, strict=True)):
+                    if now != key:
+                        close()
+                        key, rows = now, []
+                    rows.append((ids[k], sets[starts[k] : starts[k + 1]].copy(), probe[k]))
             if len(out[0]) > 10_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
                 out = ([], [])
@@ -301,45 +309,57 @@ def _groups(num: int, den: int):
     return run
 
 
-def _pivot(num: int, den: int):
+def _pivot(words: int, num: int, den: int):
+    """Does each member (comp, head, id, text, first) link to the first text of its component?"""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, first = (batch.column(k).to_pylist() for k in (2, 3))
-            yes = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den) for a, b in zip(own, first, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(yes, pa.bool_())], ["comp", "id", "yes"])
+            for part in slices(batch):
+                a, at = shingle_sets(part.column(3), words)
+                b, bt = shingle_sets(part.column(4), words)
+                yes = [linked(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]], num, den) for k in range(len(part))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(yes, pa.bool_())], ["comp", "head", "id", "yes"])
 
     return run
 
 
 def verified_links(docs: DataFrame, stars: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect each true component, from the candidate components."""
+    """(a, b): links that connect each true component, from the candidate components.
+
+    Texts travel instead of sets (they are smaller); the join to the documents is a merge join at every size.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     inside = components(stars, "jaccard-near")
-    rows = docs.join(inside, docs["doc_id"].cast("long") == inside["id"]).select("comp", "id", "text")
-    members = materialise(rows.mapInArrow(_sets(words), "comp long, id long, n long, hashes binary"), "jaccard-members")
-    facts = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("hashes_in"))
-    facts = facts.withColumn("blocks", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("hashes_in") / BLOCK_HASHES)).cast("int"))
-    facts = materialise(facts, "jaccard-facts")
-    columns = ("comp", "x", "y", "id", "hashes", "probe")
-    small = members.join(facts.where("blocks <= 1"), "comp").select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "hashes", F.lit(True).alias("probe"))
-    large = members.join(facts.where("blocks > 1").select("comp", "blocks"), "comp")
-    first = large.where("id = comp").groupBy("comp").agg(F.min("hashes").alias("first"))
-    met = large.join(first, "comp").select("comp", "id", "hashes", "first").mapInArrow(_pivot(num, den), "comp long, id long, yes boolean")
-    met = materialise(met.groupBy("comp", "id").agg(F.max("yes").alias("yes")), "jaccard-pivots")
-    open_ = met.where("not yes").select("comp", "id")
-    sizes = open_.groupBy("comp").agg(F.count("*").alias("m_open"))
-    parted = large.join(sizes, "comp").withColumns({"opens": F.ceil(F.col("m_open") / BLOCK_ROWS).cast("int"), "y": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
-    every = parted.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("opens") - 1))).select("comp", "x", "y", "id", "hashes", F.lit(False).alias("probe"))
-    probes = parted.drop("y").join(open_, ["comp", "id"]).withColumns({"x": F.pmod(F.xxhash64("id", F.lit(1)), F.col("opens")).cast("int")})
-    probes = probes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", "x", "y", "id", "hashes", F.lit(True).alias("probe"))
-    jobs = small.select(*columns).unionByName(every.select(*columns)).unionByName(probes.select(*columns))
-    found = jobs.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "id").mapInArrow(_groups(num, den), "a long, b long")
-    return found.where("a <> b").union(met.where("yes and id <> comp").select("id", "comp"))
+    lengths = own.select("id", F.length("text").alias("chars")).join(inside.hint("merge"), "id")
+    facts = lengths.groupBy("level", "comp").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int")
+    placed = inside.join(facts, ["level", "comp"]).select(F.concat_ws(":", "level", "comp").alias("comp"), F.col("comp").alias("head"), "id", blocks.alias("blocks"))
+    placed = materialise(placed, "jaccard-placed")
+    members = own.join(placed.hint("merge"), "id").select("comp", "head", "id", "text", "blocks")
+    columns = ("comp", "x", "y", "id", "text", "probe")
+    jobs = members.where("blocks <= 1").select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "text", F.lit(True).alias("probe"))
+    met = None
+    if not placed.where("blocks > 1").isEmpty():
+        large = materialise(members.where("blocks > 1"), "jaccard-large")
+        first = large.where("id = head").groupBy("comp").agg(F.min("text").alias("first"))
+        met = large.join(first, "comp").select("comp", "head", "id", "text", "first").mapInArrow(_pivot(words, num, den), "comp string, head long, id long, yes boolean")
+        met = materialise(met.groupBy("comp", "head", "id").agg(F.max("yes").alias("yes")), "jaccard-pivots")
+        open_ = met.where("not yes").select("comp", "id")
+        sizes = open_.groupBy("comp").agg(F.count("*").alias("m_open"))
+        parted = large.join(sizes, "comp").withColumns({"opens": F.ceil(F.col("m_open") / BLOCK_ROWS).cast("int"), "y": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
+        every = parted.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("opens") - 1))).withColumn("probe", F.lit(False))
+        probes = parted.drop("y").join(open_, ["comp", "id"]).withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("opens")).cast("int"))
+        probes = probes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+        jobs = jobs.unionByName(every.select(*columns)).unionByName(probes.select(*columns))
+    found = jobs.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "id").mapInArrow(_groups(words, num, den), "a long, b long").where("a <> b")
+    return found if met is None else found.union(met.where("yes and id <> head").select("id", "head"))
 
 
 def linked_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(id, comp) of every document that links with another id or shares a candidate star."""
     stars = materialise(candidate_links(docs, words, num, den), "jaccard-stars")
-    return components(verified_links(docs.select("doc_id", "text"), stars, words, num, den), "jaccard")
+    found = verified_links(docs.select("doc_id", "text"), stars, words, num, den)
+    return components(found.select(F.lit(0).alias("level"), "a", "b"), "jaccard").drop("level")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
