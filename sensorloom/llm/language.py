@@ -4,8 +4,11 @@ Vectors: letters lower-cased, all else one blank, n-grams of 1 to 3 characters h
 counters, (1 + log tf) * idf, scaled to length 1. Document frequencies come from every training
 document. Each language gets a few centroids by spherical k-means over a bounded hash sample of
 its documents (`sample`, a parameter). A text takes the language of the centroid with the largest
-cosine. Rejection by distance: the cosine is below `slack` times the lowest quantile that training
-texts of the same length class have to their own language; a text without a letter is `und`.
+cosine. Rejection by distance: the cosine is below the low `quantile` of the cosines that all training
+texts of the same language and length class have to their own language, read from histograms of BINS
+steps; a sampled text is held against its centroid without itself. Where a class has too few texts to
+show that quantile, the limit is the lower of its lowest cosine and the normal quantile of its mean and
+deviation, and a class of under FEW texts takes that of all languages. A text without a letter is `und`.
 
 Defined cases: null or letterless text -> lang_pred 'und', score 0, rejected; a null language is no
 training row; with no training rows at all everything is 'und'; repeated rows are scored alike;
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,10 @@ DIMS = 1 << 12
 SALTS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Upper ends of the length classes (letters) whose distances are judged apart.
 LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
+#: Steps of the cosine histograms, from 0 to 1.
+BINS = 1000
+#: A length class of a language with fewer training texts says nothing about its own tail.
+FEW = 20
 
 
 @dataclass
@@ -96,10 +104,47 @@ def clusters(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centre
 
 
-def fit(train: DataFrame, k: int = 4, sample: int = 600, rounds: int = 8, quantile: float = 0.001, slack: float = 0.25) -> Model | None:
+def own_cosines(v: np.ndarray, centre: np.ndarray, weight: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """Largest cosine of each row to the centroids; a sampled row is first taken out of its nearest one (`weight`: length of its sum)."""
+    cosine = v @ centre.T
+    at, i = cosine.argmax(1), np.arange(len(v))
+    s, c = weight[at], cosine[i, at]
+    rest = np.sqrt(np.maximum(s * s - 2 * s * c + 1, 0))
+    without = np.where(rest > 1e-3, (s * c - 1) / np.maximum(rest, 1e-3), 0)
+    cosine[i, at] = np.where(sampled, without, c)
+    return np.clip(cosine.max(1), 0, 1)
+
+
+def limits(histogram: np.ndarray, quantile: float) -> np.ndarray:
+    """Lowest accepted cosine (languages x length classes) from counts (languages x length classes x BINS)."""
+    edge, z = np.arange(BINS) / BINS, NormalDist().inv_cdf(quantile)
+
+    def limit(h: np.ndarray) -> float:
+        n = h.sum()
+        low = edge[np.searchsorted(np.cumsum(h), max(1.0, quantile * n))]
+        if n * quantile >= 1:
+            return low
+        mean = (h * edge).sum() / n
+        return max(0.0, min(low, mean + z * np.sqrt((h * (edge - mean) ** 2).sum() / (n - 1))))
+
+    pooled = histogram.sum(0)
+    out = np.full(histogram.shape[:2], np.nan)
+    for i, j in np.ndindex(out.shape):
+        own = histogram[i, j] if histogram[i, j].sum() >= FEW else pooled[j]
+        if own.sum() >= FEW:
+            out[i, j] = limit(own)
+    for j in range(out.shape[1] - 2, -1, -1):  # too few in all languages: as the next longer class, and at the long end as the next shorter
+        out[:, j] = np.where(np.isnan(out[:, j]), out[:, j + 1], out[:, j])
+    for j in range(1, out.shape[1]):
+        out[:, j] = np.where(np.isnan(out[:, j]), out[:, j - 1], out[:, j])
+    out = np.nan_to_num(out)
+    return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]  # a shorter text may lie as far off as a longer one
+
+
+def fit(train: DataFrame, k: int = 4, sample: int = 600, rounds: int = 8, quantile: float = 0.001) -> Model | None:
     """Learn from (doc_id, text, lang) rows; `sample` bounds the documents per language that shape the centroids.
 
-    Collected: one row per language, and DIMS document counts.
+    All rows set the limits. Collected: one row per language, DIMS document counts and BINS counts per language and length class.
     """
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -111,29 +156,49 @@ def fit(train: DataFrame, k: int = 4, sample: int = 600, rounds: int = 8, quanti
         df[r["dim"] + 1] = r["df"]
     idf = np.log((1 + df[0]) / (1 + df[1:])).astype(np.float32) + np.float32(0.1)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    drawn = known.where(unit_hash("doc_id", seed=8) < share[F.col("lang")])
+    sampled = unit_hash("doc_id", seed=8) < share[F.col("lang")]
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [counts(list(pdf["text"][a:b])) for a, b in blocks(list(pdf["text"]), 500_000)]
         n = np.concatenate([p[1] for p in parts])
         v = vectors(np.concatenate([p[0] for p in parts]), idf)[n > 0]
         if not len(v):
-            return pd.DataFrame({"lang": [], "kind": [], "at": [], "value": []})
-        centre, size = clusters(v, k, rounds), length_class(n[n > 0])
-        best = (v @ centre.T).max(1)
-        low = np.array([np.quantile(best[size == s], quantile) if (size == s).any() else np.nan for s in range(len(LENGTHS) + 1)])
-        out = [("centre", j, centre[j].astype(np.float32).tobytes()) for j in range(len(centre))] + [("least", 0, low.astype(np.float32).tobytes())]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "kind": [o[0] for o in out], "at": [o[1] for o in out], "value": [o[2] for o in out]})
-
-    made = drawn.select("lang", "text").groupBy("lang").applyInPandas(shape, "lang string, kind string, at int, value binary").collect()
+            return pd.DataFrame({"lang": [], "at": [], "weight": [], "value": []})
+        centre = clusters(v, k, rounds)
+        to = (v @ centre.T).argmax(1)
+        weight = [float(np.linalg.norm(v[to == j].sum(0))) for j in range(len(centre))]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "at": range(len(centre)), "weight": weight, "value": [c.astype(np.float32).tobytes() for c in centre]})
+
+    made = known.where(sampled).select("lang", "text").groupBy("lang").applyInPandas(shape, "lang string, at int, weight double, value binary").collect()
     languages = sorted({r["lang"] for r in made})
     if not languages:
         return None
-    centre = sorted((languages.index(r["lang"]), r["at"], r["value"]) for r in made if r["kind"] == "centre")
-    least = np.stack([np.frombuffer(next(r["value"] for r in made if r["kind"] == "least" and r["lang"] == x), np.float32) for x in languages])
-    least = np.where(np.isnan(least), np.nanmin(least, axis=1, keepdims=True), least)
-    least = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]  # a shorter text may lie as far off as a longer one
-    return Model(languages, idf, np.stack([np.frombuffer(c[2], np.float32) for c in centre]), np.array([c[0] for c in centre]), slack * least)
+    centre = sorted((languages.index(r["lang"]), r["at"], r["value"], r["weight"]) for r in made)
+    centroids, owner, weight = np.stack([np.frombuffer(c[2], np.float32) for c in centre]), np.array([c[0] for c in centre]), np.array([c[3] for c in centre])
+    shape_ = (len(languages), len(LENGTHS) + 1, BINS)
+    held = train.sparkSession.sparkContext.broadcast((languages, idf, centroids, owner, weight))
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, idf, centroids, owner, weight = held.value
+        total = np.zeros(shape_, np.int64)
+        for batch in batches:
+            texts, langs = texts_of(batch), np.array(batch.column(1).to_pylist(), object)
+            own = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in blocks(texts, 500_000):
+                c, n = counts(texts[a:b])
+                v, of = vectors(c, idf), length_class(n)
+                for i, lang in enumerate(languages):
+                    rows = np.flatnonzero((langs[a:b] == lang) & (n > 0))
+                    best = own_cosines(v[rows], centroids[owner == i], weight[owner == i], own[a:b][rows])
+                    np.add.at(total, (i, of[rows], np.minimum((best * BINS).astype(int), BINS - 1)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int64), "n": total.ravel()[at]})
+
+    histogram = np.zeros(np.prod(shape_))
+    seen = known.select("text", "lang", F.coalesce(sampled, F.lit(False)).alias("sampled"))
+    for r in seen.mapInArrow(distances, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        histogram[r["at"]] = r["n"]
+    return Model(languages, idf, centroids, owner, limits(histogram.reshape(shape_), quantile))
 
 
 def classify(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:

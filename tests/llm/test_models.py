@@ -52,6 +52,30 @@ def test_language_rejects_what_is_far():
     assert not rejected[0] and rejected[1] and score[0] > score[1]
 
 
+def test_language_limits_reject_what_was_not_learned(spark):
+    rnd = np.random.default_rng(3)
+    stems = {"aa": "lor mi suta ren dol kesa vi tamu por nal".split(), "bb": "schun gref olt wem ziek hart brun eich fal tur".split()}
+
+    def text(lang):
+        return " ".join(rnd.choice(stems[lang]) + rnd.choice(stems[lang]) for _ in range(40))
+
+    docs = spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(["aa", "bb"] * 400)], "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=100)
+    assert model.least.min() > 0.3  # all documents set the limits, not the sample's lowest
+    clean = [text(lang) for lang in ["aa", "bb"] * 100]
+    assert language.classify(clean, model)[2].mean() <= 0.02
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita"
+    code = "for (auto it = m.begin(); it != m.end(); ++it) { if (it->second > 0) v.push_back(it->second * 2); } return v;"
+    letters = " ".join("".join(rnd.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(40))
+    assert language.classify([italian, code, letters], model)[2].all()
+
+
+def test_language_limit_is_the_quantile():
+    h = np.zeros((1, 2, language.BINS))
+    h[0, :, 200], h[0, :, 600:610] = 3, 200  # 3 of 2003 lie at 0.2, more than one in a thousand
+    assert (language.limits(h, 0.001) == 0.2).all() and (language.limits(h, 0.01) == 0.6).all()
+
+
 # --- toxicity ----------------------------------------------------------------------
 
 
