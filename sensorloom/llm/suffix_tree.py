@@ -7,8 +7,8 @@ drawn inside its class by its share there. A context is a candidate if its relat
 `least` (so there are at most 1/least per length, whatever the corpus), and is kept if its next-class
 distribution diverges from its parent's by more than the description length of that distribution, or if a
 longer kept context needs it. Kept distributions are smoothed towards the parent's; the state of a position
-is the longest kept suffix. A token's probability is (c + V * tree) / (N + V): its count among the N training
-tokens, and with the weight of the V distinct ones the tree's probability of its spelling where it stands.
+is the longest kept suffix. The score of a text is the sum of the log10 probabilities that the states give its
+bytes and its end; word counts serve base_score and n_known only.
 
 Counts cover all training documents: every class string and every word is counted in one pass, combined per
 task, and summed by key. Words carry two 64-bit hashes, the first as key, the second to prove that no two
@@ -321,7 +321,7 @@ def _tokens(part: pa.RecordBatch, model: tuple):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each row of `docs` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast((model.tree, model.head_key, model.head_n))
-    total, distinct = model.total, max(1, model.distinct)
+    total = model.total
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 size = len(part)
                 known = np.bincount(row, minlength=size) + (end_n > 0)
                 base = np.bincount(row, np.log10(n + 0.1), size) + math.log10(end_n + 0.1)
-                tree = np.bincount(row, np.log10((n + distinct * 10.0**spelled) / (total + distinct)), size) + np.log10((end_n + distinct * 10.0**end) / (total + distinct))
+                tree = np.bincount(row, spelled, size) + end
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(words + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.bincount(other[0], minlength=size), pa.int64()), pa.array(tree)],
                     ["doc_id", "row", "n_tokens", "head_known", "head_base", "n_tail", "head_score"],
@@ -352,7 +352,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.count("*").alias("tail"),
         F.count("n").alias("known"),
         F.sum(F.log10(n + 0.1)).alias("base"),
-        F.sum(F.log10((n + distinct * F.pow(F.lit(10.0), "spelled")) / float(total + distinct))).alias("tree"),
+        F.sum("spelled").alias("tree"),
     )
     copies = F.col("tail") / F.col("n_tail")  # equal rows share a key, so their sums hold each of them
     mass = math.log10(total + 0.1 * (model.distinct + 1))

@@ -282,6 +282,40 @@ def test_tree_is_a_distribution_over_kept_contexts():
     assert len(words) == 60 * 50 and len(end) == 62 and words.mean() > -1.0
 
 
+def test_score_is_the_tree_s_and_feels_word_order(spark):
+    cycle = "alder birch cedar dogwood elm fir ginkgo hazel".split()
+    train = [" ".join(cycle[(i + k) % 8] for k in range(80)) for i in range(40)]
+    text = train[0]
+    mixed = " ".join(random.Random(4).sample(text.split(), 80))
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_tree.score(frame([text, mixed, "birch"]), suffix_tree.fit(frame(train))).collect()}
+    assert got[0]["n_known"] == got[1]["n_known"] == 81 and got[0]["base_score"] == pytest.approx(got[1]["base_score"])
+    assert got[1]["score"] < got[0]["score"] - 50
+    # Brute force for one short text: the tree in memory, walked byte by byte.
+    rows, sizes = Counter(), np.zeros(256)
+    for t in train:
+        b = np.frombuffer(f"{t} \0".encode(), np.uint8)
+        sizes += np.bincount(b, minlength=256)
+        c = [0] * suffix_tree.DEPTH + suffix_tree.CLASS[b].tolist()
+        for i in range(suffix_tree.DEPTH, len(c)):
+            for d in range(suffix_tree.DEPTH + 1):
+                code = 0
+                for x in c[i - d : i + 1]:
+                    code = code << 6 | x
+                rows[d, code] += 1
+    tree = suffix_tree.build([(d, c, n) for (d, c), n in rows.items()], sizes, 20 / sum(n for (d, _), n in rows.items() if d == 0))
+    b = np.frombuffer(b"birch \0", np.uint8)
+    c, want = [0] * suffix_tree.DEPTH + suffix_tree.CLASS[b].tolist(), 0.0
+    for i in range(suffix_tree.DEPTH, len(c)):
+        node = 0
+        for d in range(1, suffix_tree.DEPTH + 1):
+            if not (to := tree.child[node * 64 + c[i - d]]):
+                break
+            node = to
+        want += tree.logp[node * 64 + c[i]] + tree.byte[b[i - suffix_tree.DEPTH]]
+    assert got[2]["score"] == pytest.approx(want, abs=1e-4)
+
+
 def test_suffix_tree_odd_rows(spark, odd_docs):
     rows = odd_docs.select("doc_id", "text")
     out = suffix_tree.score(rows, suffix_tree.fit(rows)).collect()
