@@ -3,12 +3,17 @@
 Texts are lower-cased (A-Z), split at white space and read as the bytes of the words with a blank after
 each and an end mark, so every token sequence has one spelling and the tree gives it a probability. Bytes
 fall in 64 fixed classes; the tree predicts the next class from up to DEPTH classes before it, and a byte is
-drawn inside its class by its share there. A context is a candidate if its relative frequency is at least
-`least` (so there are at most 1/least per length, whatever the corpus), and is kept if its next-class
-distribution diverges from its parent's by more than the description length of that distribution, or if a
-longer kept context needs it. Kept distributions are smoothed towards the parent's; the state of a position
-is the longest kept suffix. The score of a text is the sum of the log10 probabilities that the states give its
-bytes and its end; word counts serve base_score and n_known only.
+drawn inside its class by its share there. A context is kept if it was seen `seen` times or more and its
+next-class distribution diverges from its parent's by more than the description length of that distribution,
+or if a longer kept context needs it; so the tree grows with the text. Kept distributions hold all their
+next-class counts and are smoothed towards the parent's; the state of a position is the longest kept suffix.
+The score of a text is the sum of the log10 probabilities that the states give its bytes and its end; word
+counts serve base_score and n_known only.
+
+The tree is a table. DEPTH classes and the next one (a gram) decide a probability, so each distinct gram of
+the training and scored texts is a row; grams with the same NEAR nearest context classes meet in one task,
+which has all their longer contexts, and counts of shorter contexts are a fixed array. GRAMS commonest grams are
+looked up in the scoring tasks; all others meet their documents in a join.
 
 Counts cover all training documents: every class string and every word is counted in one pass, combined per
 task, and summed by key. Words carry two 64-bit hashes, the first as key, the second to prove that no two
@@ -38,6 +43,10 @@ from sensorloom.session import materialise
 
 DEPTH, WIDTH = 5, 64
 HEAD = 1e-5
+#: Contexts up to NEAR - 1 classes have their counts in one array of WIDTH ** NEAR.
+NEAR = 3
+#: Grams that scoring tasks look up themselves, at most.
+GRAMS = 1 << 19
 SLICE_BYTES = 2 << 20
 MERGE_ROWS = 1 << 20
 
@@ -177,12 +186,18 @@ class Tree:
     byte: np.ndarray  # log10 share of each byte in its class
 
 
-def build(rows: list[tuple[int, int, int]], sizes: np.ndarray, least: float, prior: float = 4.0) -> Tree:
-    """rows: (length of context, context and next class as one code, count)."""
+def byte_shares(sizes: np.ndarray) -> np.ndarray:
+    """log10 share of each byte in its class."""
     byte = np.zeros(256)
     for c in range(WIDTH):
         members = np.flatnonzero(CLASS == c)
         byte[members] = np.log10((sizes[members] + 0.5) / (sizes[members].sum() + 0.5 * len(members))) if len(members) else 0
+    return byte
+
+
+def build(rows: list[tuple[int, int, int]], sizes: np.ndarray, least: float, prior: float = 4.0) -> Tree:
+    """The same tree in memory, for small texts and tests. rows: (length of context, context and next class as one code, count)."""
+    byte = byte_shares(sizes)
     level, code, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
     contexts, counts = [], []
     for d in range(DEPTH + 1):
@@ -266,16 +281,99 @@ def token_scores(tree: Tree, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    tree: Tree
+    grams: DataFrame  # key, n: counts of all training grams
+    near: list[np.ndarray]  # of each length below NEAR: counts by context and next class
+    byte: np.ndarray  # log10 share of each byte in its class
     words: DataFrame  # key, n: counts of all training words and the end token
     total: int
     distinct: int
+    seen: int
     head_key: np.ndarray
     head_n: np.ndarray
 
 
-def fit(train: DataFrame, least: float = 2e-5) -> Model:
-    """Learn from all rows of `train` (text). To the driver come at most DEPTH / (least / 20) class strings and 1 / HEAD words."""
+def worth(size: np.ndarray, kinds: np.ndarray, divergence: np.ndarray, seen: int) -> np.ndarray:
+    """Contexts that pay for themselves: size seen, kinds of next classes, divergence from the parent's."""
+    return (size >= seen) & (divergence > 0.5 * np.maximum(kinds - 1, 1) * np.log(np.maximum(size, 2)))
+
+
+def levels(key: np.ndarray, n: np.ndarray, near: list[np.ndarray], seen: int) -> list[tuple]:
+    """Per length from NEAR to DEPTH, of grams that hold all their NEAR nearest classes' rows: count of each gram's
+    (context, next), size of its context, whether the context is kept (without what longer ones need), its number."""
+    out, above_n, above_size = [], near[NEAR - 1].ravel()[key & (WIDTH**NEAR - 1)], near[NEAR - 1].sum(1)[(key >> 6) & (WIDTH ** (NEAR - 1) - 1)]
+    for d in range(NEAR, DEPTH + 1):
+        code, first, inverse = np.unique(key & ((1 << 6 * (d + 1)) - 1), return_index=True, return_inverse=True)
+        count = np.bincount(inverse, n, len(code))
+        context, where = np.unique(code >> 6, return_inverse=True)
+        size = np.bincount(where, count, len(context))
+        q = (above_n[first] + 0.01) / (above_size[first] + 0.01 * WIDTH)
+        part = np.where(count > 0, count * np.log(np.maximum(count, 1) / np.maximum(size[where], 1) / q), 0)
+        keep = worth(size, np.bincount(where, count > 0, len(context)), np.bincount(where, part, len(context)), seen)
+        above_n, above_size, of = count[inverse], size[where][inverse], where[inverse]
+        out.append((above_n, above_size, keep, of))
+    for d in range(len(out) - 1, 0, -1):  # a longer kept context needs the shorter ones
+        np.logical_or.at(out[d - 1][2], out[d - 1][3][out[d][2][out[d][3]]], True)
+    return out
+
+
+def near_levels(near: list[np.ndarray], needed: np.ndarray, seen: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context of NEAR - 1 classes: its state's probabilities, and whether it is kept; `needed` ones have a kept longer one."""
+    keep = [np.ones(1, bool)]
+    for d in range(1, NEAR):
+        own, above = near[d], near[d - 1][np.arange(WIDTH**d) % WIDTH ** (d - 1)]
+        size = own.sum(1)
+        p, q = own / np.maximum(size, 1)[:, None], (above + 0.01) / (above + 0.01).sum(1, keepdims=True)
+        divergence = size * np.where(p > 0, p * np.log(np.maximum(p, 1e-300) / q), 0).sum(1)
+        keep.append(worth(size, (own > 0).sum(1), divergence, seen))
+    keep[NEAR - 1][needed] = True
+    for d in range(NEAR - 1, 1, -1):
+        keep[d - 1][np.flatnonzero(keep[d]) % WIDTH ** (d - 1)] = True
+    p = (near[0] + 1) / (near[0].sum() + WIDTH)
+    for d in range(1, NEAR):
+        up = p[np.arange(WIDTH**d) % WIDTH ** (d - 1)]
+        p = np.where(keep[d][:, None], (near[d] + prior * up) / (near[d].sum(1, keepdims=True) + prior), up)
+    return p, keep[NEAR - 1]
+
+
+def gram_scores(key: np.ndarray, n: np.ndarray, near: list[np.ndarray], near_p: np.ndarray, seen: int, prior: float) -> np.ndarray:
+    """log10 probability that each gram's state gives its last class."""
+    p = near_p.ravel()[key & (WIDTH**NEAR - 1)]
+    for count, size, keep, of in levels(key, n, near, seen):
+        p = np.where(keep[of], (count + prior * p) / (size + prior), p)
+    return np.log10(p)
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """key and n of a partition, sorted."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    key, n = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(2))
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct grams of texts to score, with count 0."""
+    key = [np.zeros(0, np.int64)]
+    for batch in batches:
+        for part in slices(batch):
+            codes, at = _codes(part)[:2]
+            key.append(np.unique(codes[at]))
+        key = [np.unique(np.concatenate(key))]
+        if len(key[0]) > MERGE_ROWS:
+            yield pa.RecordBatch.from_pydict({"key": key[0], "n": np.zeros(len(key[0]), np.int64)})
+            key = [np.zeros(0, np.int64)]
+    yield pa.RecordBatch.from_pydict({"key": key[0], "n": np.zeros(len(key[0]), np.int64)})
+
+
+def _codes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram of each position, flags of those predicted, bytes, and where each text starts."""
+    data, starts = stream(words_of(part.column(part.schema.get_field_index("text")))[0])
+    symbols = CLASS[data]
+    return (context_codes(symbols, DEPTH) << 6) | symbols, predicted(len(data), starts), data, starts
+
+
+def fit(train: DataFrame, seen: int = 20) -> Model:
+    """Learn from all rows of `train` (text). To the driver come at most WIDTH ** NEAR counts and 1 / HEAD words."""
     counted = materialise(train.select("text").mapInArrow(_counted, "kind string, key long, other long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")), "suffix-counts")
     words = counted.where("kind = 'w'")
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("clash")).first()
@@ -283,15 +381,38 @@ def fit(train: DataFrame, least: float = 2e-5) -> Model:
         raise ValueError("two words share a 64-bit hash; change the hash key")
     total = facts["n"] or 0
     head = words.where((F.col("n") >= max(1.0, HEAD * total)) | (F.col("key") == END[0])).select("key", "n").toPandas().sort_values("key")
-    grams = counted.where("kind = 'g'")
-    symbols = grams.agg(F.sum("n")).first()[0] or 0
-    by_length = grams.select(F.explode(F.array([F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 6 * (d + 1)) - 1)).alias("code")) for d in range(DEPTH + 1)])).alias("x"), "n")
-    rows = by_length.groupBy("x.d", "x.code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, least / 20 * symbols)).toPandas()
+    grams = counted.where("kind = 'g'").select("key", "n")
+    near = [np.zeros((WIDTH**d, WIDTH)) for d in range(NEAR)]
+    rows = grams.groupBy(F.col("key").bitwiseAND(F.lit(WIDTH**NEAR - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    for d in range(NEAR):
+        np.add.at(near[d].reshape(-1), rows["key"].to_numpy(np.int64) % WIDTH ** (d + 1), rows["n"].to_numpy(float))
     sizes = np.zeros(256)
     for r in counted.where("kind = 'b'").collect():
         sizes[r["key"]] = r["n"]
-    tree = build(list(rows.itertuples(index=False, name=None)), sizes, least)
-    return Model(tree, words.select("key", "n"), total, facts["v"], head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
+    return Model(grams, near, byte_shares(sizes), words.select("key", "n"), total, facts["v"], seen, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
+
+
+def scored_grams(docs: DataFrame, model: Model, prior: float = 4.0) -> DataFrame:
+    """key, n and log10 probability of every gram of the training texts and of `docs`."""
+    near, seen = model.near, model.seen
+    held = docs.sparkSession.sparkContext.broadcast(near)
+    every = model.grams.unionByName(docs.select("text").mapInArrow(_grams, "key long, n long")).groupBy("key").agg(F.sum("n").alias("n"))
+    group = F.shiftright("key", 6).bitwiseAND(F.lit(WIDTH**NEAR - 1))
+    dealt = materialise(every, "suffix-grams").repartition(group)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = whole(batches)
+        _, _, keep, of = levels(key, n, held.value, seen)[0]
+        yield pa.RecordBatch.from_pydict({"context": np.unique((key[keep[of]] >> 6) & (WIDTH ** (NEAR - 1) - 1))})
+
+    contexts = [r["context"] for r in dealt.mapInArrow(needed, "context long").distinct().collect()]
+    near_p = docs.sparkSession.sparkContext.broadcast(near_levels(near, np.array(contexts, np.int64), seen, prior)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = whole(batches)
+        yield pa.RecordBatch.from_pydict({"key": key, "n": n, "logp": gram_scores(key, n, held.value, near_p.value, seen, prior)})
+
+    return materialise(dealt.mapInArrow(run, "key long, n long, logp double"), "suffix-tree")
 
 
 def look_up(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -303,8 +424,9 @@ def look_up(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray) -> np
 
 
 def _tokens(part: pa.RecordBatch, model: tuple):
-    """Of a slice: words per text; text and tree score of each word of the head with its count; the same of all other words with their key."""
-    tree, head_key, head_n = model
+    """Of a slice: words per text; (text, count) of each word of the head; (text, key) of all other words; log10 sums of
+    the grams looked up and of the byte shares; (text, gram, times) of all other grams."""
+    head_key, head_n, gram_key, gram_p, byte = model
     lists, words = words_of(part.column(part.schema.get_field_index("text")))
     coded = words.dictionary_encode()
     index, values = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
@@ -313,46 +435,81 @@ def _tokens(part: pa.RecordBatch, model: tuple):
     index = index[real]
     key = hashes(values)[0]
     n = look_up(key, head_key, head_n)[index]
-    spelled, end = token_scores(tree, lists)
     head = n > 0
-    return np.bincount(row, minlength=len(part)), end, (row[head], spelled[head], n[head]), (row[~head], spelled[~head], key[index[~head]])
+    codes, at, data, starts = _codes(part)
+    text = np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(data))))[np.flatnonzero(at) - starts[0]]
+    where, gram = pd.factorize(codes[at])
+    known = np.minimum(np.searchsorted(gram_key, gram), max(0, len(gram_key) - 1))
+    found = gram_key[known] == gram if len(gram_key) else np.zeros(len(gram), bool)
+    p = np.where(found, gram_p[known], 0.0) if len(gram_key) else np.zeros(len(gram))
+    spelled = np.bincount(text, p[where] + byte[data[at]], len(part))
+    rest = np.flatnonzero(~found[where])
+    pair, times = np.unique(text[rest] * len(gram) + where[rest], return_counts=True)
+    return np.bincount(row, minlength=len(part)), (row[head], n[head]), (row[~head], key[index[~head]]), spelled, (pair // max(1, len(gram)), gram[pair % max(1, len(gram))], times)
+
+
+def head_grams(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and scores of the commonest grams, at most GRAMS."""
+    step = F.floor(F.log2(F.col("n") + 1) * 16)
+    sizes = sorted(((r["step"], r["rows"]) for r in grams.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, rows = math.inf, 0
+    for k, more in sizes:
+        rows += more
+        if rows > GRAMS:
+            break
+        least = k
+    if least == math.inf:
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({x: pa.array([batch.column(x).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for x in ("key", "logp")})
+
+    got = grams.where(step >= least).select("key", "logp").mapInArrow(packed, "key binary, logp binary").collect()  # as bytes: rows would fill the driver
+    key, logp = np.frombuffer(b"".join(r["key"] for r in got), np.int64), np.frombuffer(b"".join(r["logp"] for r in got), float)
+    order = np.argsort(key)
+    return key[order], logp[order]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of each row of `docs` (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast((model.tree, model.head_key, model.head_n))
+def score(docs: DataFrame, model: Model, new: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of each row of `docs` (doc_id, text); `new`: those that were not trained on."""
+    grams = scored_grams(docs if new is None else new, model)
+    held = docs.sparkSession.sparkContext.broadcast((model.head_key, model.head_n, *head_grams(grams), model.byte))
     total = model.total
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_n = int(look_up(np.array([END[0]]), *held.value[1:])[0])
+        end_n = int(look_up(np.array([END[0]]), *held.value[:2])[0])
         for batch in batches:
             for part in slices(batch):
-                words, end, (row, spelled, n), other = _tokens(part, held.value)
+                words, (row, n), other, spelled, rest = _tokens(part, held.value)
                 size = len(part)
                 known = np.bincount(row, minlength=size) + (end_n > 0)
                 base = np.bincount(row, np.log10(n + 0.1), size) + math.log10(end_n + 0.1)
-                tree = np.bincount(row, spelled, size) + end
+                tail = np.bincount(other[0], minlength=size) + np.bincount(rest[0], minlength=size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(words + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.bincount(other[0], minlength=size), pa.int64()), pa.array(tree)],
+                    [part.column(0), part.column(2), pa.array(words + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(tail, pa.int64()), pa.array(spelled)],
                     ["doc_id", "row", "n_tokens", "head_known", "head_base", "n_tail", "head_score"],
                 )
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                row, spelled, key = _tokens(part, held.value)[3]
+                _, _, (row, key), _, (text, gram, times) = _tokens(part, held.value)
                 ids = part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(key, pa.int64()), pa.array(spelled.astype(np.float32))], ["row", "key", "spelled"])
+                columns = [np.concatenate(x) for x in ((ids[row], ids[text]), (key, gram), (np.zeros(len(key), np.int64), times.astype(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["row", "key", "times"])
 
     scored = rows.mapInArrow(own, f"doc_id {kind}, row long, n_tokens long, head_known long, head_base double, n_tail long, head_score double")
-    n = F.coalesce("n", F.lit(0))
-    per_row = rows.mapInArrow(tail, "row long, key long, spelled float").join(model.words, "key", "left").groupBy("row").agg(
+    # One join for both: words have 0 times, grams one or more.
+    facts = model.words.select("key", F.lit(False).alias("gram"), F.col("n").cast("double").alias("value")).unionByName(grams.select("key", F.lit(True).alias("gram"), F.col("logp").alias("value")))
+    met = rows.mapInArrow(tail, "row long, key long, times long").withColumn("gram", F.col("times") > 0).join(facts, ["key", "gram"], "left")
+    per_row = met.groupBy("row").agg(
         F.count("*").alias("tail"),
-        F.count("n").alias("known"),
-        F.sum(F.log10(n + 0.1)).alias("base"),
-        F.sum("spelled").alias("tree"),
+        F.sum(F.when(~F.col("gram") & F.col("value").isNotNull(), 1).otherwise(0)).alias("known"),
+        F.sum(F.when(~F.col("gram"), F.log10(F.coalesce("value", F.lit(0.0)) + 0.1)).otherwise(0.0)).alias("base"),
+        F.sum(F.when(F.col("gram"), F.col("times") * F.col("value")).otherwise(0.0)).alias("tree"),
     )
     copies = F.col("tail") / F.col("n_tail")  # equal rows share a key, so their sums hold each of them
     mass = math.log10(total + 0.1 * (model.distinct + 1))
@@ -367,6 +524,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 @query("op5_suffix_tree")
 def op5_suffix_tree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(fold(F.col("doc_id"), 10) != 0))
-    out = score(docs, model)
+    held_out = fold(F.col("doc_id"), 10) == 0
+    model = fit(docs.where(~held_out))
+    out = score(docs, model, docs.where(held_out))
     return out.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

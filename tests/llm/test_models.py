@@ -303,7 +303,7 @@ def test_score_is_the_tree_s_and_feels_word_order(spark):
                 for x in c[i - d : i + 1]:
                     code = code << 6 | x
                 rows[d, code] += 1
-    tree = suffix_tree.build([(d, c, n) for (d, c), n in rows.items()], sizes, 20 / sum(n for (d, _), n in rows.items() if d == 0))
+    tree = suffix_tree.build([(d, c, n) for (d, c), n in rows.items()], sizes, 19.5 / sum(n for (d, _), n in rows.items() if d == 0))
     b = np.frombuffer(b"birch \0", np.uint8)
     c, want = [0] * suffix_tree.DEPTH + suffix_tree.CLASS[b].tolist(), 0.0
     for i in range(suffix_tree.DEPTH, len(c)):
@@ -316,6 +316,19 @@ def test_score_is_the_tree_s_and_feels_word_order(spark):
     assert got[2]["score"] == pytest.approx(want, abs=1e-4)
 
 
+def test_tree_grows_with_the_text_and_the_join_scores_alike(spark, monkeypatch):
+    rows = ["aaa bbb ccc " * 250_000] + ["quixotic"] * 30  # the word is a hundred thousandth of the text
+    train = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "quixotic"), (1, "quiet aaa"), (2, "aaa ccc"), (2, "aaa ccc"), (3, None)], "doc_id long, text string")
+    model = suffix_tree.fit(train)
+    got = sorted(map(tuple, suffix_tree.score(docs, model).collect()))
+    assert got[0][-1] > -3
+    monkeypatch.setattr(suffix_tree, "GRAMS", 0)
+    monkeypatch.setattr(suffix_tree, "SLICE_BYTES", 1)
+    joined = sorted(map(tuple, suffix_tree.score(docs, model).collect()))
+    assert len(joined) == 5 and all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:]) for a, b in zip(got, joined, strict=True))
+
+
 def test_suffix_tree_odd_rows(spark, odd_docs):
     rows = odd_docs.select("doc_id", "text")
     out = suffix_tree.score(rows, suffix_tree.fit(rows)).collect()
