@@ -10,8 +10,10 @@ Retrieved pairs are verified: of the item's question (all but its last sentence)
 sentence; of a single sentence the last third of its words) the share of word 3-grams found in the passage
 must reach `overlap` each.
 
-The index is broadcast. Its size is checked: items are dealt into shards of at most SHARD_ITEMS items and
-SHARD_CHARS characters, one pass over the documents per shard.
+The index is broadcast. Its size is checked: items are dealt into shards of about SHARD_ITEMS items and
+SHARD_CHARS characters, one pass over the documents per shard. Document frequencies, number of items, mean and
+longest length are those of the whole benchmark, so scores and passages do not depend on the shards. Shards are
+built and broadcast one after the other; the driver holds one.
 
 Words are runs between white space, lower-cased, without characters that are neither letters nor digits.
 Defined cases: null or empty texts match nothing; items without words are no items; items with equal texts
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.base import query, table
 from sensorloom.llm.suffix_tree import slices
+from sensorloom.session import materialise
 
 K1, LENGTH_SHARE, BLOCK = 1.2, 0.75, 16
 SHARD_ITEMS, SHARD_CHARS = 4096, 8 << 20
@@ -59,6 +62,16 @@ def halves(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+@dataclass
+class Facts:
+    """Of the whole benchmark."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]  # at least of the terms of the items at hand
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -66,7 +79,7 @@ class Index:
     terms: list[str]
     postings: list[tuple[list[int], list[float]]]  # of each term: item positions and shares of the item's own score
     list_max: np.ndarray
-    block_max: np.ndarray  # term x block of items
+    block_max: list[dict[int, float]]  # of each term, by block of items
     first: np.ndarray  # of each term's essential pairs
     pair_item: np.ndarray
     pair_share: np.ndarray
@@ -76,18 +89,19 @@ class Index:
     overlap: float
 
 
-def build(items: list[tuple[int, str]], threshold: float, overlap: float) -> Index | None:
+def build(items: list[tuple[int, str]], threshold: float, overlap: float, facts: Facts | None = None) -> Index | None:
+    """Index of some items of a benchmark with `facts`; without them the items are the benchmark."""
     items = sorted((i, t) for i, t in items if t and words_of(t))
     if not items:
         return None
     bags = [Counter(words_of(t)) for _, t in items]
     sizes = [sum(b.values()) for b in bags]
-    mean, n = sum(sizes) / len(sizes), len(items)
+    facts = facts or Facts(len(items), sum(sizes) / len(sizes), max(sizes), Counter(w for b in bags for w in b))
+    mean, n, df = facts.mean, len(items), facts.df
     terms = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
-    df = Counter(w for b in bags for w in b)
-    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    idf = {w: math.log(1 + (facts.items - df[w] + 0.5) / (df[w] + 0.5)) for w in terms}
     postings: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
-    block_max = np.zeros((len(terms), -(-n // BLOCK)), np.float32)
+    block_max: list[dict[int, float]] = [{} for _ in terms]
     pairs, need = [], np.zeros(n)
     for i, bag in enumerate(bags):
         part = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * sizes[i] / mean)) for w, tf in bag.items()}
@@ -102,12 +116,12 @@ def build(items: list[tuple[int, str]], threshold: float, overlap: float) -> Ind
             k = terms[w]
             postings[k][0].append(i)
             postings[k][1].append(x / own)
-            block_max[k, i // BLOCK] = max(block_max[k, i // BLOCK], x / own)
+            block_max[k][i // BLOCK] = max(block_max[k].get(i // BLOCK, 0.0), x / own)
     sides = [tuple([terms[w] for w in side] for side in halves(t)) for _, t in items]
     pairs.sort()
     first = np.searchsorted([p[0] for p in pairs], np.arange(len(terms) + 1))
     item, share = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
-    return Index([i for i, _ in items], sides, list(terms), postings, block_max.max(1), block_max, first, item, share, need, 2 * max(sizes), threshold, overlap)
+    return Index([i for i, _ in items], sides, list(terms), postings, np.array([max(b.values()) for b in block_max]), block_max, first, item, share, need, 2 * facts.longest, threshold, overlap)
 
 
 def wand(index: Index, terms: list[int]) -> list[tuple[int, float]]:
@@ -129,7 +143,7 @@ def wand(index: Index, terms: list[int]) -> list[tuple[int, float]]:
         while pivot + 1 < len(live) and live[pivot + 1][0] == item:
             pivot += 1
         block = item // BLOCK
-        if sum(float(lists[k][2][block]) for _, k in live[: pivot + 1]) < least:
+        if sum(lists[k][2].get(block, 0.0) for _, k in live[: pivot + 1]) < least:
             # No item of this block up to the next list's position can reach it.
             beyond = (block + 1) * BLOCK if pivot + 1 == len(live) else min((block + 1) * BLOCK, live[pivot + 1][0])
             for _, k in live[: pivot + 1]:
@@ -199,13 +213,46 @@ def matches(index: Index, part: pa.RecordBatch) -> list[tuple[int, int, float, f
     return [(text, index.ids[item], *x[:3], -x[3]) for (text, item), x in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> list[Index]:
-    """One index per shard of the items (item_id, text)."""
-    facts = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    shards = max(1, -(-facts["n"] // SHARD_ITEMS), -(-(facts["chars"] or 0) // SHARD_CHARS))
-    deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    made = (build([(r["item_id"], r["text"]) for r in benchmark.where(deal == k).select("item_id", "text").collect()], threshold, overlap) for k in range(shards))
-    return [x for x in made if x]
+class Shards:
+    """The indexes of the items (item_id, text), built when they are reached."""
+
+    def __init__(self, benchmark: DataFrame, threshold: float, overlap: float):
+        counts = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+        self.shards = max(1, -(-counts["n"] // SHARD_ITEMS), -(-(counts["chars"] or 0) // SHARD_CHARS))
+        self.items = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.shards)).alias("shard"))
+        self.threshold, self.overlap, self.facts, self.terms = threshold, overlap, None, None
+        if self.shards == 1:
+            return
+
+        def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(shard, words_of(t or "")) for t, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([s for s, _ in rows], [len(w) for _, w in rows], [sorted(set(w)) for _, w in rows]), kinds, strict=True)], ["shard", "size", "words"])
+
+        bag = materialise(self.items.select("text", "shard").mapInArrow(bags, "shard long, size long, words array<string>").where("size > 0"), "benchmark-words")
+        whole = bag.agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+        self.facts = (whole["n"], (whole["words"] or 0) / max(1, whole["n"]), whole["longest"] or 0)
+        word = bag.select("shard", F.explode("words").alias("word"))
+        self.terms = materialise(word.select("shard", "word").distinct().join(word.groupBy("word").agg(F.count("*").alias("df")), "word"), "benchmark-terms")
+
+    def _index(self, k: int) -> Index | None:
+        facts = self.facts and Facts(*self.facts, {r["word"]: r["df"] for r in self.terms.where(F.col("shard") == k).collect()})
+        return build([(r["item_id"], r["text"]) for r in self.items.where(F.col("shard") == k).collect()], self.threshold, self.overlap, facts)
+
+    def __len__(self) -> int:
+        return self.shards
+
+    def __iter__(self) -> Iterator[Index]:
+        for k in range(self.shards):
+            if index := self._index(k):
+                yield index
+
+
+def indexes(benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6) -> list[Index] | Shards:
+    """One index per shard of the items (item_id, text): a list of one or none, or shards that are built one after the other."""
+    shards = Shards(benchmark, threshold, overlap)
+    return list(shards) if shards.shards == 1 else shards
 
 
 def find(docs: DataFrame, index: Index) -> DataFrame:
@@ -225,27 +272,43 @@ def find(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score double, question double, answer double, start long")
 
 
-def clean(docs: DataFrame, found: list[Index]) -> DataFrame:
+def clean(docs: DataFrame, found: list[Index] | Shards) -> DataFrame:
     """The rows of `docs` in which no item was verified."""
-    held = docs.sparkSession.sparkContext.broadcast(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                keep = np.ones(len(part), bool)
-                for index in held.value:
-                    keep[[m[0] for m in matches(index, part)]] = False
-                yield part.filter(pa.array(keep))
-
+    many, hits = isinstance(found, Shards), []
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema)
+    for index in found:
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    matched = np.zeros(len(part), bool)
+                    matched[[m[0] for m in matches(held.value, part)]] = True
+                    yield part.filter(pa.array(matched if many else ~matched))
+
+        if not many:
+            return docs.mapInArrow(run, schema)
+        # Written before the next shard is built, so that no two are held; rows with equal texts are judged alike.
+        hits.append(materialise(docs.select("text").mapInArrow(run, "text string").select(F.sha2(F.col("text").cast("binary"), 256).alias("benchmark_hit")).distinct(), "clean"))
+        held.destroy()
+    for hit in hits:
+        docs = docs.join(hit, F.sha2(docs["text"].cast("binary"), 256) == hit["benchmark_hit"], "left_anti")
+    return docs
+
+
+def pairs(docs: DataFrame, found: list[Index] | Shards) -> DataFrame | None:
+    """The verified pairs of all shards."""
+    out = None
+    for index in found:
+        got = find(docs, index)
+        if isinstance(found, Shards):
+            got = materialise(got, "pairs")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("op7_decontamination")
 def op7_decontamination(spark, sf_dir):
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    parts = [find(docs, index) for index in indexes(benchmark)]
-    out = parts[0] if parts else spark.createDataFrame([], "doc_id long, item_id long, score double, question double, answer double, start long")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = pairs(docs, indexes(benchmark))
+    return spark.createDataFrame([], "doc_id long, item_id long, score double, question double, answer double, start long") if out is None else out

@@ -181,6 +181,18 @@ def test_shards_find_the_same(spark, sf, monkeypatch):
     assert len(shards) > 1 and {(r["doc_id"], r["item_id"]) for x in shards for r in decontaminate.find(docs, x).collect()} == one
 
 
+def test_shards_do_not_change_scores(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = lambda: sorted(map(tuple, decontaminate.pairs(docs, decontaminate.indexes(items)).collect()))
+    left = lambda: sorted(r["doc_id"] for r in decontaminate.clean(docs, decontaminate.indexes(items)).select("doc_id").collect())
+    one, kept = rows(), left()
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 15)
+    several = rows()
+    assert len(one) == len(several) > 0 and left() == kept
+    for a, b in zip(one, several, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
 # --- fingerprints --------------------------------------------------------------------
 
 
