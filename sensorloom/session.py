@@ -71,4 +71,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sensorloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables of `materialise` once nothing will read them again.
+
+    Only after what was made from them is written itself: a lost executor may still re-read them before that.
+    """
+    for df in written:
+        spark, path = df.sparkSession, df.written_to
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
