@@ -11,16 +11,26 @@ that survive are verified on the sets.
 Random documents are about equally far from each other in so many groups, so one tree over all of them would be
 read nearly whole by every query. The search is therefore routed first, without loss: for each size class the
 hashes are dealt into more groups than a linking pair can have differing hashes, so it agrees in the whole
-content of at least one. A document sends the contents of its fullest groups, as many as that argument needs (all,
-empty ones too, where it needs them). Within a class, documents that agree in a group are joined to its
-smallest id; the components of those stars hold every linking pair, the pair's class being the larger one's. Trees
-are built and searched inside components. A component beyond BLOCK_ROWS documents or BLOCK_CHARS characters is
-split: all members meet its first document, and only those that do not link to it meet all the
-blocks of the others, block by block; pairs inside the linked rest are connected already.
-
-Defined cases: null or empty text -> n 0, its own component; a null doc_id is counted but linked with nothing;
+content of at least one. A document sends the contents (signatures) of its fullest groups, as many as that argument
+needs (all, empty ones too, where it needs them); a pair's class is the larger document's. The documents
+that share a signature form a sharing, and every linking pair is inside one. Trees are then built and searched in two kinds of
+candidate sets:
+
+* clusters: documents that agree with the first document of their sharings in at least STRONG of the groups
+  the argument needs. Near copies agree in most, so their many sharings become one set; a passage that
+  unrelated documents have in common gives few agreements and chains nothing;
+* open sharings: those whose members are not all in one cluster. Equal lists of members count once.
+
+So a linking pair is either inside a cluster or inside an open sharing, and both are searched and verified; components are
+made of verified links alone. A set beyond BLOCK_ROWS documents or BLOCK_CHARS characters is split: all members meet
+its first document, and only those that do not link to it meet all the blocks of the others, block by block; pairs
+inside the linked rest are connected already.
+
+Defined cases: null or empty text -> n 0, its own component. Join: a null doc_id is counted but linked with nothing;
 rows with one doc_id are one node, linked by any of them; ties and copies are in the component of the smallest
-doc_id; an empty table stays empty; other columns are ignored (join) or kept (dedupe).
+doc_id; other columns are ignored. Dedupe decides by row: of the rows of a component the one with the smallest doc_id stays
+(null last, then by hash of id and text), and one of rows equal in both; rows with null ids or one id for several texts are
+compared like all others; rows with empty texts stay, once per id; all columns are kept. Ids may be of any type. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,10 +46,16 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.base import query, table
 from sensorloom.llm.suffix_tree import slices
-from sensorloom.session import materialise
+from sensorloom.session import discard, materialise
 
 GROUPS, FANOUT, CLASS_BITS = 64, 16, 8
-BLOCK_ROWS, BLOCK_CHARS = 2000, 24_000_000
+BLOCK_ROWS, BLOCK_CHARS = 1000, 24_000_000
+#: Share of the needed groups in which two documents of a cluster agree at least.
+STRONG = 0.05
+#: Sharings up to so many members are known by their list, so that equal ones count once.
+LISTED = 64
+#: Added to the size class of signatures of whole sets.
+WHOLE = 128
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +106,11 @@ def size_classes(largest: int, num: int, den: int) -> list[int]:
     return [*lows, max(lows[-1] + 1, -(-lows[-1] * den // num))]
 
 
+def differing_groups(low: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Most groups in which a linking pair can differ; `low`: lower end of the class above its own."""
+    return 2 * (low - 1) * (den - num) // (den + num)
+
+
 def in_class(key: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Signatures whose top CLASS_BITS bits are the size class."""
     low = np.uint64(64 - CLASS_BITS)
@@ -111,7 +132,7 @@ def signatures(sets: np.ndarray, starts: np.ndarray, num: int, den: int) -> tupl
     rows, out = [], []
     for up in (0, 1):
         level = own + up
-        differing = 2 * (lows[np.minimum(level + 1, len(lows) - 1)] - 1) * (den - num) // (den + num)
+        differing = differing_groups(lows[np.minimum(level + 1, len(lows) - 1)], num, den)
         groups = differing + 1 + differing // 8 + (differing > 0)
         groups = np.where(size > 0, groups, 0)
         first = np.concatenate(([0], np.cumsum(groups)))
@@ -132,54 +153,100 @@ def signatures(sets: np.ndarray, starts: np.ndarray, num: int, den: int) -> tupl
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _starred(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First id of each signature, and the links (class, id, first id) of its other ids."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-    other = np.flatnonzero(~first & (ids != ids[head]))
-    a, b, c = ids[other], ids[head[other]], class_of(sig[other])
-    order = np.lexsort((b, a, c))
-    a, b, c = a[order], b[order], c[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    return sig[first], ids[first], a[new], b[new], c[new]
+def set_hashes(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One hash per whole set (0: empty)."""
+    total = np.concatenate(([np.uint64(0)], np.cumsum(mixed(sets))))
+    return total[starts[1:]] - total[starts[:-1]]
 
 
-def candidate_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(level, a, b): stars of the documents that agree in a group of a size class; b is the smaller id."""
+def shared(sig: np.ndarray, ids: np.ndarray, last: tuple | None) -> tuple[dict[str, np.ndarray] | None, tuple]:
+    """Members (sharing, level, head, id, n) of signatures with two ids or more, from rows sorted by both.
+
+    `last`: signature, head, last id and whether the head is out already, of the rows before; n: signatures with this list.
+    """
+    if last is not None:
+        ids, sig = np.concatenate(([last[2]], ids)), np.concatenate(([last[0]], sig))
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+    sig, ids = sig[new], ids[new]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.concatenate((first, [len(sig)])))
+    head, out, group = ids[first], np.zeros(len(first), bool), np.repeat(np.arange(len(first)), size)
+    if last is not None:
+        head[0], out[0] = last[1], last[3]
+    keep = (size[group] > 1) & ~(out[group] & (np.arange(len(sig)) == first[group]))
+    # A group within the batch (not its first or last one) is known by the list of its ids.
+    whole = (size > 1) & (size <= LISTED)
+    whole[[0, -1]] = False
+    level = class_of(sig)
+    name = sig[first].copy()
+    content = np.zeros(len(first), np.uint64)
+    np.add.at(content, group, mixed(ids.astype(np.uint64) + np.uint64(1)))
+    name[whole] = mixed(content + mixed(level[first].astype(np.uint64)))[whole].view(np.int64)
+    rank = np.full(len(first), -1)
+    _, at, n = np.unique(name[whole], return_index=True, return_counts=True)
+    count = np.ones(len(first), np.int64)
+    where = np.flatnonzero(whole)
+    rank[where[at]] = 0
+    count[where[at]] = n
+    keep &= ~whole[group] | (rank[group] == 0)
+    rows = group[keep]
+    state = (sig[-1], head[-1], ids[-1], bool(size[-1] > 1 or out[-1]))
+    if not len(rows):
+        return None, state
+    return {"sharing": name[rows], "level": level[keep].astype(np.int32), "head": head[rows], "id": ids[keep], "n": count[rows]}, state
+
+
+def sharings(nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(sharing, level, head, id, n): the documents (id, text) that agree in a group of a size class; head is the smallest id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, ids = [], []
             for part in slices(batch):
-                text, sig = signatures(*shingle_sets(part.column(1), words), num, den)
-                sigs.append(sig)
-                ids.append(part.column(0).to_numpy(zero_copy_only=False)[text])
-            if not sigs:
-                continue
-            sig, head, a, b, c = _starred(np.concatenate(sigs), np.concatenate(ids))
-            # Links found inside the batch travel as signatures of their own: a pair meets under its hash.
-            pair = in_class(mixed(a.astype(np.uint64) * MIX + b.astype(np.uint64)), c)
-            yield pa.RecordBatch.from_pydict({"sig": np.concatenate([sig, pair, pair]), "id": np.concatenate([head, a, b])})
+                sets, starts = shingle_sets(part.column(1), words)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                # Of equal sets of a batch one sends its groups; all send the hash of the whole.
+                key, full = set_hashes(sets, starts), np.diff(starts) > 0
+                order = np.lexsort((ids, key))
+                again = np.zeros(len(ids), bool)
+                again[order[1:]] = key[order[1:]] == key[order[:-1]]
+                copied = np.isin(key, key[again & full]) & full
+                text, sig = signatures(sets, starts, num, den)
+                own = ~again[text]
+                size = np.diff(starts)[copied]
+                lows = np.array(size_classes(int(size.max(initial=1)), num, den))
+                level = np.searchsorted(lows, size, side="right") - 1 + WHOLE
+                yield pa.RecordBatch.from_pydict({"sig": np.concatenate([sig[own], in_class(mixed(key[copied]), level)]), "id": np.concatenate([ids[text[own]], ids[copied]])})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:  # sorted by signature and id
-            sig, ids = (batch.column(k).to_numpy() for k in range(2))
-            if not len(sig):
-                continue
-            if last is not None:
-                sig, ids = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], ids))
-            sig, head, a, b, c = _starred(sig, ids)
-            last = (sig[-1], head[-1])
-            yield pa.RecordBatch.from_pydict({"level": c.astype(np.int32), "a": a, "b": b})
-
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = known.mapInArrow(emit, "sig long, id long")
-    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "level int, a long, b long").distinct()
+            if len(batch):
+                rows, last = shared(batch.column(0).to_numpy(), batch.column(1).to_numpy(), last)
+                if rows:
+                    yield pa.RecordBatch.from_pydict(rows)
+
+    rows = nodes.mapInArrow(emit, "sig long, id long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "sharing long, level int, head long, id long, n long")
+
+
+def candidate_sets(nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(job, id): clusters and open sharings; together they hold every linking pair."""
+    met = materialise(sharings(nodes, words, num, den), "jaccard-sharings")
+    level = F.col("level") % WHOLE
+    lows = size_classes(1 << 40, num, den)[:WHOLE]
+    least = F.element_at(F.array(*[F.lit(int(np.ceil(STRONG * (differing_groups(np.array(low), num, den) + 1)))) for low in [*lows[1:], lows[-1]]]), (level + 1).cast("int"))
+    stars = met.where("id <> head").groupBy("level", "id", "head").agg(F.sum("n").alias("n"))
+    strong = stars.where((F.col("level") >= WHOLE) | (F.col("n") >= least)).select(level.alias("level"), F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = components(strong, "jaccard-near")
+    placed = met.select("sharing", level.alias("level"), "id").join(clusters.hint("merge"), ["level", "id"], "left").select("sharing", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = materialise(placed, "jaccard-placed")
+    open_ = placed.groupBy("sharing").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sharing")
+    loose = placed.join(open_.hint("merge"), "sharing").select(F.xxhash64(F.lit("sharing"), "sharing").alias("job"), "id").distinct()
+    dense = clusters.select(F.xxhash64(F.lit("cluster"), "comp").alias("job"), "id").distinct()  # the same cluster may stand in two classes
+    jobs = materialise(dense.union(loose), "jaccard-jobs")
+    discard(met, clusters, placed)
+    return jobs
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -194,8 +261,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
         jump = labels.select("level", F.col("id").alias("comp"), F.col("comp").alias("up"))
         moved = spread.join(jump, ["level", "comp"], "left").select("level", "id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
         moved = materialise(moved, f"{name}-{k}")
+        discard(labels)
+        done = moved.where("old <> comp").isEmpty()
         labels = moved.select("level", "id", "comp")
-        if moved.where("old <> comp").isEmpty():
+        labels.written_to = moved.written_to
+        if done:
+            discard(both)
             return labels
 
 
@@ -323,43 +394,51 @@ def _pivot(words: int, num: int, den: int):
     return run
 
 
-def verified_links(docs: DataFrame, stars: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect each true component, from the candidate components.
+def verified_links(nodes: DataFrame, jobs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect each true component, from the candidate sets (job, id).
 
-    Texts travel instead of sets (they are smaller); the join to the documents is a merge join at every size.
+    Texts travel instead of sets (they are smaller) and are fetched once; the join to the documents is a merge join at every size.
     """
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    inside = components(stars, "jaccard-near")
-    lengths = own.select("id", F.length("text").alias("chars")).join(inside.hint("merge"), "id")
-    facts = lengths.groupBy("level", "comp").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    own = nodes.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    lengths = own.select("id", F.length("text").alias("chars")).join(jobs.hint("merge"), "id")
+    facts = lengths.groupBy("job").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"), F.min("id").alias("head"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int")
-    placed = inside.join(facts, ["level", "comp"]).select(F.concat_ws(":", "level", "comp").alias("comp"), F.col("comp").alias("head"), "id", blocks.alias("blocks"))
-    placed = materialise(placed, "jaccard-placed")
+    placed = jobs.join(facts, "job").select(F.col("job").alias("comp"), "head", "id", blocks.alias("blocks"))
+    placed = materialise(placed, "jaccard-sets")
     members = own.join(placed.hint("merge"), "id").select("comp", "head", "id", "text", "blocks")
     columns = ("comp", "x", "y", "id", "text", "probe")
-    jobs = members.where("blocks <= 1").select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "text", F.lit(True).alias("probe"))
-    met = None
+    small = members.where("blocks <= 1").select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "text", F.lit(True).alias("probe"))
+    met, used = None, [placed]
     if not placed.where("blocks > 1").isEmpty():
         large = materialise(members.where("blocks > 1"), "jaccard-large")
         first = large.where("id = head").groupBy("comp").agg(F.min("text").alias("first"))
-        met = large.join(first, "comp").select("comp", "head", "id", "text", "first").mapInArrow(_pivot(words, num, den), "comp string, head long, id long, yes boolean")
+        met = large.join(first, "comp").select("comp", "head", "id", "text", "first").mapInArrow(_pivot(words, num, den), "comp long, head long, id long, yes boolean")
         met = materialise(met.groupBy("comp", "head", "id").agg(F.max("yes").alias("yes")), "jaccard-pivots")
+        used += [large, met]
         open_ = met.where("not yes").select("comp", "id")
         sizes = open_.groupBy("comp").agg(F.count("*").alias("m_open"))
         parted = large.join(sizes, "comp").withColumns({"opens": F.ceil(F.col("m_open") / BLOCK_ROWS).cast("int"), "y": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
         every = parted.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("opens") - 1))).withColumn("probe", F.lit(False))
         probes = parted.drop("y").join(open_, ["comp", "id"]).withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("opens")).cast("int"))
         probes = probes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-        jobs = jobs.unionByName(every.select(*columns)).unionByName(probes.select(*columns))
-    found = jobs.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "id").mapInArrow(_groups(words, num, den), "a long, b long").where("a <> b")
-    return found if met is None else found.union(met.where("yes and id <> head").select("id", "head"))
+        small = small.unionByName(every.select(*columns)).unionByName(probes.select(*columns))
+    found = small.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "id").mapInArrow(_groups(words, num, den), "a long, b long").where("a <> b")
+    found = materialise(found if met is None else found.union(met.where("yes and id <> head").select("id", "head")), "jaccard-found")
+    discard(*used)
+    return found
+
+
+def linked_components(nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(id, comp) of every node (id long, text) that links with another id; comp is the smallest id of its component."""
+    jobs = candidate_sets(nodes, words, num, den)
+    found = verified_links(nodes, jobs, words, num, den)
+    discard(jobs)
+    linked_ids = components(found.select(F.lit(0).alias("level"), "a", "b").distinct(), "jaccard")
+    discard(found)
+    return linked_ids.drop("level")
 
 
-def linked_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(id, comp) of every document that links with another id or shares a candidate star."""
-    stars = materialise(candidate_links(docs, words, num, den), "jaccard-stars")
-    found = verified_links(docs.select("doc_id", "text"), stars, words, num, den)
-    return components(found.select(F.lit(0).alias("level"), "a", "b"), "jaccard").drop("level")
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -371,17 +450,34 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(shingle_sets(part.column(1), words)[1]), pa.int64())], ["doc_id", "n_shingles"])
 
-    comps = linked_components(docs, words, num, den)
-    counted = docs.select("doc_id", "text").mapInArrow(sizes, f"doc_id {kind}, n_shingles long")
-    out = counted.join(comps, counted["doc_id"].cast("long") == comps["id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", F.col("doc_id").cast("long")).alias("component_id"))
+    whole = kind in INTEGRAL
+    node = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")
+    comps = linked_components(docs.where("doc_id is not null").select(node.alias("id"), "text"), words, num, den)
+    if not whole:  # the smallest doc_id of a component instead of the smallest node
+        named = docs.where("doc_id is not null").select(node.alias("id"), "doc_id").distinct().join(comps, "id")
+        comps = comps.join(named.groupBy("comp").agg(F.min("doc_id").alias("name")), "comp").select("id", F.col("name").alias("comp"))
+    counted = docs.select("doc_id", "text").mapInArrow(sizes, f"doc_id {kind}, n_shingles long").withColumn("id", F.when(F.col("doc_id").isNotNull(), node))
+    out = counted.join(comps, "id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("comp", F.col("doc_id").cast("long") if whole else F.col("doc_id")).alias("component_id"))
 
 
 def dedupe(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group: the rows whose doc_id is the smallest of its component (null ids stay)."""
-    comps = linked_components(docs, words, num, den)
-    gone = comps.where("id <> comp").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, with all columns of `docs`."""
+    plain = docs.schema["doc_id"].dataType.simpleString() in INTEGRAL
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if plain and repeated.isEmpty():
+        comps = linked_components(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), words, num, den)
+        gone = comps.where("id <> comp").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # own names apart from the input's
+    packed = docs.select(node.alias("id"), "doc_id", "text", row.alias("row"))
+    comps = linked_components(packed.select("id", "text"), words, num, den)
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "id")
+    narrow = packed.select("id", "doc_id").distinct().join(comps, "id")
+    stays = narrow.groupBy("comp").agg(F.min(place)["id"].alias("first"))
+    gone = comps.join(stays, "comp").where("id <> first").select("id")
+    return packed.join(gone, "id", "left_anti").dropDuplicates(["id"]).select("row.*")
 
 
 @query("op10_jaccard_join")

@@ -96,10 +96,73 @@ def test_join_odd_rows(spark, odd_docs):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 85, 100)
     left = jaccard.dedupe(odd_docs)
     assert left.columns == odd_docs.columns
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5, 8, 8, 9, 10, 11]
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [1, 2, 3, 4, 5, 8, 8, 9, 10, 11]
     assert jaccard.join(odd_docs.where("false")).count() == 0
 
 
+def test_dedupe_decides_by_row(spark):
+    """Repeated ids with other texts, null ids, repeated rows and text ids: one row of each group of texts stays."""
+    rows = near_copies(5)
+    rng = random.Random(6)
+    odd = [(rng.choice([None, i, i // 3]), t) for i, t in rows] + [rows[0], rows[0], (None, rows[1][1]), (None, "")]
+    nodes = sorted(set(odd), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    comps = {i: c for i, _, c in plain_components(list(enumerate(t for _, t in nodes)), 5, 80, 100)}
+    groups = defaultdict(list)
+    for k, node in enumerate(nodes):
+        groups[comps[k]].append(node)
+    for kind in ("long", "string"):
+        cast = lambda i: None if i is None else f"{i:09d}" if kind == "string" else i
+        docs = spark.createDataFrame([(cast(i), t, "x") for i, t in odd], f"doc_id {kind}, text string, id string")
+        left = Counter((r["doc_id"], r["text"]) for r in jaccard.dedupe(docs).collect())
+        assert set(left.values()) == {1} and len(left) == len(groups)
+        for members in groups.values():
+            kept = [m for m in members if (cast(m[0]), m[1]) in left]
+            assert len(kept) == 1 and kept[0][0] == members[0][0]
+
+
+def test_join_takes_text_ids(spark):
+    rows = [(f"{i:05d}", t) for i, t in near_copies(7)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 85, 100)
+
+
+def test_shared_lists_survive_batch_ends():
+    """Signatures cut into batches anywhere give the members of all groups of two or more ids."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(s), int(i)) for s, i in zip(rng.integers(0, 60, 400), rng.integers(0, 30, 400))} | {(7, i) for i in range(90)})
+    expected = defaultdict(set)
+    for s, i in rows:
+        expected[s].add(i)
+    expected = {frozenset(v) for v in expected.values() if len(v) > 1}
+    rows = [x for x in rows for _ in range(1 + x[1] % 2)]
+    for size in (1, 3, 50, len(rows)):
+        last, found, heads = None, defaultdict(set), {}
+        for a in range(0, len(rows), size):
+            sig, ids = (np.array(c, np.int64) for c in zip(*rows[a : a + size]))
+            out, last = jaccard.shared(sig, ids, last)
+            for g, h, i in zip(out["sharing"], out["head"], out["id"]) if out else ():
+                assert i not in found[g] or size < len(rows)
+                found[g].add(i)
+                heads[g] = h
+        assert {frozenset(v) for v in found.values()} == expected and all(min(v) == heads[g] for g, v in found.items())
+
+
+def test_open_sharings_and_clusters_hold_every_link(spark):
+    """Documents with one long passage in common are no cluster, and their true copies are found."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    passage, rows = words(150), []
+    for i in range(60):
+        own = passage + words(rng.randint(90, 140))
+        rows.append((2 * i, " ".join(own)))
+        if i % 4 == 0:
+            own[-1] = "changed"
+            rows.append((2 * i + 1, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 85, 100)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 900).astype(np.uint64)

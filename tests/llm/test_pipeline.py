@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from sensorloom.llm import decontaminate, pii
 from test_exact import plain_components, plain_matches
 
@@ -36,3 +37,10 @@ def test_run_reads_no_rows_into_an_error(spark, sf, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_keeps_columns_of_its_own_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.concat(F.lit("own "), "doc_id")).withColumn("rejected", F.lit(7)).withColumn("row", F.lit("r"))
+    out = corpus_pipeline.identified(spark, docs, sf)
+    assert out.columns == docs.columns and out.schema["score"].dataType.simpleString() == "string"
+    assert all(r["score"] == f"own {r['doc_id']}" and r["rejected"] == 7 and r["row"] == "r" for r in out.collect())
