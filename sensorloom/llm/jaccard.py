@@ -3,8 +3,8 @@
 A document's set is its distinct `words`-word shingles (fewer words: the whole sequence; none: empty and
 linked with nothing) as 64-bit hashes. Two documents link when den * |A and B| >= num * |A or B|.
 
-The tree: hashes are dealt into GROUPS groups, a document is the point of its group counts, tree nodes keep
-the largest count of each group and the range of set sizes below them. The overlap of two sets is at most the
+The tree: hashes are dealt into groups (about as many as a set has hashes, within LEAST_GROUPS and MOST_GROUPS), a document is
+the point of its group counts, tree nodes keep the largest count of each group and the range of set sizes below them. The overlap of two sets is at most the
 sum of the smaller counts, so a node or point whose bound cannot reach the threshold is left out; the pairs
 that survive are verified on the sets.
 
@@ -48,8 +48,8 @@ from sensorloom.llm.base import query, table
 from sensorloom.llm.suffix_tree import slices
 from sensorloom.session import discard, materialise
 
-GROUPS, FANOUT, CLASS_BITS = 64, 16, 8
-BLOCK_ROWS, BLOCK_CHARS = 1000, 24_000_000
+LEAST_GROUPS, MOST_GROUPS, FANOUT, CLASS_BITS = 64, 2048, 16, 8
+BLOCK_ROWS, BLOCK_CHARS = 4000, 24_000_000
 #: Share of the needed groups in which two documents of a cluster agree at least.
 STRONG = 0.05
 #: Sharings up to so many members are known by their list, so that equal ones count once.
@@ -278,9 +278,14 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den = num, den
-        self.points = np.stack([np.bincount((s >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS) for s in sets]).astype(np.int32)
-        self.size = self.points.sum(1)
-        self.order = np.lexsort((self.points[:, : GROUPS // 2].sum(1), self.size))
+        self.size = np.array([len(s) for s in sets], np.int64)
+        groups = LEAST_GROUPS
+        while groups < min(MOST_GROUPS, np.median(self.size)):
+            groups *= 2
+        counts = [np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups) for s in sets]
+        kind = np.uint8 if max(c.max() for c in counts) < 256 else np.int32
+        self.points = np.stack([c.astype(kind) for c in counts])
+        self.order = np.lexsort((self.points[:, : groups // 2].sum(1), self.size))
         self.levels = []  # from the leaves up: largest counts, least size of each node
         high, low = self.points[self.order], self.size[self.order]
         while len(low) > FANOUT:
@@ -289,7 +294,7 @@ class CountTree:
             self.levels.append((high, low))
 
     def reaches(self, point: np.ndarray, size: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        bound = np.minimum(high, point).sum(1)
+        bound = np.minimum(high, point).sum(1, dtype=np.int64)
         return self.den * bound >= self.num * (size + np.maximum(low, bound) - bound)
 
     def search(self, point: np.ndarray, size: int) -> np.ndarray:
@@ -322,18 +327,28 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def connect(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Label of each member after linking every probe with all members: the smallest number it reaches."""
     label = np.arange(len(ids))
-    for value in np.unique(ids):
-        if (same := np.flatnonzero(ids == value)).size > 1:
-            label[np.isin(label, label[same])] = label[same].min()
-    tree = CountTree(sets, num, den)
-    for p in probes:
-        near = tree.search(tree.points[p], int(tree.size[p]))
-        near = near[label[near] != label[p]]
+
+    def merge(a: int, b: int) -> None:
+        low, gone = sorted((label[a], label[b]))
+        label[label == gone] = low
+
+    first_of: dict = {}
+    own = np.arange(len(ids))  # the first member with this set, which stands for it in the tree
+    for k, (i, s) in enumerate(zip(ids.tolist(), sets, strict=True)):
+        own[k] = first_of.setdefault(s.tobytes(), k)
+        for at in (first_of.setdefault(i, k), own[k] if len(s) else k):
+            if label[at] != label[k]:
+                merge(at, k)
+    single = np.unique(own)
+    tree, place = CountTree([sets[k] for k in single], num, den), np.searchsorted(single, own)
+    for p in np.unique(place[probes]):
+        me = single[p]
+        near = single[tree.search(tree.points[p], int(tree.size[p]))]
+        near = near[label[near] != label[me]]
         while len(near):
-            if linked(sets[p], sets[near[0]], num, den):
-                low, gone = sorted((label[p], label[near[0]]))
-                label[label == gone] = low
-                near = near[1:][label[near[1:]] != low]
+            if linked(sets[me], sets[near[0]], num, den):
+                merge(me, near[0])
+                near = near[1:][label[near[1:]] != label[me]]
             else:
                 near = near[1:]
     return label
