@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
 from sensorloom.operators.filtering import SOS_200_HZ
-from sensorloom.operators.forecasts import LINEAR, predict
+from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
 from sensorloom.plans.base import BASE, KEY, STEPS, STREAMS, query, r6, streams
+from sensorloom.plans.models import ridge_models
 from sensorloom.plans.ordered import _filter_sql
 from sensorloom.session import shared_folder
 from sensorloom.sources import testdata as td
@@ -52,15 +53,26 @@ def x1(spark, d):
     f"""WITH {STEPS}, f AS (SELECT *, count(*) OVER (PARTITION BY dataset, recording_id) AS n, min(dt) OVER inner_steps AS lo, max(dt) OVER inner_steps AS hi, regr_slope(q_f, idx) OVER k AS s, avg(q_f) OVER k AS m,
       lead(q_f, 4) OVER (PARTITION BY dataset, recording_id ORDER BY idx) AS y4 FROM steps
       WINDOW inner_steps AS (PARTITION BY dataset, recording_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 4 FOLLOWING), k AS (PARTITION BY dataset, recording_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-    SELECT {KEY}, idx AS origin, 'B1_LINEAR' AS model, round(m + s * 6, 6) AS yhat_last, round(y4, 6) AS y_last FROM f WHERE idx % 2 = 0 AND idx >= 9 AND idx + 4 < n AND lo > 0 AND hi <= {MAX_STEP_S}""",
+    SELECT {KEY}, idx AS origin, model, round(CASE WHEN model = 'B1_LINEAR' THEN m + s * 6 ELSE q_f END, 6) AS yhat_last, round(y4, 6) AS y_last FROM f CROSS JOIN (VALUES ('B0_PERSISTENCE'), ('B1_LINEAR')) AS v(model) WHERE idx % 2 = 0 AND idx >= 9 AND idx + 4 < n AND lo > 0 AND hi <= {MAX_STEP_S}""",
 )
 def x2(spark, d):
     source, folder = _replay(spark, d)
-    forecasts = predict(live.live_windows(source, td.SPEC, MAX_STEP_S), td.SPEC, BASE, (LINEAR,))
+    forecasts = predict(live.live_windows(source, td.SPEC, MAX_STEP_S), td.SPEC, BASE, (PERSISTENCE, LINEAR))
     out = _finish(spark, forecasts, folder)
     return out.select(*RECORDING, "origin", "model", F.element_at("yhat", -1).alias("yhat_last"), F.element_at("y", -1).alias("y_last"))
 
 
+@query("x2_live_ridge")
+def x2_ridge(spark, d):
+    """Selected ridge models, frozen as a table, score the windows as they come; rows as those of `ridge_predict`."""
+    source, folder = _replay(spark, d)
+    live.freeze_models(ridge_models(spark, d, BASE), f"{folder}/models")
+    windows = live.live_windows(source, td.SPEC, MAX_STEP_S)
+    live.run_ridge(windows, f"{folder}/models", td.SPEC, f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("evaluation_context", "fold_id", "model", *RECORDING, "origin", F.element_at("yhat", -1).alias("yhat_last"), F.element_at("y", -1).alias("y_last"), "model_version")
+
+
 # Every 97th row arrives a slice later: it is late, and no window may reach over the hole it leaves.
 LATE_SLICE = 256
 
@@ -101,6 +113,26 @@ def x3(spark, d):
     return updates.groupBy(*RECORDING).agg(F.max_by(F.struct(*names), "batch").alias("u")).select(*RECORDING, "u.*")
 
 
+@query(
+    "x3_live_ends",
+    f"""WITH {STEPS} SELECT {KEY}, count(*) AS sample_count, count(*) FILTER (WHERE dt < 0) AS backward_count, count(*) FILTER (WHERE dt = 0) AS duplicate_count, round(max(dt) FILTER (WHERE dt > 0), 6) AS maximum_gap, CAST(0 AS BIGINT) AS late_rows
+    FROM steps GROUP BY ALL""",
+)
+def x3_ends(spark, d):
+    """Counters told once per recording, when its timer expires: a marker row far behind the end moves the watermark there."""
+    source, folder = _replay(spark, d, "ts_s")
+    _mark_end(spark, source, folder, 400 * 86400)
+    out = _finish(spark, live.live_ends(source, idle="300 days", delay="7 days"), folder)
+    return out.filter("recording_id is not null")
+
+
+def _mark_end(spark, source: DataFrame, folder: str, after_s: int) -> None:
+    """A row without a recording, so long after the last one."""
+    whole = spark.read.schema(source.schema).parquet(f"{folder}/in")
+    ends = {"ts_s": F.max("ts_s") + after_s, "idx": F.lit(0).cast("bigint")}
+    whole.agg(*[ends.get(f.name, F.max(F.lit(None).cast(f.dataType))).alias(f.name) for f in source.schema]).write.mode("append").parquet(f"{folder}/in")
+
+
 @query(
     "x3_live_counts",
     f"""WITH {STREAMS}, b AS (SELECT {KEY}, CAST(floor(ts_s / 86400) AS BIGINT) AS day, q_f FROM streams)
@@ -109,9 +141,7 @@ def x3(spark, d):
 def x3_counts(spark, d):
     """All days: a marker row two days after the end moves the watermark past the last of them."""
     source, folder = _replay(spark, d, "ts_s")
-    whole = spark.read.schema(source.schema).parquet(f"{folder}/in")
-    marker = whole.agg((F.max("ts_s") + 2 * 86400).alias("ts_s")).select(*[F.col("ts_s") if f.name == "ts_s" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema])
-    marker.write.mode("append").parquet(f"{folder}/in")
+    _mark_end(spark, source, folder, 2 * 86400)
     timed = source.withColumn("ts", F.timestamp_seconds("ts_s"))
     out = _finish(spark, live.live_counts(timed, "ts", "10 minutes", "1 day"), folder).filter("recording_id is not null")
     return out.select(*RECORDING, F.floor(F.unix_seconds("window_start") / 86400).alias("day"), "n", "min_qf", "max_qf")

@@ -1,10 +1,14 @@
 """Causal operators on live streams.
 
-Every operator keeps a small state per recording. Rows of a recording are ordered by
-`idx` inside a micro-batch; a row whose idx is not beyond the last one seen is late,
-is counted, and changes nothing. It leaves a hole, and no window reaches over a hole. With
-`idle_ms` the state of a recording silent for so many milliseconds is dropped; that needs a query that keeps
-running, since a processing-time timeout asks for one more micro-batch for ever.
+Every operator is a stateful processor that keeps a small typed state per recording and takes its rows one
+Arrow batch at a time. Rows leave in the order of `idx`: a row that follows the last one goes on at once, one that comes too early
+waits for the rows before it, HOLD rows at most and until the micro-batch ends. A row whose idx is not beyond the last one
+gone on is late, is counted, and changes nothing. It leaves a hole, and no window reaches over a hole.
+
+With `idle` (an interval such as "1 hour") the state of a recording ends when the watermark, `delay` behind the newest
+timestamp of the stream, has passed its last row by so much. The timers run on event time, so this also holds in
+available-now runs, and `live_ends` tells the final counters of each ended recording. A stream with `idle` has
+one clock: rows behind its watermark (at first: at or before 1970) are dropped before they reach a recording.
 """
 
 from __future__ import annotations
@@ -13,153 +17,283 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sensorloom.config import RECORDING, WindowSpec
 from sensorloom.operators.filtering import Sos, filter_block
+from sensorloom.operators.linear import ridge_predict
+
+#: Rows of a recording that may wait for earlier ones within a micro-batch.
+HOLD = 50_000
+
+
+def seconds(interval: str) -> float:
+    """Length of an interval like `90 seconds` or `1 hour`."""
+    return pd.Timedelta(interval).total_seconds()
+
 
+class InOrder(StatefulProcessor):
+    """Orders the rows of a recording and keeps its place; subclasses say what a run of rows in order does."""
+
+    def __init__(self, idle: str | None = None):
+        self.idle_ms = round(1000 * seconds(idle)) if idle else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "last_idx bigint, late bigint, last_ts double")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Declare the subclass's own state."""
+
+    def load(self) -> None:
+        """Read the subclass's own state before the first run of a micro-batch."""
+
+    def store(self) -> None:
+        """Write it back after the last one."""
+
+    def forget(self) -> None:
+        """Clear it."""
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Result of the next rows, in order."""
+        return iter(())
+
+    def batch_end(self, key: tuple, late: int) -> Iterator[pd.DataFrame]:
+        """Result once per micro-batch."""
+        return iter(())
+
+    def ended(self, key: tuple, late: int) -> Iterator[pd.DataFrame]:
+        """Result when the recording ends."""
+        return iter(())
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, self.late, last_ts = self.place.get() if self.place.exists() else (-1, 0, None)
+        self.load()
+        waiting: pd.DataFrame | None = None
+        for frame in rows:
+            count = len(frame) + (0 if waiting is None else len(waiting))
+            queue = (frame if waiting is None else pd.concat([waiting, frame])).sort_values("idx", kind="stable")
+            queue = queue[(queue["idx"] > last) & ~queue["idx"].duplicated()]
+            self.late += count - len(queue)
+            idx = queue["idx"].to_numpy(np.int64)
+            go = int((idx == last + 1 + np.arange(len(idx))).argmin()) if len(idx) and idx[-1] != last + len(idx) else len(idx)
+            go = max(go, len(idx) - HOLD)
+            waiting = queue.iloc[go:] if go < len(queue) else None
+            if go:
+                last, last_ts = int(idx[go - 1]), float(queue["ts_s"].iloc[go - 1])
+                yield from self.take(key, queue.iloc[:go])
+        if waiting is not None:
+            last, last_ts = int(waiting["idx"].iloc[-1]), float(waiting["ts_s"].iloc[-1])
+            yield from self.take(key, waiting)
+        self.place.update((last, self.late, last_ts))
+        self.store()
+        if self.idle_ms and last_ts is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(1000 * last_ts) + self.idle_ms)
+        yield from self.batch_end(key, self.late)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, late, _ = self.place.get()
+        yield from self.ended(key, late)
+        self.place.clear()
+        self.forget()
+
+    def close(self) -> None:
+        pass
+
+
+def _processed(stream: DataFrame, columns: tuple[str, ...], processor: InOrder, schema: str, mode: str, idle: str | None, delay: str) -> DataFrame:
+    rows = stream.select(*RECORDING, *columns)
+    if idle:
+        rows = rows.withColumn("at", F.timestamp_seconds("ts_s")).withWatermark("at", delay)
+    return rows.groupBy(*RECORDING).transformWithStateInPandas(processor, schema, mode, "EventTime" if idle else "None")
+
+
+class FilterProcessor(InOrder):
+    """State: two numbers per filter section and channel, and the first timestamp."""
+
+    def __init__(self, sos: Sos, factor: int, warmup_s: float, idle: str | None):
+        super().__init__(idle)
+        self.sos, self.factor, self.warmup_s = sos, factor, warmup_s
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.memory = handle.getValueState("memory", "zf array<double>, zw array<double>, t0 double")
+
+    def load(self) -> None:
+        zero = [0.0] * (2 * len(self.sos))
+        zf, zw, self.t0 = self.memory.get() if self.memory.exists() else (zero, zero, None)
+        self.zf, self.zw = np.asarray(zf, float), np.asarray(zw, float)
+
+    def store(self) -> None:
+        self.memory.update((self.zf.tolist(), self.zw.tolist(), self.t0))
+
+    def forget(self) -> None:
+        self.memory.clear()
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        self.t0 = float(rows["ts_s"].iloc[0]) if self.t0 is None else self.t0
+        qf, self.zf = filter_block(self.sos, rows["q_f"].to_numpy(float), self.zf)
+        qw, self.zw = filter_block(self.sos, rows["q_w"].to_numpy(float), self.zw)
+        out = rows.assign(q_f=qf, q_w=qw, late_rows=self.late)
+        keep = (out["idx"] % self.factor == 0) & (out["ts_s"] - self.t0 >= self.warmup_s - 1e-15)
+        if keep.any():
+            yield out.loc[keep, [*RECORDING, "idx", "ts_s", "q_f", "q_w", "late_rows"]]
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
+def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float = 0.0, idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Filter, decimate and drop the warm-up as rows arrive."""
+    schema = "dataset string, recording_id string, idx bigint, ts_s double, q_f double, q_w double, late_rows bigint"
+    return _processed(stream, ("idx", "ts_s", "q_f", "q_w"), FilterProcessor(sos, factor, warmup_s, idle), schema, "append", idle, delay)
 
-def _ended(state: GroupState, idle_ms: int | None) -> bool:
-    """Drop the state of a recording that timed out, else start its clock again."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-    return False
 
+class WindowProcessor(InOrder):
+    """State: the last look-back + horizon - 1 rows, as a list."""
 
-def _in_order(frames: Iterator[pd.DataFrame], last: int) -> tuple[pd.DataFrame, int]:
-    """Rows of the micro-batch beyond `last`, by idx, and the number of late ones."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("idx", kind="stable")
-    fresh = rows[(rows["idx"] > last) & ~rows["idx"].duplicated()]
-    return fresh, len(rows) - len(fresh)
+    def __init__(self, spec: WindowSpec, max_step_s: float, idle: str | None):
+        super().__init__(idle)
+        self.spec, self.max_step_s = spec, max_step_s
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getListState("tail", "idx bigint, ts double, qf double, qw double")
 
-def live_filter(stream: DataFrame, sos: Sos, factor: int = 1, warmup_s: float = 0.0, idle_ms: int | None = None) -> DataFrame:
-    """Filter, decimate and drop the warm-up as rows arrive.
+    def load(self) -> None:
+        held = list(self.tail.get())
+        i, t, f, w = zip(*held) if held else ((), (), (), ())
+        self.held = (np.asarray(i, np.int64), *(np.asarray(x, float) for x in (t, f, w)))
 
-    State per recording: two numbers per filter section and channel, the first
-    timestamp, the last idx, and the late count.
-    """
-    width = 2 * len(sos)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state, idle_ms):
-            return
-        zf, zw, t0, last, late = state.get if state.exists else ([0.0] * width, [0.0] * width, None, -1, 0)
-        rows, missed = _in_order(frames, last)
-        late += missed
-        if len(rows):
-            t0 = float(rows["ts_s"].iloc[0]) if t0 is None else t0
-            qf, zf = filter_block(sos, rows["q_f"].to_numpy(float), np.asarray(zf))
-            qw, zw = filter_block(sos, rows["q_w"].to_numpy(float), np.asarray(zw))
-            last = int(rows["idx"].iloc[-1])
-            out = rows.assign(q_f=qf, q_w=qw, late_rows=late)
-            keep = (out["idx"] % factor == 0) & (out["ts_s"] - t0 >= warmup_s - 1e-15)
-            yield out.loc[keep, [*RECORDING, "idx", "ts_s", "q_f", "q_w", "late_rows"]]
-        state.update(([float(v) for v in zf], [float(v) for v in zw], t0, last, late))
-
-    return (
-        stream.select(*RECORDING, "idx", "ts_s", "q_f", "q_w")
-        .groupBy(*RECORDING)
-        .applyInPandasWithState(
-            run,
-            "dataset string, recording_id string, idx bigint, ts_s double, q_f double, q_w double, late_rows bigint",
-            "zf array<double>, zw array<double>, t0 double, last_idx bigint, late bigint",
-            "append",
-            _timeout(idle_ms),
-        )
-    )
+    def store(self) -> None:
+        i, t, f, w = (x.tolist() for x in self.held)
+        self.tail.put(list(zip(i, t, f, w)))
 
+    def forget(self) -> None:
+        self.tail.clear()
 
-def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float, idle_ms: int | None = None) -> DataFrame:
-    """Windows as soon as their horizon has arrived; feed them to any forecaster.
-
-    State per recording: the last look-back + horizon - 1 rows. A live stream has no
-    median step yet, so the gap limit is given in seconds.
-    """
-    L, H, S = spec.lookback, spec.horizon, spec.stride
-    keep = L + H - 1
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state, idle_ms):
-            return
-        ids, ts, qf, qw = state.get if state.exists else ([], [], [], [])
-        rows, _ = _in_order(frames, ids[-1] if ids else -1)
-        if not len(rows):
-            return
-        held = len(ts)
-        i = np.concatenate([np.asarray(ids, np.int64), rows["idx"].to_numpy(np.int64)])
-        t = np.concatenate([ts, rows["ts_s"].to_numpy(float)])
-        f = np.concatenate([qf, rows["q_f"].to_numpy(float)])
-        w = np.concatenate([qw, rows["q_w"].to_numpy(float)])
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        L, H, S = self.spec.lookback, self.spec.horizon, self.spec.stride
+        held = len(self.held[0])
+        new = (rows["idx"].to_numpy(np.int64), *(rows[c].to_numpy(float) for c in ("ts_s", "q_f", "q_w")))
+        i, t, f, w = (np.concatenate(pair) for pair in zip(self.held, new))
         steps = np.diff(t)
-        bad = np.concatenate([[0], np.cumsum((steps <= 0) | (steps > max_step_s))])
+        bad = np.concatenate([[0], np.cumsum((steps <= 0) | (steps > self.max_step_s))])
         # Places of origins whose last horizon row is new and whose rows follow each other without a hole.
         at = np.arange(max(held - H, L - 1), len(t) - H)
         at = at[(i[at] % S == 0) & (i[at + H] - i[at - L + 1] == L + H - 1) & (bad[at + H] == bad[at - L + 1])]
-        origins = i[at]
+        self.held = tuple(x[-(L + H - 1) :] for x in (i, t, f, w))
         if len(at):
-            group = rows["dependency_group"].iloc[0]
             cut = lambda x, lo, hi: list(x[at[:, None] + np.arange(lo, hi)])
             yield pd.DataFrame({
-                "dataset": key[0], "recording_id": key[1], "dependency_group": group, "origin": origins,
+                "dataset": key[0], "recording_id": key[1], "dependency_group": rows["dependency_group"].iloc[0], "origin": i[at],
                 "hist_qf": cut(f, 1 - L, 1), "hist_qw": cut(w, 1 - L, 1), "future_qf": cut(f, 1, H + 1),
             })
-        state.update(([int(v) for v in i[-keep:]], *([float(v) for v in x[-keep:]] for x in (t, f, w))))
 
-    return (
-        stream.select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
-        .groupBy(*RECORDING)
-        .applyInPandasWithState(
-            run,
-            "dataset string, recording_id string, dependency_group string, origin bigint, hist_qf array<double>, hist_qw array<double>, future_qf array<double>",
-            "ids array<bigint>, ts array<double>, qf array<double>, qw array<double>",
-            "append",
-            _timeout(idle_ms),
-        )
-    )
 
+def live_windows(stream: DataFrame, spec: WindowSpec, max_step_s: float, idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Windows as soon as their horizon has arrived; feed them to any forecaster.
 
-def live_health(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Running clock counters per recording after each micro-batch (update mode)."""
+    A live stream has no median step yet, so the gap limit is given in seconds.
+    """
+    schema = "dataset string, recording_id string, dependency_group string, origin bigint, hist_qf array<double>, hist_qw array<double>, future_qf array<double>"
+    return _processed(stream, ("dependency_group", "idx", "ts_s", "q_f", "q_w"), WindowProcessor(spec, max_step_s, idle), schema, "append", idle, delay)
+
+
+class HealthProcessor(InOrder):
+    """State: the counters and the last timestamp. `final`: tell them at the recording's end only."""
+
+    def __init__(self, idle: str | None, final: bool):
+        super().__init__(idle)
+        self.final = final
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "n bigint, back bigint, same bigint, gap double, last_ts double")
+
+    def load(self) -> None:
+        self.now = self.counters.get() if self.counters.exists() else (0, 0, 0, None, None)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state, idle_ms):
-            return
-        count, back, same, gap, last_ts, last, late = state.get if state.exists else (0, 0, 0, None, None, -1, 0)
-        rows, missed = _in_order(frames, last)
-        late += missed
-        if len(rows):
-            t = rows["ts_s"].to_numpy(float)
-            steps = np.diff(t if last_ts is None else np.concatenate([[last_ts], t]))
-            count, back, same = count + len(rows), back + int((steps < 0).sum()), same + int((steps == 0).sum())
-            if (steps > 0).any():
-                gap = max(gap or 0.0, float(steps[steps > 0].max()))
-            last_ts, last = float(t[-1]), int(rows["idx"].iloc[-1])
-        state.update((count, back, same, gap, last_ts, last, late))
-        yield pd.DataFrame({
+    def store(self) -> None:
+        self.counters.update(self.now)
+
+    def forget(self) -> None:
+        self.counters.clear()
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        count, back, same, gap, last_ts = self.now
+        t = rows["ts_s"].to_numpy(float)
+        steps = np.diff(t if last_ts is None else np.concatenate([[last_ts], t]))
+        if (steps > 0).any():
+            gap = max(gap or 0.0, float(steps[steps > 0].max()))
+        self.now = (count + len(t), back + int((steps < 0).sum()), same + int((steps == 0).sum()), gap, float(t[-1]))
+        return iter(())
+
+    def row(self, key: tuple, late: int) -> pd.DataFrame:
+        count, back, same, gap, _ = self.now
+        return pd.DataFrame({
             "dataset": [key[0]], "recording_id": [key[1]], "sample_count": [count], "backward_count": [back], "duplicate_count": [same], "maximum_gap": [gap], "late_rows": [late],
         })
 
-    return (
-        stream.select(*RECORDING, "idx", "ts_s")
-        .groupBy(*RECORDING)
-        .applyInPandasWithState(
-            run,
-            "dataset string, recording_id string, sample_count bigint, backward_count bigint, duplicate_count bigint, maximum_gap double, late_rows bigint",
-            "n bigint, back bigint, same bigint, gap double, last_ts double, last_idx bigint, late bigint",
-            "update",
-            _timeout(idle_ms),
-        )
-    )
+    def batch_end(self, key: tuple, late: int) -> Iterator[pd.DataFrame]:
+        if not self.final:
+            yield self.row(key, late)
+
+    def ended(self, key: tuple, late: int) -> Iterator[pd.DataFrame]:
+        if self.final:
+            self.load()
+            yield self.row(key, late)
+
+
+HEALTH = "dataset string, recording_id string, sample_count bigint, backward_count bigint, duplicate_count bigint, maximum_gap double, late_rows bigint"
+
+
+def live_health(stream: DataFrame, idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Running clock counters per recording after each micro-batch (update mode)."""
+    return _processed(stream, ("idx", "ts_s"), HealthProcessor(idle, False), HEALTH, "update", idle, delay)
+
+
+def live_ends(stream: DataFrame, idle: str, delay: str = "10 minutes") -> DataFrame:
+    """The final clock counters of each recording, once, when it has been silent for `idle` (append mode)."""
+    return _processed(stream, ("idx", "ts_s"), HealthProcessor(idle, True), HEALTH, "append", idle, delay)
+
+
+# --- frozen models ------------------------------------------------------------------
+
+
+def freeze_models(models: DataFrame, path: str) -> int:
+    """Write a model table as the next version of the store at `path`; running queries take it up with their next micro-batch."""
+    version = (latest_version(models.sparkSession, path) or 0) + 1
+    models.write.mode("errorifexists").parquet(f"{path}/version={version:08d}")
+    return version
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest complete version; None without any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    done = [s.getPath().getParent().getName() for s in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []]
+    return max((int(name.split("=")[1]) for name in done), default=None)
+
+
+def run_ridge(live: DataFrame, models_path: str, spec: WindowSpec, path: str, checkpoint: str) -> None:
+    """Forecasts of live windows by the frozen models, which are read anew for every micro-batch.
+
+    A micro-batch is scored like a finished table (`ridge_predict`: small model tables go to the tasks, large ones are
+    joined) and replaces its own folder, so one that runs again after a failure adds no row.
+    """
+
+    def score(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        version = latest_version(spark, models_path)
+        if version is None:
+            raise RuntimeError(f"no models at {models_path}")
+        models = spark.read.parquet(f"{models_path}/version={version:08d}")
+        scored = ridge_predict(batch, models, spec).withColumn("model_version", F.lit(version).cast("bigint"))
+        scored.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _start(live.writeStream.foreachBatch(score), live.sparkSession, checkpoint, "append")
 
 
 def live_counts(stream: DataFrame, event_time: str, delay: str = "10 minutes", every: str = "1 hour") -> DataFrame:
@@ -198,31 +332,22 @@ def slice_rows(longest: int, slices: int = 4, least: int = 512, most: int = 1_00
     return min(most, max(least, -(-longest // slices)))
 
 
+def _start(writer, spark: SparkSession, checkpoint: str, mode: str) -> None:
+    """Process everything available and stop. The processors' state needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    writer.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_end(result: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available into parquet files and stop."""
-    (
-        result.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    _start(result.writeStream.format("parquet").option("path", path), result.sparkSession, checkpoint, "append")
 
 
 def run_updates(result: DataFrame, path: str, checkpoint: str) -> None:
-    """The same for an update-mode result: each micro-batch appends its updates with its
-    number, so that the last one per key can be picked."""
+    """The same for an update-mode result: each micro-batch writes its updates under its
+    number, so that the last one per key can be picked; one that runs again replaces its own."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("append").parquet(path)
-
-    (
-        result.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _start(result.writeStream.foreachBatch(keep), result.sparkSession, checkpoint, "update")

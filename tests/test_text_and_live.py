@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.config import WindowSpec
-from sensorloom.operators import filtering, timestamps, windows
+from sensorloom.operators import filtering, linear, timestamps, windows
 from sensorloom.sources import files, tables, text
 from sensorloom.streaming import live
 
@@ -150,3 +150,62 @@ def test_no_live_window_reaches_over_a_late_row(spark, stream, tmp_path):
     live.run_to_end(live.live_windows(source, WindowSpec(3, 2, 1, 5.0), 0.05), f"{tmp_path}/w", f"{tmp_path}/ws")
     got = sorted((r.origin, [*r.hist_qf, *r.future_qf]) for r in spark.read.parquet(f"{tmp_path}/w").collect())
     assert got == [(o, [float(o + k) for k in range(-2, 3)]) for o in (2, 3, 9, 10, 11)]
+
+
+def test_rows_wait_for_earlier_ones_of_their_batch(spark, stream, tmp_path, monkeypatch):
+    """Files of one micro-batch in any order, in small Arrow batches: nothing is late, windows are whole."""
+    s = stream({"r": [(i * 0.01, float(i), 1) for i in range(40)], "q": [(i * 0.01, float(-i), 1) for i in range(25)]})
+    for low in (20, 30, 0, 10):
+        s.filter((F.col("idx") >= low) & (F.col("idx") < low + 10)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        live.run_to_end(live.live_windows(source, WindowSpec(3, 2, 1, 5.0), 0.05), f"{tmp_path}/w", f"{tmp_path}/ws")
+        live.run_updates(live.live_health(source), f"{tmp_path}/h", f"{tmp_path}/hs")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.parquet(f"{tmp_path}/w").groupBy("recording_id").count().collect()
+    assert {r["recording_id"]: r["count"] for r in got} == {"r": 36, "q": 21}
+    assert {(r.recording_id, r.sample_count, r.late_rows) for r in spark.read.parquet(f"{tmp_path}/h").collect()} == {("r", 40, 0), ("q", 25, 0)}
+
+
+def test_silent_recordings_end_in_an_available_now_run(spark, stream, tmp_path):
+    """The timer tells the counters once and clears the state: rows that come later start anew."""
+    s = stream({"r": [(1000 + i, 1, 1) for i in range(10)], "late": [(1100 + i, 1, 1) for i in range(5)], "mark": [(1900, 1, 1)], "r2": [(1950, 1, 1)]})
+    for names in (["r"], ["late"], ["mark"], ["r2"]):
+        s.filter(F.col("recording_id").isin(names)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.run_to_end(live.live_ends(source, idle="200 seconds", delay="10 seconds"), f"{tmp_path}/e", f"{tmp_path}/es")
+    ended = {r.recording_id: r.sample_count for r in spark.read.parquet(f"{tmp_path}/e").collect()}
+    assert ended == {"r": 10, "late": 5}  # the last ones are not silent for so long yet
+    again = s.filter("recording_id = 'r'").withColumns({"idx": F.col("idx"), "ts_s": F.col("ts_s") + 2000})
+    again.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live.run_to_end(live.live_ends(source, idle="200 seconds", delay="10 seconds"), f"{tmp_path}/e", f"{tmp_path}/es")
+    ended = sorted((r.recording_id, r.sample_count) for r in spark.read.parquet(f"{tmp_path}/e").collect())
+    assert ended == [("late", 5), ("mark", 1), ("r", 10), ("r2", 1)]
+
+
+def test_live_ridge_is_ridge_predict(spark, stream, tmp_path):
+    """Every micro-batch reads the newest models; its rows are those of the batch operator; one run again adds none."""
+    rng = np.random.default_rng(9)
+    s = stream({n: [(i * 0.01, 9.8 + rng.normal(), rng.random()) for i in range(120)] for n in ("r", "q")})
+    spec = WindowSpec(6, 3, 2, 5.0)
+    columns = "dataset string, recording_id string, evaluation_context string, fold_id string, model string, lag int, scaler_mean array<double>, scaler_std array<double>, coef array<array<double>>, intercept array<double>"
+
+    def models(scale):
+        make = lambda name, lag, both: ("A", name, "WITHIN_A", f"f{name}", "B3_RIDGE_QF_QW" if both else "B2_RIDGE_QF", lag, *[rng.random(lag * (1 + both)).tolist() for _ in range(2)], (scale * rng.normal(size=(3, lag * (1 + both)))).tolist(), [1.0, 2.0, 3.0])
+        return spark.createDataFrame([make("r", 2, False), make("r", 6, True), make("q", 4, True)], columns).cache()
+
+    live.replay_table(s, f"{tmp_path}/in", 60)
+    source = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in")
+    first, second = models(1.0), models(2.0)
+    assert live.latest_version(spark, f"{tmp_path}/m") is None
+    order = ["recording_id", "fold_id", "model", "origin"]
+    rows = lambda df: [(*(r[c] for c in order), [round(v, 9) for v in r["yhat"]], r["y"]) for r in df.orderBy(*order).collect()]
+    want = windows.build_windows(s, spec, True)
+    for version, table in ((1, first), (2, second)):
+        assert live.freeze_models(table, f"{tmp_path}/m") == version
+        live.run_ridge(live.live_windows(source, spec, 0.05), f"{tmp_path}/m", spec, f"{tmp_path}/p{version}", f"{tmp_path}/ps{version}")
+        got = spark.read.parquet(f"{tmp_path}/p{version}")
+        assert rows(got) == rows(linear.ridge_predict(want, table, spec)) and {r[0] for r in got.select("model_version").distinct().collect()} == {version}
+    assert rows(spark.read.parquet(f"{tmp_path}/p1")) != rows(spark.read.parquet(f"{tmp_path}/p2"))
