@@ -19,7 +19,8 @@ candidate sets:
 * clusters: documents that agree with the first document of their sharings in at least STRONG of the groups
   the argument needs. Near copies agree in most, so their many sharings become one set; a passage that
   unrelated documents have in common gives few agreements and chains nothing;
-* open sharings: those whose members are not all in one cluster. Equal lists of members count once.
+* open sharings: those whose members are not all in one cluster. A tree over the points alone (a few bytes instead of a
+  text) keeps the members whose bound reaches a member of another cluster; what has the same members left counts once.
 
 So a linking pair is either inside a cluster or inside an open sharing, and both are searched and verified; components are
 made of verified links alone. A set beyond BLOCK_ROWS documents or BLOCK_CHARS characters is split: all members meet
@@ -230,8 +231,79 @@ def sharings(nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(meet, "sharing long, level int, head long, id long, n long")
 
 
+def points(nodes: DataFrame, words: int) -> DataFrame:
+    """(id, size, point): the group counts of each set, one byte a group, half as many groups as hashes or more."""
+
+    def packed(s: np.ndarray) -> bytes:
+        groups = 8
+        while 2 * groups <= len(s) or counts_of(s, groups).max(initial=0) > 255:
+            groups *= 2
+        return counts_of(s, groups).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets, starts = shingle_sets(part.column(1), words)
+                made = [packed(sets[a:b]) for a, b in zip(starts, starts[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(made, pa.binary())], ["id", "size", "point"])
+
+    return nodes.mapInArrow(run, "id long, size long, point binary")
+
+
+def reaching(loose: DataFrame, num: int, den: int) -> DataFrame:
+    """(job, id) of the members of sharings (sharing, id, comp, size, point) whose bound reaches the threshold with one of another cluster.
+
+    A sharing beyond BLOCK_ROWS members is searched in tiles of two blocks. Sharings of which the same members are left become one job.
+    """
+
+    def left(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        ids, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        groups = min(len(r[3]) for r in rows)
+        tree = CountTree([folded(np.frombuffer(r[3], np.uint8), groups) for r in rows], size, num, den)
+        kept = np.zeros(len(rows), bool)
+        for p in range(len(rows)):
+            if not kept[p]:
+                near = tree.search(tree.points[p], int(size[p]))
+                near = near[comp[near] != comp[p]]
+                kept[near] = True
+                kept[p] = len(near) > 0
+        found = np.unique(ids[kept])
+        job = mixed(np.array([mixed(found.astype(np.uint64) + np.uint64(3)).sum()], np.uint64)).view(np.int64)[0] if len(found) else 0
+        return [int(job)] * len(found), found.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        out: tuple[list[int], list[int]] = ([], [])
+        pack = lambda: pa.RecordBatch.from_pydict({"job": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64())})
+
+        def close():
+            if len({r[1] for r in rows}) > 1:
+                for o, x in zip(out, left(rows), strict=True):
+                    o.extend(x)
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for *now, i, comp, size, point in zip(*columns, strict=True):
+                if now != key:
+                    close()
+                    key, rows = now, []
+                rows.append((i, comp, size, point))
+            if len(out[0]) > 10_000:
+                yield pack()
+                out = ([], [])
+        close()
+        yield pack()
+
+    sizes = loose.groupBy("sharing").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    tiled = loose.join(sizes.hint("merge"), "sharing", "left").withColumns({"blocks": F.coalesce(blocks, F.lit(1)), "y": F.pmod(F.xxhash64("id"), F.coalesce(blocks, F.lit(1))).cast("int")})
+    tiled = tiled.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiled.select("sharing", F.least("y", "z").alias("x"), F.greatest("y", "z").alias("z"), "id", "comp", "size", "point")
+    return tiles.repartition("sharing", "x", "z").sortWithinPartitions("sharing", "x", "z", "id").mapInArrow(run, "job long, id long").distinct()
+
+
 def candidate_sets(nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(job, id): clusters and open sharings; together they hold every linking pair."""
+    """(job, id): clusters and what is left of open sharings; together they hold every linking pair."""
     met = materialise(sharings(nodes, words, num, den), "jaccard-sharings")
     level = F.col("level") % WHOLE
     lows = size_classes(1 << 40, num, den)[:WHOLE]
@@ -241,11 +313,14 @@ def candidate_sets(nodes: DataFrame, words: int, num: int, den: int) -> DataFram
     clusters = components(strong, "jaccard-near")
     placed = met.select("sharing", level.alias("level"), "id").join(clusters.hint("merge"), ["level", "id"], "left").select("sharing", "id", F.coalesce("comp", "id").alias("comp"))
     placed = materialise(placed, "jaccard-placed")
+    discard(met)
     open_ = placed.groupBy("sharing").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sharing")
-    loose = placed.join(open_.hint("merge"), "sharing").select(F.xxhash64(F.lit("sharing"), "sharing").alias("job"), "id").distinct()
+    loose = materialise(placed.join(open_.hint("merge"), "sharing").distinct(), "jaccard-loose")
+    discard(placed)
+    pointed = loose.join(points(nodes, words).hint("merge"), "id").select("sharing", "id", "comp", "size", "point")
     dense = clusters.select(F.xxhash64(F.lit("cluster"), "comp").alias("job"), "id").distinct()  # the same cluster may stand in two classes
-    jobs = materialise(dense.union(loose), "jaccard-jobs")
-    discard(met, clusters, placed)
+    jobs = materialise(dense.union(reaching(pointed, num, den)), "jaccard-jobs")
+    discard(clusters, loose)
     return jobs
 
 
@@ -273,19 +348,24 @@ def components(links: DataFrame, name: str) -> DataFrame:
 # --- tree -------------------------------------------------------------------------
 
 
+def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
+    """Point of a set: hashes in each group."""
+    return np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's point in fewer groups."""
+    return point.reshape(-1, groups).sum(0, dtype=np.int64)
+
+
 class CountTree:
     """R-tree over group counts, packed bottom-up along set size and total counts of halves of the groups."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
-        self.num, self.den = num, den
-        self.size = np.array([len(s) for s in sets], np.int64)
-        groups = LEAST_GROUPS
-        while groups < min(MOST_GROUPS, np.median(self.size)):
-            groups *= 2
-        counts = [np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups) for s in sets]
-        kind = np.uint8 if max(c.max() for c in counts) < 256 else np.int32
-        self.points = np.stack([c.astype(kind) for c in counts])
-        self.order = np.lexsort((self.points[:, : groups // 2].sum(1), self.size))
+    def __init__(self, points: list[np.ndarray], size: np.ndarray, num: int, den: int):
+        self.num, self.den, self.size = num, den, size
+        kind = np.uint8 if max(c.max() for c in points) < 256 else np.int32
+        self.points = np.stack([c.astype(kind) for c in points])
+        self.order = np.lexsort((self.points[:, : self.points.shape[1] // 2].sum(1), self.size))
         self.levels = []  # from the leaves up: largest counts, least size of each node
         high, low = self.points[self.order], self.size[self.order]
         while len(low) > FANOUT:
@@ -293,6 +373,14 @@ class CountTree:
             high, low = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(low, cut)
             self.levels.append((high, low))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], num: int, den: int) -> CountTree:
+        size = np.array([len(s) for s in sets], np.int64)
+        groups = LEAST_GROUPS
+        while groups < min(MOST_GROUPS, np.median(size)):
+            groups *= 2
+        return cls([counts_of(s, groups) for s in sets], size, num, den)
+
     def reaches(self, point: np.ndarray, size: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         bound = np.minimum(high, point).sum(1, dtype=np.int64)
         return self.den * bound >= self.num * (size + np.maximum(low, bound) - bound)
@@ -340,7 +428,7 @@ def connect(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, num: in
             if label[at] != label[k]:
                 merge(at, k)
     single = np.unique(own)
-    tree, place = CountTree([sets[k] for k in single], num, den), np.searchsorted(single, own)
+    tree, place = CountTree.of_sets([sets[k] for k in single], num, den), np.searchsorted(single, own)
     for p in np.unique(place[probes]):
         me = single[p]
         near = single[tree.search(tree.points[p], int(tree.size[p]))]

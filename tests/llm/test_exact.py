@@ -170,7 +170,7 @@ def test_tree_loses_no_pair():
     for _ in range(300):
         s = set(rng.choice(pool, 60, replace=False).tolist())
         sets += [np.array(sorted(s), np.uint64), np.array(sorted(set(list(s)[rng.integers(0, 12) :])), np.uint64)]
-    tree = jaccard.CountTree(sets, 85, 100)
+    tree = jaccard.CountTree.of_sets(sets, 85, 100)
     left = 0
     for i, s in enumerate(sets):
         found = set(tree.search(tree.points[i], int(tree.size[i])).tolist())
