@@ -250,8 +250,8 @@ def points(nodes: DataFrame, words: int) -> DataFrame:
     return nodes.mapInArrow(run, "id long, size long, point binary")
 
 
-def reaching(loose: DataFrame, num: int, den: int) -> DataFrame:
-    """(job, id) of the members of sharings (sharing, id, comp, size, point) whose bound reaches the threshold with one of another cluster.
+def reaching(loose: DataFrame, point: DataFrame, num: int, den: int) -> DataFrame:
+    """(job, id) of the members of sharings (sharing, id, comp) whose bound (from the points) reaches the threshold with one of another cluster.
 
     A sharing beyond BLOCK_ROWS members is searched in tiles of two blocks. Sharings of which the same members are left become one job.
     """
@@ -296,7 +296,8 @@ def reaching(loose: DataFrame, num: int, den: int) -> DataFrame:
 
     sizes = loose.groupBy("sharing").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    tiled = loose.join(sizes.hint("merge"), "sharing", "left").withColumns({"blocks": F.coalesce(blocks, F.lit(1)), "y": F.pmod(F.xxhash64("id"), F.coalesce(blocks, F.lit(1))).cast("int")})
+    pointed = loose.join(point.hint("merge"), "id")
+    tiled = pointed.join(sizes.hint("merge"), "sharing", "left").withColumns({"blocks": F.coalesce(blocks, F.lit(1)), "y": F.pmod(F.xxhash64("id"), F.coalesce(blocks, F.lit(1))).cast("int")})
     tiled = tiled.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiled.select("sharing", F.least("y", "z").alias("x"), F.greatest("y", "z").alias("z"), "id", "comp", "size", "point")
     return tiles.repartition("sharing", "x", "z").sortWithinPartitions("sharing", "x", "z", "id").mapInArrow(run, "job long, id long").distinct()
@@ -317,9 +318,8 @@ def candidate_sets(nodes: DataFrame, words: int, num: int, den: int) -> DataFram
     open_ = placed.groupBy("sharing").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sharing")
     loose = materialise(placed.join(open_.hint("merge"), "sharing").distinct(), "jaccard-loose")
     discard(placed)
-    pointed = loose.join(points(nodes, words).hint("merge"), "id").select("sharing", "id", "comp", "size", "point")
     dense = clusters.select(F.xxhash64(F.lit("cluster"), "comp").alias("job"), "id").distinct()  # the same cluster may stand in two classes
-    jobs = materialise(dense.union(reaching(pointed, num, den)), "jaccard-jobs")
+    jobs = materialise(dense.union(reaching(loose, points(nodes, words), num, den)), "jaccard-jobs")
     discard(clusters, loose)
     return jobs
 
