@@ -142,22 +142,33 @@ def validation_scores(moments: DataFrame, recordings: DataFrame, spec: WindowSpe
     )
 
 
-def select_ridge(
+def validation_means(
     moments: DataFrame, recordings: DataFrame, spec: WindowSpec, baseline: BaselineSpec, lags: Sequence[int] | None = None
 ) -> DataFrame:
-    """Nested leave-group-out selection for every outer fold, per ridge model.
-
-    A fold whose train set is a single group cannot be split again and is left out.
-    """
+    """Mean validation RMSE of every (fold, model, lag, alpha) of the grid."""
     grid = [(m, lag, a) for m in RIDGE_MODELS for lag in (lags or baseline.lags) for a in baseline.alphas]
-    scores = (
+    return (
         validation_scores(moments, recordings, spec, grid)
         .groupBy("fold_id", "dataset", "model", "lag", "alpha")
         .agg(F.avg("rmse").alias("score"), F.count(F.lit(1)).alias("n_val"))
     )
+
+
+def best_of_grid(scores: DataFrame, baseline: BaselineSpec) -> DataFrame:
+    """The selected lag and penalty per fold and model."""
     return tied_argmin(scores, ["fold_id", "dataset", "model"], baseline.tie_tolerance)
 
 
+def select_ridge(
+    moments: DataFrame, recordings: DataFrame, spec: WindowSpec, baseline: BaselineSpec, lags: Sequence[int] | None = None
+) -> DataFrame:
+    """Nested leave-group-out selection for every outer fold, per ridge model.
+
+    A fold whose train set is a single group cannot be split again and is left out.
+    """
+    return best_of_grid(validation_means(moments, recordings, spec, baseline, lags), baseline)
+
+
 def refit(moments: DataFrame, recordings: DataFrame, selected: DataFrame, spec: WindowSpec, shift: tuple[float, float]) -> DataFrame:
     """Final fits: each outer fold's whole train set with its selected configuration."""
     train = outer_train(moments, recordings).drop("held_moments")

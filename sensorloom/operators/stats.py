@@ -208,6 +208,25 @@ def context_summary(
     )
 
 
+def setting_comparison(
+    results: DataFrame, baseline: BaselineSpec, order: str, spec: BootstrapSpec, primary: str, other: str, bounded: bool | None = None
+) -> DataFrame:
+    """Two settings of one model side by side, per context and model.
+
+    `results` has a `setting` column beside per-recording errors. Each setting gets the mean with
+    its bootstrap interval and the mean error at each reported horizon; `delta` is the other
+    setting's mean minus the primary one's.
+    """
+    by = ["evaluation_context", "model"]
+    at = [f"rmse_at_{h}" for h in baseline.report_horizons]
+    ci = bootstrap_ci(results, [*by, "setting"], "rmse_all_horizons", order, spec, bounded).select(*by, "setting", "n_recordings", "mean", "ci_low", "ci_high")
+    means = results.groupBy(*by, "setting").agg(*[F.avg(c).alias(f"mean_{c}") for c in at])
+    values = ["n_recordings", "mean", "ci_low", "ci_high", *[f"mean_{c}" for c in at]]
+    of = lambda c, s: F.max(F.when(F.col("setting") == s, F.col(c))).alias(f"{s}_{c}")
+    wide = ci.join(means, [*by, "setting"]).groupBy(*by).agg(*[of(c, s) for s in (primary, other) for c in values])
+    return wide.withColumn("delta", F.col(f"{other}_mean") - F.col(f"{primary}_mean"))
+
+
 def horizon_summary(
     results: DataFrame, window_spec, order: str = "recording_id", spec: BootstrapSpec | None = None,
     by: Sequence[str] = ("evaluation_context", "model"), bounded: bool | None = None,

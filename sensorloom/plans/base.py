@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def full_grid(name: str) -> Callable[[Query], Query]:
+    """Register a query of the ridge protocol with every lag and penalty. It has no twin: the SQL solves one lag only."""
+
+    def add(fn: Query) -> Query:
+        query(name)(partial(fn, baseline=BASE))
+        return fn
+
+    return add
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to 6 decimals, whole numbers to BIGINT: the forms both engines share."""
     cells = []

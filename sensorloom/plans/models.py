@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
-from sensorloom.operators import linear, sampling, selection, splits
+from sensorloom.operators import linear, sampling, selection, splits, stats
 from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, RIDGE_QF_QW, predict, score_with
 from sensorloom.operators.metrics import high_target_results, recording_results, with_skill
 from sensorloom.operators.rows import union_all
 from sensorloom.operators.windows import high_thresholds
 from sensorloom.plans.base import (
-    BASE, CELLS, KEY, LAG1, ORIGINS, PAIRS, RESULT_NUMBERS, i64, query, r6, results_sql, streams, windows,
+    BASE, BOOT, CELLS, KEY, LAG1, ORIGINS, PAIRS, RESULT_NUMBERS, full_grid, i64, query, r6, results_sql, streams, windows,
 )
 from sensorloom.session import materialise
 from sensorloom.sources import testdata as td
@@ -264,9 +264,14 @@ outer_rows AS (
 fits AS ({_fit_sql('outer_rows', 'fold_id, dataset, held_recording, model, alpha')})"""
 
 
-def _lag1_selection(spark, d):
+def _selection(spark, d, baseline):
     m, shift = moments(spark, d)
-    return m, shift, selection.select_ridge(m, td.recordings(spark, d), td.SPEC, LAG1)
+    return m, shift, selection.select_ridge(m, td.recordings(spark, d), td.SPEC, baseline)
+
+
+def _fits(spark, d, baseline):
+    m, shift, chosen = _selection(spark, d, baseline)
+    return selection.refit(m, td.recordings(spark, d), chosen, td.SPEC, shift)
 
 
 @query(
@@ -274,16 +279,18 @@ def _lag1_selection(spark, d):
     f"WITH {_SELECT1} SELECT fold_id, dataset, model, CAST(1 AS BIGINT) AS lag, round(alpha, 6) AS alpha, round(score, 6) AS score, n_tied, round(best_score, 6) AS best_score FROM selected",
 )
 def k7_lag1(spark, d):
-    return _lag1_selection(spark, d)[2]
+    return _selection(spark, d, LAG1)[2]
 
 
+@full_grid("k7_validation_scores")
 @query(
     "k7_validation_scores_lag1",
     f"WITH {_SELECT1} SELECT fold_id, dataset, recording_id, model, CAST(1 AS BIGINT) AS lag, round(alpha, 6) AS alpha, round(rmse, 6) AS rmse FROM val",
 )
-def k7_scores(spark, d):
+def k7_scores(spark, d, baseline=LAG1):
     m, _ = moments(spark, d)
-    return selection.validation_scores(m, td.recordings(spark, d), td.SPEC, [(n, 1, a) for n in linear.RIDGE_MODELS for a in LAG1.alphas])
+    grid = [(n, lag, a) for n in linear.RIDGE_MODELS for lag in baseline.lags for a in baseline.alphas]
+    return selection.validation_scores(m, td.recordings(spark, d), td.SPEC, grid)
 
 
 @query(
@@ -293,8 +300,7 @@ def k7_scores(spark, d):
     round(b1_1, 6) AS coef_qf_h1, round(b1_4, 6) AS coef_qf_h4, CASE WHEN model <> 'B2_RIDGE_QF' THEN round(b2_1, 6) END AS coef_qw_h1, round(ey1, 6) AS intercept_h1, round(ey4, 6) AS intercept_h4 FROM fits""",
 )
 def a16(spark, d):
-    m, shift, chosen = _lag1_selection(spark, d)
-    fits = selection.refit(m, td.recordings(spark, d), chosen, td.SPEC, shift)
+    fits = _fits(spark, d, LAG1)
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     return fits.select(
         "fold_id", "dataset", "held_recording", "model", "lag", "alpha", "n_windows",
@@ -304,6 +310,13 @@ def a16(spark, d):
     )
 
 
+@query("a16_ridge_fit")
+def a16_full(spark, d):
+    """Selected and refitted models of every fold, with whole scalers, coefficients and intercepts."""
+    return _fits(spark, d, BASE)
+
+
+@full_grid("a18_coefficient_audit")
 @query(
     "a18_coefficient_audit_lag1",
     f"""WITH {_FITS1} SELECT fold_id, dataset, model, CAST(1 AS BIGINT) AS lag, round(alpha, 6) AS alpha, CAST(CASE WHEN model = 'B2_RIDGE_QF' THEN 1 ELSE 2 END AS BIGINT) AS n_features, CAST(4 AS BIGINT) AS n_outputs,
@@ -311,9 +324,8 @@ def a16(spark, d):
     round(sqrt({' + '.join(f'ey{h} * ey{h}' for h in _H)}), 6) AS intercept_norm, round(sqrt(e1 * e1 + CASE WHEN model = 'B2_RIDGE_QF' THEN 0 ELSE e2 * e2 END), 6) AS mean_l2,
     round(sqrt(s1 * s1 + CASE WHEN model = 'B2_RIDGE_QF' THEN 0 ELSE s2 * s2 END), 6) AS std_l2, CAST(n_windows AS BIGINT) AS n_windows FROM fits""",
 )
-def a18(spark, d):
-    m, shift, chosen = _lag1_selection(spark, d)
-    return linear.coefficient_audit(selection.refit(m, td.recordings(spark, d), chosen, td.SPEC, shift), ["fold_id", "dataset"])
+def a18(spark, d, baseline=LAG1):
+    return linear.coefficient_audit(_fits(spark, d, baseline), ["fold_id", "dataset"])
 
 
 ALL_CELLS1 = CELLS + "," + _FITS1[len(ORIGINS) + 1 :] + f""",
@@ -353,12 +365,13 @@ def all_results(spark, d, baseline=LAG1):
     return with_skill(scored, ["evaluation_context"])
 
 
+@full_grid("a17_ridge_predictions")
 @query(
     "a17_ridge_predictions_lag1",
     f"WITH {ALL_CELLS1} SELECT evaluation_context, fold_id, model, {KEY}, origin, CAST(h AS BIGINT) AS h, round(yhat, 6) AS yhat FROM ridge_cells",
 )
-def a17(spark, d):
-    p = linear.ridge_predict(windows(spark, d), ridge_models(spark, d), td.SPEC)
+def a17(spark, d, baseline=LAG1):
+    p = linear.ridge_predict(windows(spark, d), ridge_models(spark, d, baseline), td.SPEC)
     cells = p.select("evaluation_context", "fold_id", "model", *RECORDING, "origin", F.posexplode("yhat").alias("h", "yhat"))
     return cells.withColumn("h", F.col("h") + 1)
 
@@ -398,24 +411,32 @@ def k8_full(spark, d):
 
 @query("k9_fixed_lag_sensitivity")
 def k9(spark, d):
-    """Lag pinned to the look-back, penalty selected; error against the free selection."""
-    w, kept = windows(spark, d), moments(spark, d)
-    free = recording_results(linear.ridge_predict(w, ridge_models(spark, d, BASE, kept=kept), td.SPEC), td.SPEC, BASE, ["evaluation_context", "model"])
-    fixed = recording_results(linear.ridge_predict(w, ridge_models(spark, d, BASE, [10], kept), td.SPEC), td.SPEC, BASE, ["evaluation_context", "model"])
-    mean = lambda df, name: df.groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
-    both = mean(fixed, "fixed_rmse").join(mean(free, "primary_rmse"), ["evaluation_context", "model"])
-    return both.filter(F.col("model") == RIDGE_QF_QW).withColumn("delta", F.col("fixed_rmse") - F.col("primary_rmse"))
-
-
+    """Lag pinned to the look-back, penalty selected, against the free selection. One pass of validation
+    scores serves both; both are scored by one pass over the windows."""
+    (m, shift), r = moments(spark, d), td.recordings(spark, d)
+    scores = materialise(selection.validation_means(m, r, td.SPEC, BASE), "validation-means")
+    settings = {"primary": scores, "fixed": scores.filter(F.col("lag") == td.SPEC.lookback)}
+    models = [
+        selection.assign_models(selection.refit(m, r, selection.best_of_grid(s, BASE).filter(F.col("model") == RIDGE_QF_QW), td.SPEC, shift), r, PAIRS)
+        .withColumn("evaluation_context", F.concat_ws("|", F.lit(name), "evaluation_context"))
+        for name, s in settings.items()
+    ]
+    scored = recording_results(linear.ridge_predict(windows(spark, d), union_all(*models), td.SPEC), td.SPEC, BASE, ["evaluation_context", "model"])
+    split = F.split("evaluation_context", "\\|")
+    tagged = scored.withColumns({"setting": split[0], "evaluation_context": split[1]}).join(r.select(*RECORDING, "ord"), list(RECORDING))
+    return stats.setting_comparison(materialise(tagged, "lag-settings"), BASE, "ord", BOOT, "primary", "fixed", td.bounded(spark, d))
+
+
+@full_grid("a32_high_target_results")
 @query(
     "a32_high_target_results_lag1",
     f"""WITH {ALL_CELLS1}, t AS (SELECT dataset, recording_id, quantile_cont(q_f, 0.95) AS p95 FROM streams GROUP BY ALL)
     SELECT evaluation_context, model, {KEY}, round(p95, 6) AS p95_threshold, count(*) FILTER (WHERE y > p95) AS n_high_cells, round(sqrt(avg((yhat - y) * (yhat - y)) FILTER (WHERE y > p95)), 6) AS rmse_high_p95_targets
     FROM context_cells JOIN t USING (dataset, recording_id) GROUP BY ALL""",
 )
-def a32(spark, d):
+def a32(spark, d, baseline=LAG1):
     t = high_thresholds(streams(spark, d), bounded=td.bounded(spark, d))
-    return high_target_results(all_predictions(spark, d), t, ["evaluation_context", "model"])
+    return high_target_results(all_predictions(spark, d, baseline), t, ["evaluation_context", "model"])
 
 
 # --- selection on logs --------------------------------------------------------------------
@@ -456,13 +477,14 @@ def t1(spark, d):
     return selection.tied_argmin(scores, ["k"], 0.05)
 
 
+@full_grid("t3_best_model")
 @query(
     "t3_best_model_lag1",
     f"""WITH {ALL_CELLS1}, m AS (SELECT evaluation_context, model, avg(rmse_all_horizons) AS v FROM results GROUP BY ALL)
     SELECT evaluation_context, arg_min(model, v) AS best_model, round(min(v), 6) AS best_value FROM m GROUP BY ALL""",
 )
-def t3(spark, d):
-    means = all_results(spark, d).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
+def t3(spark, d, baseline=LAG1):
+    means = all_results(spark, d, baseline).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
     return selection.best_model(means, ["evaluation_context"])
 
 

@@ -12,7 +12,7 @@ from sensorloom.operators.metrics import high_target_results
 from sensorloom.operators.rows import exactly_one
 from sensorloom.operators.windows import high_thresholds
 from sensorloom.plans.base import (
-    BASE, BOOT, KEY, LAG1, LOCAL_RESULTS, local_predictions, local_results, query, r6, streams,
+    BASE, BOOT, KEY, LAG1, LOCAL_RESULTS, full_grid, local_predictions, local_results, query, r6, streams,
 )
 from sensorloom.plans.models import _RUNS, ALL_CELLS1, all_results
 from sensorloom.session import materialise
@@ -77,19 +77,20 @@ def a19(spark, d):
     return stats.context_summary(local_results(spark, d), BASE, "ord", BOOT, bounded=td.bounded(spark, d))
 
 
-def _all(spark, d):
+def _all(spark, d, baseline=LAG1):
     """All results, written once: the statistics below read them several times."""
-    results = all_results(spark, d).join(td.recordings(spark, d).select(*RECORDING, "ord"), list(RECORDING))
+    results = all_results(spark, d, baseline).join(td.recordings(spark, d).select(*RECORDING, "ord"), list(RECORDING))
     return materialise(results, "results")
 
 
-def _summary(spark, d, results):
-    return stats.context_summary(results, LAG1, "ord", BOOT, bounded=td.bounded(spark, d))
+def _summary(spark, d, results, baseline):
+    return stats.context_summary(results, baseline, "ord", BOOT, bounded=td.bounded(spark, d))
 
 
+@full_grid("a19_a20_all_models_summary")
 @query("a19_a20_context_summary_lag1", f"WITH {_ALL_ORD} SELECT {_CM}, n_recordings, {r6(*_SUMMARY_COLUMNS)}, {', '.join(_WLT)} FROM summary")
-def a19_lag1(spark, d):
-    return _summary(spark, d, _all(spark, d))
+def a19_lag1(spark, d, baseline=LAG1):
+    return _summary(spark, d, _all(spark, d, baseline), baseline)
 
 
 _HORIZON_ROWS = " UNION ALL ".join(f"SELECT {_CM}, ord, CAST({h} AS BIGINT) AS horizon_index, CAST({10 * h} AS BIGINT) AS horizon_ms, rmse_h{h:02d} AS v FROM results" for h in (1, 2, 3, 4))
@@ -136,12 +137,13 @@ def a28(spark, d):
 _ALL_PAIRED = ALL_CELLS1 + f", ord_results AS (SELECT results.*, recs.ord FROM results JOIN recs USING (dataset, recording_id)), {_paired_sql('ord_results', 'B2_RIDGE_QF')}"
 
 
+@full_grid("a28_c4_paired_vs_ridge")
 @query("a28_c4_paired_vs_ridge_lag1", f"""WITH {_ALL_PAIRED} SELECT *, CASE
     WHEN mean_delta > 0 AND losses > wins THEN CASE WHEN abs(relative_improvement_pct) < 1 AND ci_low <= 0 AND ci_high >= 0 THEN 'C. NO MATERIAL GAIN' ELSE 'D. DEGRADATION' END
     WHEN mean_delta < 0 AND wins >= ceil(n_recordings / 2.0) AND ci_high <= 0 THEN 'A. CLEAR PRACTICAL GAIN' WHEN mean_delta < 0 THEN 'B. MODEST / UNCERTAIN GAIN' ELSE 'C. NO MATERIAL GAIN' END AS evidence_class
     FROM ({_PAIRED})""")
-def c4(spark, d):
-    paired = stats.paired_comparison(_all(spark, d), "B2_RIDGE_QF", "ord", BOOT, bounded=td.bounded(spark, d))
+def c4(spark, d, baseline=LAG1):
+    paired = stats.paired_comparison(_all(spark, d, baseline), "B2_RIDGE_QF", "ord", BOOT, bounded=td.bounded(spark, d))
     return classify.evidence_class(paired)
 
 
@@ -190,9 +192,10 @@ _GAPS = """gaps AS (SELECT z.evaluation_context AS direction, z.model, z.mean_rm
   JOIN summary w ON w.evaluation_context = within_context AND w.model = z.model WHERE z.model <> 'B0_PERSISTENCE')"""
 
 
+@full_grid("j8_transfer_gaps")
 @query("j8_transfer_gaps_lag1", f"WITH {_ALL_ORD}, {_GAPS} SELECT direction, model, {r6('zero_shot_rmse', 'within_target_rmse', 'transfer_gap', 'relative_transfer_gap_pct')} FROM gaps")
-def j8(spark, d):
-    means = _all(spark, d).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
+def j8(spark, d, baseline=LAG1):
+    means = _all(spark, d, baseline).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
     return stats.transfer_gaps(means, _directions(spark))
 
 
@@ -270,21 +273,23 @@ def r1(spark, d):
     return s.select("evaluation_context", "model", interval_text(*[F.col(c) for c in ("mean_rmse", "ci_low", "ci_high")]).alias("formatted_rmse_ci"), fixed3(F.col("mean_mae")).alias("formatted_mae"))
 
 
+@full_grid("r1_model_by_context")
 @query(
     "r1_model_by_context_lag1",
     f"""WITH {ALL_CELLS1}, m AS (SELECT {_CM}, avg(rmse_all_horizons) AS v FROM results GROUP BY ALL)
     SELECT model, {', '.join(f"round(max(v) FILTER (WHERE evaluation_context = '{c}'), 6) AS {c}" for c in ('WITHIN_A', 'WITHIN_B', 'A_TO_B', 'B_TO_A'))} FROM m GROUP BY model""",
 )
-def r1_pivot(spark, d):
-    return all_results(spark, d).groupBy("model").pivot("evaluation_context", ["WITHIN_A", "WITHIN_B", "A_TO_B", "B_TO_A"]).agg(F.avg("rmse_all_horizons"))
+def r1_pivot(spark, d, baseline=LAG1):
+    return all_results(spark, d, baseline).groupBy("model").pivot("evaluation_context", ["WITHIN_A", "WITHIN_B", "A_TO_B", "B_TO_A"]).agg(F.avg("rmse_all_horizons"))
 
 
+@full_grid("r2_skill_table")
 @query(
     "r2_skill_table_lag1",
     f"""WITH {ALL_CELLS1} SELECT {_CM}, round(avg(skill), 6) AS mean_recording_skill, round(1 - avg(rmse_all_horizons) / avg(base), 6) AS skill_of_means FROM results WHERE model <> 'B0_PERSISTENCE' GROUP BY ALL""",
 )
-def r2(spark, d):
-    rows = all_results(spark, d).withColumn("base", stats.of_model("rmse_all_horizons", PERSISTENCE, ["evaluation_context"]))
+def r2(spark, d, baseline=LAG1):
+    rows = all_results(spark, d, baseline).withColumn("base", stats.of_model("rmse_all_horizons", PERSISTENCE, ["evaluation_context"]))
     means = rows.filter(F.col("model") != PERSISTENCE).groupBy("evaluation_context", "model").agg(
         F.avg("skill").alias("mean_recording_skill"), skill_score(F.avg("rmse_all_horizons"), F.avg("base")).alias("skill_of_means")
     )
@@ -294,14 +299,15 @@ def r2(spark, d):
 _ROLES = (("B0_PERSISTENCE", "naive reference"), ("B1_LINEAR", "local trend"), ("B2_RIDGE_QF", "learned, one channel"), ("B3_RIDGE_QF_QW", "learned, two channels"))
 
 
+@full_grid("r4_baseline_roles")
 @query(
     "r4_baseline_roles_lag1",
     f"""WITH {ALL_CELLS1}, m AS (SELECT {_CM}, avg(rmse_all_horizons) AS v FROM results GROUP BY ALL)
     SELECT {_CM}, role, round(v, 6) AS mean_rmse FROM m JOIN (VALUES {', '.join(str(r) for r in _ROLES)}) AS r(model, role) USING (model)""",
 )
-def r4(spark, d):
+def r4(spark, d, baseline=LAG1):
     roles = spark.createDataFrame(list(_ROLES), "model string, role string")
-    means = all_results(spark, d).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
+    means = all_results(spark, d, baseline).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
     return means.join(roles, "model")
 
 
@@ -328,6 +334,7 @@ def p21(spark, d):
 # --- verdicts -----------------------------------------------------------------------------
 
 
+@full_grid("c5_residual_gate")
 @query(
     "c5_residual_gate_lag1",
     f"""WITH {_ALL_ORD}, sd AS (SELECT dataset, recording_id, stddev_pop(q_f) AS sd FROM streams GROUP BY ALL),
@@ -339,12 +346,12 @@ def p21(spark, d):
       WHEN best_within > 0.05 AND (best_transfer < best_within - 0.05 OR best_transfer < 0.05) THEN 'ADVANCED_MODELS_JUSTIFIED' WHEN best_within > 0.1 THEN 'ADVANCED_MODELS_JUSTIFIED'
       WHEN best_within <= 0.05 AND median_ratio > 0.3 THEN 'ADVANCED_MODELS_JUSTIFIED' ELSE 'ADVANCED_MODELS_LOW_PRIORITY' END AS gate FROM b, ratio""",
 )
-def c5(spark, d):
-    results = _all(spark, d)
+def c5(spark, d, baseline=LAG1):
+    results = _all(spark, d, baseline)
     sd = streams(spark, d).groupBy(*RECORDING).agg(F.stddev_pop("q_f").alias("sd"))
     pers = results.filter(F.col("model") == PERSISTENCE).select(*RECORDING, "rmse_all_horizons").distinct()
     hard = pers.join(sd, list(RECORDING)).withColumn("persistence_rmse_over_sd", F.col("rmse_all_horizons") / F.col("sd"))
-    return classify.residual_gate(_summary(spark, d, results), hard, ["WITHIN_A", "WITHIN_B"], ["A_TO_B", "B_TO_A"], ["B2_RIDGE_QF", "B3_RIDGE_QF_QW"], PERSISTENCE)
+    return classify.residual_gate(_summary(spark, d, results, baseline), hard, ["WITHIN_A", "WITHIN_B"], ["A_TO_B", "B_TO_A"], ["B2_RIDGE_QF", "B3_RIDGE_QF_QW"], PERSISTENCE)
 
 
 # Three "advanced" models stand in as per-recording factors on the one-channel ridge
@@ -359,14 +366,15 @@ dl AS (SELECT a.*, a.rmse_all_horizons - b.rmse_all_horizons AS delta FROM adv a
 _ORD_RESULTS = ALL_CELLS1 + ", ord_results AS (SELECT results.*, recs.ord FROM results JOIN recs USING (dataset, recording_id))"
 
 
-def _advanced(spark, d):
-    results = _all(spark, d).select("evaluation_context", "model", *RECORDING, "ord", "rmse_all_horizons")
+def _advanced(spark, d, baseline):
+    results = _all(spark, d, baseline).select("evaluation_context", "model", *RECORDING, "ord", "rmse_all_horizons")
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("f")) for m, f in (("CONV", -0.02), ("RECUR", 0.01), ("ATTN", -0.05))])
     made = results.filter("model = 'B2_RIDGE_QF'").drop("model").select("*", F.inline(models))
     made = made.withColumn("rmse_all_horizons", F.col("rmse_all_horizons") * (1 + F.col("f") * (1 - 0.2 * (F.col("ord") % 4)))).drop("f")
     return made.unionByName(results.filter(F.col("model").isin("B0_PERSISTENCE", "B2_RIDGE_QF")))
 
 
+@full_grid("c6_gain_flags")
 @query(
     "c6_gain_flags_lag1",
     f"""WITH {_ORD_RESULTS}, {_ADV}, g AS (SELECT {_CM}, count(*) AS n, avg(delta) AS mean_delta, count(*) FILTER (WHERE delta < -1e-12) AS wins, count(*) FILTER (WHERE delta > 1e-12) AS losses FROM dl GROUP BY ALL),
@@ -376,8 +384,8 @@ def _advanced(spark, d):
       mean_delta < 0 AND wins > losses AND wins >= ceil(n / 2.0) AND (rm < 0 OR rneg >= ceil(rn / 2.0)) AS practical_gain,
       mean_delta < 0 AND wins > losses AND wins >= ceil(n / 2.0) AND (rm < 0 OR rneg >= ceil(rn / 2.0)) AND abs(mean_delta) > 0.02 AS gain_over_seeds FROM g JOIN rest USING ({_CM})""",
 )
-def c6_flags(spark, d):
-    return _gain_flags(_advanced(spark, d))
+def c6_flags(spark, d, baseline=LAG1):
+    return _gain_flags(_advanced(spark, d, baseline))
 
 
 def _gain_flags(rows):
@@ -386,16 +394,18 @@ def _gain_flags(rows):
     return classify.gain_flags(deltas, spread)
 
 
+@full_grid("c6_gain_classification")
 @query("c6_gain_classification_lag1")
-def c6(spark, d):
-    rows = materialise(_advanced(spark, d), "advanced")
+def c6(spark, d, baseline=LAG1):
+    rows = materialise(_advanced(spark, d, baseline), "advanced")
     means = rows.groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
     return classify.gain_classification(_gain_flags(rows), means, ("WITHIN_A", "WITHIN_B"), ("A_TO_B", "B_TO_A"), PERSISTENCE, "B2_RIDGE_QF")
 
 
+@full_grid("c7_key_findings")
 @query("c7_key_findings_lag1")
-def c7(spark, d):
-    rows = materialise(_advanced(spark, d), "advanced")
+def c7(spark, d, baseline=LAG1):
+    rows = materialise(_advanced(spark, d, baseline), "advanced")
     means = rows.groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
     paired = stats.paired_comparison(rows, "B2_RIDGE_QF", "ord", BOOT, bounded=td.bounded(spark, d))
     return classify.key_findings(means, paired, "WITHIN_A", "WITHIN_B", "A_TO_B", "B_TO_A", "B2_RIDGE_QF", ["CONV", "RECUR", "ATTN"], "CONV", "RECUR", "ATTN")
