@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import BLOCK_ROWS, RECORDING
-from sensorloom.operators.ordering import assign_idx, halo_rows, join_facts
+from sensorloom.operators.ordering import assign_idx, block_tags, halo_rows, join_facts
 
 # Second-order sections [b0, b1, b2, a0, a1, a2] of the two designs.
 SOS_200_HZ = (
@@ -101,7 +101,8 @@ def causal_filter(samples: DataFrame, sos: Sos, columns: Sequence[str] = ("q_f",
     """Forward-only filter of each column, in native order, per recording."""
     memory = memory_rows(sos)
     size = max(block_rows, memory)
-    names = list(samples.columns)
+    tags = block_tags(samples)
+    names = [c for c in samples.columns if c not in tags]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
@@ -110,7 +111,7 @@ def causal_filter(samples: DataFrame, sos: Sos, columns: Sequence[str] = ("q_f",
         return pdf.loc[pdf["own"], names]
 
     blocks = halo_rows(samples, memory, 0, size)
-    return blocks.groupBy(*RECORDING, "block").applyInPandas(run, samples.schema)
+    return blocks.groupBy(*RECORDING, "block").applyInPandas(run, samples.select(*names).schema)
 
 
 def decimate(samples: DataFrame, factor: int) -> DataFrame:

@@ -33,6 +33,7 @@ def _decide(df: DataFrame, keys: Sequence[str], bounded: bool | None) -> bool:
 # --- facts per group ------------------------------------------------------
 
 SALTS = 32
+MAX_FACTS = 500_000  # rows of one group each, some 100 bytes: 50 MB
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
@@ -50,6 +51,37 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: s
 # --- blocks ---------------------------------------------------------------
 
 
+def stored_halo(df: DataFrame) -> dict | None:
+    """`before`, `after` and `rows` of a table that was written in blocks (`tables.write_blocks`), else None."""
+    if not {"block", "own"} <= set(df.columns):
+        return None
+    return df.schema["block"].metadata or None
+
+
+def block_tags(df: DataFrame) -> list[str]:
+    """The columns that keep a stored block layout through a projection."""
+    return ["block", "own"] if stored_halo(df) else []
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """Each row once, in plain form: halo rows and tags of a stored block layout go, other tables stay as they are."""
+    return df.filter("own").drop("own", "block") if stored_halo(df) else df
+
+
+def facts_beside(rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
+    """`join_facts`, without moving rows that lie in stored blocks.
+
+    Their facts are written and counted first, and broadcast up to MAX_FACTS rows; beyond that the
+    facts are joined like those of any other table, and the blocks are made again.
+    """
+    if not stored_halo(rows):
+        return join_facts(rows, facts, keys, spread)
+    written = materialise(facts, "facts")
+    if written.count() <= MAX_FACTS:
+        return rows.join(F.broadcast(written), list(keys))
+    return join_facts(own_rows(rows), written, keys, spread)
+
+
 def halo_rows(df: DataFrame, before: int, after: int, block_rows: int = BLOCK_ROWS, keys: Sequence[str] = RECORDING) -> DataFrame:
     """Tag rows with `block` and copy boundary rows into neighbour blocks.
 
@@ -57,7 +89,15 @@ def halo_rows(df: DataFrame, before: int, after: int, block_rows: int = BLOCK_RO
     the rows that belong to the block. Rows are partitioned by (keys, block): left to
     itself, Spark would accept an earlier partitioning by keys alone, and with it a
     whole recording in one task.
+
+    A table written in blocks is taken as it lies, without a shuffle, whatever `block_rows`
+    says; its stored halo has to be at least as wide.
     """
+    stored = stored_halo(df)
+    if stored and before <= stored["before"] and after <= stored["after"]:
+        return df
+    if stored:  # too narrow for this frame: cut anew from the rows themselves
+        df = own_rows(df)
     first = F.greatest(F.floor((F.col("idx") - after) / block_rows), F.lit(0))
     last = F.floor((F.col("idx") + before) / block_rows)
     tagged = df.withColumn("block", F.explode(F.sequence(first, last)))

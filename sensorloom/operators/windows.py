@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING, WindowSpec
-from sensorloom.operators.ordering import block_window, exact_quantiles, grouped_stats, halo_rows, join_facts
+from sensorloom.operators.ordering import block_tags, block_window, exact_quantiles, facts_beside, grouped_stats, halo_rows, own_rows
 from sensorloom.operators.timestamps import native_steps
 
 STATUSES = ("start", "end", "other", "gap", "valid")
@@ -25,7 +25,7 @@ def _classified_rows(streams: DataFrame, spec: WindowSpec, bounded: bool | None,
     so a running maximum of the breaking positions is enough: linear work per block.
     """
     size, (L, H, S) = spec.block_rows, (spec.lookback, spec.horizon, spec.stride)
-    rows = join_facts(streams.select(*RECORDING, "idx", "ts_s", *columns), step_limits(streams, bounded), RECORDING, "idx")
+    rows = facts_beside(streams.select(*RECORDING, "idx", "ts_s", *columns, *block_tags(streams)), step_limits(streams, bounded), RECORDING, "idx")
     k = F.col("idx")
     in_order = block_window()
     up_to_end = in_order.rowsBetween(Window.unboundedPreceding, H)
@@ -67,7 +67,7 @@ def window_counts(streams: DataFrame, spec: WindowSpec, bounded: bool | None = N
             is_status("other").alias("excluded_other"),
         )
     )
-    sizes = streams.groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("processed_samples"))
+    sizes = own_rows(streams).groupBy(*RECORDING).agg(F.count(F.lit(1)).alias("processed_samples"))
     return sizes.join(counts, list(RECORDING), "left").withColumns(
         {
             "lookback_samples": F.lit(spec.lookback).cast("bigint"),
@@ -117,4 +117,4 @@ def build_windows(streams: DataFrame, spec: WindowSpec, bounded: bool | None = N
 
 def high_thresholds(streams: DataFrame, percentile: float = 0.95, bounded: bool | None = None) -> DataFrame:
     """Per-recording upper-tail threshold of q_f."""
-    return exact_quantiles(streams, RECORDING, "q_f", {"p95_qf": percentile}, bounded)
+    return exact_quantiles(own_rows(streams), RECORDING, "q_f", {"p95_qf": percentile}, bounded)

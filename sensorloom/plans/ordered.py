@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
@@ -12,8 +14,10 @@ from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
 from sensorloom.operators.metrics import recording_results
 from sensorloom.operators.timestamps import native_steps, stream_spans
 from sensorloom.operators.windows import build_windows, classify_origins, high_thresholds, window_counts
-from sensorloom.plans.base import BASE, CELLS, KEY, ORIGINS, STEPS, STREAMS, i64, query, r6, streams, windows
+from sensorloom.plans.base import BASE, CELLS, KEY, ORACLES, ORIGINS, STEPS, STREAMS, i64, query, r6, streams, windows
+from sensorloom.session import shared_folder
 from sensorloom.sources import testdata as td
+from sensorloom.sources.tables import write_blocks
 
 
 @query("w1_native_steps", f"WITH {STEPS} SELECT {KEY}, idx, round(dt, 6) AS dt, CAST(dt < 0 AS BIGINT) AS backward, CAST(dt = 0 AS BIGINT) AS duplicate FROM steps")
@@ -47,7 +51,10 @@ def w2_counts(spark, d):
     list_aggregate(hist_qw, 'string_agg', ',') AS hist_qw, list_aggregate(future_qf, 'string_agg', ',') AS future_qf FROM windows""",
 )
 def w3(spark, d):
-    w = windows(spark, d)
+    return _window_text(windows(spark, d))
+
+
+def _window_text(w):
     return w.withColumns({c: F.array_join(c, ",") for c in ("hist_qf", "hist_qw", "future_qf")})
 
 
@@ -106,6 +113,37 @@ def w7(spark, d):
     return out.select(*RECORDING, "idx", "q_f")
 
 
+# The same operators over the stored block layout: their big input is not shuffled again.
+
+
+def _stored(spark, d):
+    path = f"{shared_folder(spark)}/sensorloom-blocks-{uuid.uuid4().hex}"
+    halo = max(td.SPEC.lookback, filtering.memory_rows(filtering.SOS_200_HZ))
+    return write_blocks(streams(spark, d), f"stream_blocks_{uuid.uuid4().hex}", halo, td.SPEC.horizon, path=path)
+
+
+@query("s4_blocks_steps", ORACLES["w1_native_steps"])
+def w1_stored(spark, d):
+    s = native_steps(_stored(spark, d))
+    return s.select(*RECORDING, "idx", "dt", (F.col("dt") < 0).cast("bigint").alias("backward"), (F.col("dt") == 0).cast("bigint").alias("duplicate"))
+
+
+@query("s4_blocks_window_counts", ORACLES["w2_window_counts"])
+def w2_stored(spark, d):
+    return window_counts(_stored(spark, d), td.SPEC, td.bounded(spark, d))
+
+
+@query("s4_blocks_windows", ORACLES["w3_windows"])
+def w3_stored(spark, d):
+    return _window_text(build_windows(_stored(spark, d), td.SPEC, td.bounded(spark, d)))
+
+
+@query("s4_blocks_filter", ORACLES["w7_causal_filter"])
+def w7_stored(spark, d):
+    stored = _stored(spark, d).select(*RECORDING, "idx", "ts_s", "q_f", "block", "own")
+    return filtering.causal_filter(stored, filtering.SOS_200_HZ, ["q_f"]).select(*RECORDING, "idx", "q_f")
+
+
 _HOUR = 3600.0
 
 
