@@ -105,6 +105,64 @@ def audit_findings(evidence: DataFrame) -> DataFrame:
     return evidence.select(*RECORDING, F.inline(rows))
 
 
+# Rule and action of each check in the full audit.
+AUDIT_RULES = {
+    "CSV_READABLE": ("table with a header", "Signal table.", "EXCLUDE"),
+    "YAML_READABLE": ("calibration file", "Calibration of the sensor.", "review"),
+    "REQUIRED_COLUMNS": ("timestamp + 3 gyro + 3 accel", "Columns found in the header.", "EXCLUDE"),
+    "NAN_INF": (">=99% finite required IMU samples", "Finite share of the required cells.", "EXCLUDE"),
+    "MONOTONIC_TS": ("strictly increasing timestamps preferred", "Order of the native clock.", "review"),
+    "CONSTANT_CHANNELS": ("non-constant IMU channels", "Stuck accelerometer.", "EXCLUDE"),
+    "GT_READABLE": ("reference table readable", "Reference table.", "EXCLUDE"),
+    "GT_OVERLAP": (">=20 s IMU-GT overlap", "Common time, without interpolation.", "downgrade usability"),
+    "ZIP_VALID": ("no damaged member", "Archive of the recording.", "EXCLUDE"),
+}
+
+
+def detailed_findings(evidence: DataFrame) -> DataFrame:
+    """`audit_findings` with the observed value, the rule, its meaning and the action; with a `damaged_member`
+    column (blank: none) the archive is a ninth check."""
+    observed = {
+        "CSV_READABLE": F.format_string("n=%d", "n_samples"),
+        "YAML_READABLE": F.when(F.col("has_calibration"), "present").otherwise("missing"),
+        "REQUIRED_COLUMNS": F.col("layout"),
+        "NAN_INF": F.format_string("finite_fraction=%.6f", "finite_fraction_required"),
+        "MONOTONIC_TS": F.format_string("backward=%d", "backward_count"),
+        "CONSTANT_CHANNELS": F.concat(F.lit("accel_constant="), F.col("accel_constant").cast("string")),
+        "GT_READABLE": F.when(F.col("n_reference").isNull(), "missing").otherwise(F.format_string("n=%d", "n_reference")),
+        "GT_OVERLAP": F.format_string("overlap_s=%.6f", F.coalesce("overlap_s", F.lit(0.0))),
+    }
+    passes, severities = audit_conditions(), {c: (g, s) for c, g, s in AUDIT_CHECKS}
+    always = {"CSV_READABLE", "REQUIRED_COLUMNS", "GT_READABLE"}
+    if "damaged_member" in evidence.columns:
+        sound = F.coalesce("damaged_member", F.lit("")) == ""
+        passes["ZIP_VALID"], severities["ZIP_VALID"] = sound, ("archive", "CRITICAL")
+        observed["ZIP_VALID"] = F.when(sound, "archive_ok").otherwise(F.col("damaged_member"))
+    rows = []
+    for check, (category, severity) in severities.items():
+        rule, meaning, action = AUDIT_RULES[check]
+        ok = passes[check]
+        rows.append(
+            F.struct(
+                F.lit(check).alias("check_id"), F.lit(category).alias("category"), F.when(ok & F.lit(check not in always), "INFO").otherwise(severity).alias("severity"),
+                F.when(ok, "PASS").otherwise("FAIL").alias("status"), observed[check].alias("observed"), F.lit(rule).alias("expected_or_rule"),
+                F.lit(meaning).alias("interpretation"), F.when(ok, "none").otherwise(action).alias("action_required"),
+            )
+        )
+    return evidence.select(*RECORDING, F.inline(F.array(*rows)))
+
+
+def archive_verdict(evidence: DataFrame) -> DataFrame:
+    """`audit_verdict` with the archive's own status; a damaged archive excludes the recording."""
+    status = F.when(F.coalesce("damaged_member", F.lit("")) == "", "OK").otherwise("DAMAGED")
+    archives = evidence.select(*RECORDING, status.alias("archive_status"))
+    damaged = F.col("archive_status") == "DAMAGED"
+    return audit_verdict(evidence).join(archives, list(RECORDING)).select(
+        *RECORDING, F.when(damaged, "EXCLUDE").otherwise(F.col("usable_status")).alias("usable_status"),
+        F.when(damaged, "CRITICAL integrity failure").otherwise(F.col("exclusion_reason")).alias("exclusion_reason"), "archive_status",
+    )
+
+
 def audit_verdict(evidence: DataFrame) -> DataFrame:
     """EXCLUDE, QUESTIONABLE or USABLE_PRIMARY per recording."""
     passes = audit_conditions()

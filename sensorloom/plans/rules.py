@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
-from sensorloom.operators import channels, classify, timestamps
+from sensorloom.operators import bundle, channels, classify, timestamps
 from sensorloom.operators.ordering import assign_idx
 from sensorloom.operators.rows import union_all
-from sensorloom.plans.aggregates import _A7, _HZ, _SPEC7
-from sensorloom.plans.base import KEY, query, streams
+from sensorloom.plans.aggregates import _A1, _A7, _DESC, _GAPS, _HZ, _SPEC7, _timestamp_audit_sql
+from sensorloom.plans.base import KEY, i64, query, r6, streams
+from sensorloom.session import materialise
 from sensorloom.sources import testdata as td
 
 # Samples with a clock that stalls and steps back: lineitem rows as a 6-channel IMU.
@@ -208,3 +209,101 @@ def a38(spark, d):
     tagged = union_all(rows.withColumn("kind", F.lit("imu")), reference.withColumn("kind", F.lit("reference")))
     both = tagged.withColumn("dataset", F.concat_ws(":", "dataset", "kind")).drop("kind")
     return timestamps.audit_timestamps(both).select(*RECORDING, "sample_count", "maximum_gap", "median_dt", "duplicate_count")
+
+
+# --- the whole audit bundle ---------------------------------------------------------------
+
+_AXES = ("fx", "fy", "fz", "wx", "wy", "wz")
+_KINDS = _IMU + f""",
+kinds AS (
+  SELECT 'imu:' || dataset AS dataset, recording_id, idx, ts_s, {', '.join(_AXES)} FROM imu
+  UNION ALL SELECT 'reference:' || dataset, recording_id, row_number() OVER (PARTITION BY dataset, recording_id ORDER BY idx) - 1, ts_s, {', '.join(_AXES)} FROM imu WHERE fy >= 0.09 AND recording_id <> 's5'),
+kind_steps AS (SELECT *, ts_s - lag(ts_s) OVER (PARTITION BY dataset, recording_id ORDER BY idx) AS dt FROM kinds),
+{_timestamp_audit_sql('kind_steps')},
+a AS (SELECT * EXCLUDE (dataset), split_part(dataset, ':', 2) AS dataset, split_part(dataset, ':', 1) AS kind FROM audit),
+ov AS (SELECT i.dataset, i.recording_id, greatest(least(i.last_timestamp, r.last_timestamp) - greatest(i.first_timestamp, r.first_timestamp), 0) AS overlap_s,
+  greatest(i.last_timestamp, r.last_timestamp) - least(i.first_timestamp, r.first_timestamp) AS span FROM a i JOIN a r USING (dataset, recording_id) WHERE i.kind = 'imu' AND r.kind = 'reference'),
+axes AS ({' UNION ALL '.join(f"SELECT split_part(dataset, ':', 2) AS dataset, split_part(dataset, ':', 1) AS kind, recording_id, idx, '{c}' AS channel, {c} AS x FROM kinds" for c in _AXES)})"""
+
+
+def _kinds(spark, d) -> DataFrame:
+    rows = imu(spark, d)
+    reference = rows.filter("fy >= 0.09 and recording_id <> 's5'").withColumnRenamed("idx", "native")
+    return bundle.both_kinds(rows, assign_idx(reference, RECORDING, ["native"]).drop("native"))
+
+
+@query(
+    "a38_stream_audits",
+    f"""WITH {_KINDS} SELECT dataset, recording_id, kind, sample_count, {r6(*_A1)}, 'seconds' AS timestamp_unit, strictly_monotonic, backward_count, duplicate_count, {i64(*_GAPS)},
+    CASE WHEN kind = 'imu' THEN round(overlap_s, 6) END AS overlap_s, CASE WHEN kind = 'imu' THEN round(CASE WHEN overlap_s = 0 THEN 0 ELSE overlap_s / span END, 6) END AS overlap_fraction
+    FROM a LEFT JOIN ov USING (dataset, recording_id)""",
+)
+def a38_streams(spark, d):
+    """Clock audit of both kinds and their overlap."""
+    return bundle.stream_audits(_kinds(spark, d), td.bounded(spark, d))
+
+
+@query(
+    "a38_axis_audits",
+    f"""WITH {_KINDS}, f AS (SELECT *, arg_min(x, idx) OVER (PARTITION BY dataset, recording_id, kind, channel) AS x0 FROM axes)
+    SELECT dataset, recording_id, kind, channel, count(*) AS sample_count, count(*) - count(x) AS missing_count, count(*) - count(x) AS nonfinite_count, {_DESC},
+    coalesce(round(avg(CASE WHEN x = x0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE x IS NOT NULL), 6), 1.0) AS constant_fraction FROM f GROUP BY ALL""",
+)
+def a38_axes(spark, d):
+    """Inventory of all six axes of both kinds."""
+    return bundle.axis_audits(_kinds(spark, d), _AXES, td.bounded(spark, d))
+
+
+_MONOTONIC = "'timestamps' AS category, CASE WHEN strictly_monotonic THEN 'INFO' ELSE 'WARNING' END AS severity, CASE WHEN strictly_monotonic THEN 'PASS' ELSE 'FAIL' END AS status, printf('backward=%d dup=%d', backward_count, duplicate_count) AS observed, 'strictly increasing timestamps' AS expected_or_rule, 'Order of the native clock.' AS interpretation, CASE WHEN strictly_monotonic THEN 'none' ELSE 'report' END AS action_required FROM a"
+
+
+@query(
+    "a38_findings",
+    f"""WITH {_KINDS}, fin AS (SELECT dataset, recording_id, least(count(x) FILTER (WHERE channel LIKE 'f%') / count(*) FILTER (WHERE channel LIKE 'f%'), count(x) FILTER (WHERE channel LIKE 'w%') / count(*) FILTER (WHERE channel LIKE 'w%')) AS finite FROM axes WHERE kind = 'imu' GROUP BY ALL),
+    met AS (SELECT DISTINCT i.dataset, i.recording_id, coalesce(overlap_s, 0) AS s FROM imu i LEFT JOIN ov USING (dataset, recording_id))
+    SELECT dataset, recording_id, 'MONOTONIC' AS check_id, {_MONOTONIC} WHERE kind = 'imu'
+    UNION ALL SELECT dataset, recording_id, 'REFERENCE_MONOTONIC', {_MONOTONIC} WHERE kind = 'reference'
+    UNION ALL SELECT dataset, recording_id, 'FINITE', 'nan_inf', CASE WHEN finite >= 0.99 THEN 'INFO' ELSE 'MAJOR' END, CASE WHEN finite >= 0.99 THEN 'PASS' ELSE 'FAIL' END, printf('finite_fraction=%.6f', finite), '>=0.99 finite samples', 'Finite share of the worse axis group.', CASE WHEN finite >= 0.99 THEN 'none' ELSE 'exclude' END FROM fin
+    UNION ALL SELECT dataset, recording_id, 'OVERLAP', 'reference', CASE WHEN s >= 20 THEN 'INFO' ELSE 'MAJOR' END, CASE WHEN s >= 20 THEN 'PASS' ELSE 'FAIL' END, printf('overlap_s=%.6f', s), '>=20 s common time', 'Common time of both streams.', CASE WHEN s >= 20 THEN 'none' ELSE 'exclude' END FROM met""",
+)
+def a38_findings(spark, d):
+    """Findings over clocks, axes and overlap of every recording."""
+    both = materialise(_kinds(spark, d), "kinds")
+    audits, axes = bundle.stream_audits(both, td.bounded(spark, d)), bundle.axis_audits(both, _AXES, td.bounded(spark, d))
+    return bundle.bundle_findings(audits, audits, axes)
+
+
+_OBSERVED = {
+    "CSV_READABLE": ("printf('n=%d', n_samples)", "table with a header", "EXCLUDE"),
+    "YAML_READABLE": ("CASE WHEN has_calibration THEN 'present' ELSE 'missing' END", "calibration file", "review"),
+    "REQUIRED_COLUMNS": ("layout", "timestamp + 3 gyro + 3 accel", "EXCLUDE"),
+    "NAN_INF": ("printf('finite_fraction=%.6f', ff)", ">=99% finite required IMU samples", "EXCLUDE"),
+    "MONOTONIC_TS": ("printf('backward=%d', backward_count)", "strictly increasing timestamps preferred", "review"),
+    "CONSTANT_CHANNELS": ("printf('accel_constant=%s', accel_constant)", "non-constant IMU channels", "EXCLUDE"),
+    "GT_READABLE": ("CASE WHEN n_reference IS NULL THEN 'missing' ELSE printf('n=%d', n_reference) END", "reference table readable", "EXCLUDE"),
+    "GT_OVERLAP": ("printf('overlap_s=%.6f', coalesce(overlap_s, 0))", ">=20 s IMU-GT overlap", "downgrade usability"),
+}
+_ARCHIVE_BAD = "recording_id IN ('s11', 's13')"
+
+
+@query(
+    "c2_findings_detail",
+    f"""WITH {_EVIDENCE} SELECT {KEY}, 'ZIP_VALID' AS check_id, 'archive' AS category, CASE WHEN {_ARCHIVE_BAD} THEN 'CRITICAL' ELSE 'INFO' END AS severity, CASE WHEN {_ARCHIVE_BAD} THEN 'FAIL' ELSE 'PASS' END AS status,
+      CASE WHEN {_ARCHIVE_BAD} THEN 'data.csv' ELSE 'archive_ok' END AS observed, 'no damaged member' AS expected_or_rule, CASE WHEN {_ARCHIVE_BAD} THEN 'EXCLUDE' ELSE 'none' END AS action_required FROM ev
+    UNION ALL {' UNION ALL '.join(
+        f"SELECT {KEY}, '{n}', '{c}', CASE WHEN {t} THEN '{ok}' ELSE '{bad}' END, CASE WHEN {t} THEN 'PASS' ELSE 'FAIL' END, {_OBSERVED[n][0]}, '{_OBSERVED[n][1]}', CASE WHEN {t} THEN 'none' ELSE '{_OBSERVED[n][2]}' END FROM ev" for n, c, t, ok, bad in _CHECKS)}""",
+)
+def c2_detail(spark, d):
+    """Findings with what was seen, the rule and the action; archives enter as the name of a damaged member."""
+    damaged = F.when(F.expr(_ARCHIVE_BAD), "data.csv").otherwise("")
+    return classify.detailed_findings(evidence(spark, d).withColumn("damaged_member", damaged)).drop("interpretation")
+
+
+@query(
+    "c2_verdict_with_archive",
+    f"""WITH {_EVIDENCE}, v AS ({_VERDICT}) SELECT {KEY}, CASE WHEN {_ARCHIVE_BAD} THEN 'EXCLUDE' ELSE usable_status END AS usable_status,
+    CASE WHEN {_ARCHIVE_BAD} THEN 'CRITICAL integrity failure' ELSE exclusion_reason END AS exclusion_reason, CASE WHEN {_ARCHIVE_BAD} THEN 'DAMAGED' ELSE 'OK' END AS archive_status FROM v""",
+)
+def c2_archive(spark, d):
+    damaged = F.when(F.expr(_ARCHIVE_BAD), "data.csv").otherwise("")
+    return classify.archive_verdict(evidence(spark, d).withColumn("damaged_member", damaged))
