@@ -388,6 +388,16 @@ def a23(spark, d):
     return seed_variability(_seed_results(spark, d), ["dataset", "model"])
 
 
+@query(
+    "a36_normalised_mse_all",
+    f"""WITH {CELLS}, p AS (SELECT dataset, recording_id, avg((yhat - y) / 25.0 * ((yhat - y) / 25.0)) AS mse, count(*) // 4 AS nw FROM local_cells WHERE model = 'B0_PERSISTENCE' GROUP BY ALL)
+    SELECT 'B0_PERSISTENCE' AS model, dataset, round(avg(mse), 6) AS norm_mse, CAST(sum(nw) AS BIGINT) AS n_windows FROM p GROUP BY ALL""",
+)
+def a36_all(spark, d):
+    """Every window, without thinning."""
+    return normalised_mse(local_predictions(spark, d).filter(F.col("model") == PERSISTENCE), F.lit(25.0), ["model", "dataset"])
+
+
 @query(
     "a36_normalised_mse",
     f"""WITH {CELLS}, w AS (SELECT *, row_number() OVER (PARTITION BY dataset, recording_id, h ORDER BY origin) - 1 AS r, count(*) OVER (PARTITION BY dataset, recording_id, h) AS n

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import RECORDING
 from sensorloom.functions.scalar import fixed3, interval_text, skill_score
-from sensorloom.operators import classify, reconcile, stats
+from sensorloom.operators import classify, reconcile, selection, stats
 from sensorloom.operators.forecasts import LINEAR, PERSISTENCE
 from sensorloom.operators.metrics import high_target_results
 from sensorloom.operators.rows import exactly_one
 from sensorloom.operators.windows import high_thresholds
 from sensorloom.plans.base import (
-    BASE, BOOT, KEY, LAG1, LOCAL_RESULTS, full_grid, local_predictions, local_results, query, r6, streams,
+    BASE, BOOT, KEY, LAG1, LOCAL_RESULTS, PAIRS, full_grid, local_predictions, local_results, query, r6, streams,
 )
 from sensorloom.plans.models import _RUNS, ALL_CELLS1, all_results
 from sensorloom.session import materialise
@@ -322,6 +322,63 @@ def r3(spark, d):
     return high_target_results(local_predictions(spark, d), t).groupBy("dataset", "model").agg(F.avg("rmse_high_p95_targets").alias("mean_rmse_high"))
 
 
+# Figure tables: one narrow table per figure, in the order and names a plot reads.
+
+
+@query("r3_figure_grouped_rmse", f"WITH {LOCAL_RESULTS} SELECT evaluation_context, recording_id, model, round(rmse_all_horizons, 6) AS rmse_all_horizons FROM results")
+def r3_grouped(spark, d):
+    return local_results(spark, d).select("evaluation_context", "recording_id", "model", "rmse_all_horizons")
+
+
+@query("r3_figure_horizon", f"WITH {LOCAL_RESULTS}, hr AS ({_HORIZON_ROWS}) SELECT evaluation_context, model, horizon_ms, round(avg(v), 6) AS mean_rmse FROM hr GROUP BY ALL")
+def r3_horizon(spark, d):
+    return stats.horizon_summary(local_results(spark, d), td.SPEC).select("evaluation_context", "model", "horizon_ms", "mean_rmse")
+
+
+@query("r3_figure_skill", f"WITH {LOCAL_RESULTS} SELECT evaluation_context, recording_id, model, round(skill, 6) AS skill FROM results WHERE model <> 'B0_PERSISTENCE'")
+def r3_skill(spark, d):
+    """Skill per recording of the forecasters that have one."""
+    return local_results(spark, d).filter(F.col("model") != PERSISTENCE).select("evaluation_context", "recording_id", "model", "skill")
+
+
+@query(
+    "r3_figure_paired_delta",
+    f"""WITH {LOCAL_RESULTS} SELECT evaluation_context, model, recording_id, round(rmse_all_horizons - base, 6) AS delta FROM results WHERE model <> 'B0_PERSISTENCE'""",
+)
+def r3_delta(spark, d):
+    deltas = stats.paired_deltas(local_results(spark, d), PERSISTENCE).filter(F.col("model") != PERSISTENCE)
+    return deltas.select("evaluation_context", "model", "recording_id", "delta")
+
+
+@query("r3_figure_transfer_gap", f"WITH {LOCAL_RESULTS}, summary AS (SELECT {_CM}, avg(rmse_all_horizons) AS mean_rmse FROM results GROUP BY ALL), {_GAPS} SELECT direction, model, round(transfer_gap, 6) AS transfer_gap FROM gaps")
+def r3_gap(spark, d):
+    means = local_results(spark, d).groupBy("evaluation_context", "model").agg(F.avg("rmse_all_horizons").alias("mean_rmse"))
+    return stats.transfer_gaps(means, _directions(spark)).select("direction", "model", "transfer_gap")
+
+
+@query(
+    "r3_figure_high_by_context",
+    f"""WITH {LOCAL_RESULTS}, t AS (SELECT dataset, recording_id, quantile_cont(q_f, 0.95) AS p95 FROM streams GROUP BY ALL),
+    hi AS (SELECT model, dataset, recording_id, sqrt(avg((yhat - y) * (yhat - y)) FILTER (WHERE y > p95)) AS rh FROM local_cells JOIN t USING (dataset, recording_id) GROUP BY ALL)
+    SELECT {_CM}, round(avg(rh), 6) AS mean_high_rmse FROM results JOIN hi USING (model, dataset, recording_id) GROUP BY ALL""",
+)
+def r3_high(spark, d):
+    """Mean error on high targets per context and model; recordings without such targets do not count."""
+    t = high_thresholds(streams(spark, d), bounded=td.bounded(spark, d))
+    contexts = selection.local_assignments(td.recordings(spark, d), PAIRS).drop("ord")
+    high = high_target_results(local_predictions(spark, d), t).join(contexts, list(RECORDING))
+    return high.groupBy("evaluation_context", "model").agg(F.avg("rmse_high_p95_targets").alias("mean_high_rmse"))
+
+
+@query(
+    "r3_figure_footprint",
+    "SELECT p_brand AS model, max(p_size) AS parameters, round(avg(p_retailprice / p_size), 6) AS mean_within_rmse FROM part GROUP BY ALL",
+)
+def r3_footprint(spark, d):
+    p = td.table(spark, d, "part")
+    return p.groupBy(F.col("p_brand").alias("model")).agg(F.max("p_size").alias("parameters"), F.avg(F.col("p_retailprice") / F.col("p_size")).alias("mean_within_rmse"))
+
+
 @query(
     "p21_single_row",
     f"WITH {LOCAL_RESULTS} SELECT {_CM}, round(avg(rmse_all_horizons), 6) AS mean_rmse FROM results WHERE evaluation_context = 'A_TO_B' AND model = 'B1_LINEAR' GROUP BY ALL",
