@@ -339,6 +339,25 @@ def test_sampling_is_even_over_documents(spark):
     assert sum(r["taken"] for r in out) == pytest.approx(6000, abs=3)
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    """1,000 equal rows, and 500 without id, next to distinct rows of other sources."""
+    rows = [(7, "one two three", "a")] * 1000 + [(None, "four five", "b")] * 500 + [(i, "six seven", "c") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    counts = []
+    for again in (docs, docs.repartition(3)):
+        out = mixing.mix(again, weights=(3, 2, 1), share=1.2, most=2.0).collect()
+        want = plain_targets({"a": 3000, "b": 1000, "c": 600}, (3, 2, 1), 1.2)
+        taken = Counter()
+        for r in out:
+            taken[r["source"]] += r["taken"]
+            assert r["copies"] in (1, 2) and r["taken"] == r["copies"] * r["size"]
+        for s, target in want.items():
+            assert taken[s] == pytest.approx(target, abs=3), s
+        counts.append(Counter((r["doc_id"], r["source"], r["copies"]) for r in out))
+    assert counts[0] == counts[1], "reruns agree"
+    assert counts[0][7, "a", 1] == 920 and want["a"] == pytest.approx(2760)
+
+
 def test_mix_odd_rows(spark, odd_docs):
     out = mixing.mix(odd_docs)
     assert out.columns == [c for c in odd_docs.columns if c not in mixing.OUT] + list(mixing.OUT)
