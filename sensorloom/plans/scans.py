@@ -60,23 +60,21 @@ def _with_recording(df: DataFrame) -> DataFrame:
     return df.withColumns({"dataset": F.lit("E"), "recording_id": F.regexp_extract("path", r"recording_id=([^/]+)", 1)})
 
 
-def _asl_mapped(table: DataFrame) -> DataFrame:
-    heads = table.groupBy("path").agg(F.first("header").alias("header"), F.first("header_line").alias("header_line"))
-    return text.map_imu_header(heads).withColumns(text.header_units(F.col("header_line")))
+def _asl_mapped(scan: text.TextScan) -> DataFrame:
+    return text.map_imu_header(scan.files).withColumns(text.header_units(F.col("header_line")))
 
 
 @query("s1_asl_scan", f"WITH {_SAMPLES} SELECT {KEY}, ts_ns, {r6(*CHANNELS)} FROM samples")
 def s1(spark, d):
-    table = text.read_asl_table(spark, asl_files(spark, d))
-    rows = _with_recording(text.imu_samples(table, _asl_mapped(table)))
+    scan = text.scan_asl(spark, asl_files(spark, d))
+    rows = _with_recording(text.imu_samples(scan.rows, _asl_mapped(scan)))
     return rows.select(*RECORDING, F.col("clock_int").alias("ts_ns"), *CHANNELS)
 
 
 @query("s2_sensor_text_scan", f"WITH {_SAMPLES} SELECT {KEY}, round(vec_id / 200.0, 6) AS ts_s, {r6(*CHANNELS)} FROM samples")
 def s2(spark, d):
-    table = text.read_sensor_text(spark, sensor_text_files(spark, d))
-    heads = table.groupBy("path").agg(F.first("header").alias("header"))
-    rows = _with_recording(text.imu_samples(table, text.map_imu_header(heads, text.TEXT_IMU_RULES, asl=False)))
+    scan = text.scan_sensor_text(spark, sensor_text_files(spark, d))
+    rows = _with_recording(text.imu_samples(scan.rows, text.map_imu_header(scan.files, text.TEXT_IMU_RULES, asl=False)))
     return rows.select(*RECORDING, F.col("clock").alias("ts_s"), *CHANNELS)
 
 
@@ -86,7 +84,7 @@ def s2(spark, d):
     'a_RS_S_z [m s^-2]' AS accel_z_field, 'm/s^2' AS unit_acceleration, 'rad/s' AS unit_gyro, 'nanoseconds' AS unit_clock FROM embeddings""",
 )
 def p5(spark, d):
-    m = _with_recording(_asl_mapped(text.read_asl_table(spark, asl_files(spark, d))))
+    m = _with_recording(_asl_mapped(text.scan_asl(spark, asl_files(spark, d))))
     at = lambda c: text.name_at(F.col("header"), F.col(f"places.{c}"))
     return m.select(
         *RECORDING, "layout", at("ts").alias("timestamp_field"), at("wx").alias("gyro_x_field"), at("fz").alias("accel_z_field"), "unit_acceleration", "unit_gyro", "unit_clock"
@@ -105,9 +103,7 @@ def p6(spark, d):
     path = _folder(spark, "pose")
     pose = td.table(spark, d, "embeddings").select(*[c.alias(n) for c, n in zip(cells, names)], F.format_string("e%d", "label").alias("recording_id"))
     pose.write.partitionBy("recording_id").option("header", True).option("comment", "~").csv(path)
-    table = text.read_asl_table(spark, path)
-    heads = _with_recording(table.groupBy("path").agg(F.first("header").alias("header")))
-    return text.map_pose_header(heads).select(
+    return text.map_pose_header(_with_recording(text.scan_asl(spark, path).files)).select(
         *RECORDING, "timestamp_field", "position_fields", "orientation_fields", "quaternion_order", "acceleration_fields", "velocity_fields", "bias_gyro_present", "bias_accel_present"
     ).distinct()
 
@@ -120,8 +116,8 @@ def s5(spark, d):
     """Text to canonical native streams: header map, exact clock, magnitudes."""
     from sensorloom.operators.ordering import assign_idx
 
-    table = text.read_asl_table(spark, asl_files(spark, d))
-    rows = _with_recording(text.imu_samples(table, _asl_mapped(table))).drop("idx").withColumnRenamed("clock_int", "ts_ns")
+    scan = text.scan_asl(spark, asl_files(spark, d))
+    rows = _with_recording(text.imu_samples(scan.rows, _asl_mapped(scan))).drop("idx").withColumnRenamed("clock_int", "ts_ns")
     ordered = assign_idx(rows, RECORDING, ["ts_ns"], td.bounded(spark, d))
     mag = lambda k: scalar.magnitude(*[F.col(f"{k}{c}") for c in "xyz"])
     return timestamps.relative_seconds(ordered).select(*RECORDING, "rel_s", mag("f").alias("q_f"), mag("w").alias("q_w"))
@@ -354,6 +350,68 @@ def s15(spark, d):
     return audited.groupBy("sequence_id").agg(F.sum("n_rows").alias("n_rows"), F.array_join(F.first("columns"), ",").alias("columns"))
 
 
+def _role_files(spark, d) -> DataFrame:
+    """A manifest of IMU, ground truth and position files written from the vectors, and one that is not ready."""
+    base = td.table(spark, d, "embeddings").select("vec_id", F.format_string("e%d", "label").alias("recording_id"), "embedding")
+    value = lambda i: F.col("embedding")[i].cast("double")
+    clock = (F.col("vec_id") / F.lit(200.0)).alias("timestamp")
+    layouts = {
+        "IMU": [clock, *[value(i).alias(f"ang_vel_{c}") for i, c in enumerate("xyz")], *[value(3 + i).alias(f"lin_acc_{c}") for i, c in enumerate("xyz")]],
+        "GROUND_TRUTH": [clock, *[value(i).alias(f"t{c}") for i, c in enumerate("xyz")], *[value(4 + i).alias(f"q{c}") for i, c in enumerate("xyzw")]],
+        "LEICA_POSITION": [clock, *[value(8 + i).alias(c) for i, c in enumerate("xyz")]],
+    }
+    manifests = []
+    for role, cells in layouts.items():
+        path = _folder(spark, f"role-{role.lower()}")
+        base.select(*cells, "recording_id").write.partitionBy("recording_id").option("header", True).option("sep", " ").csv(path)
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
+        manifests.append(found.select(F.lit(role).alias("content_role"), F.col("path").alias("local_path"), F.lit("DOWNLOADED").alias("download_status")))
+    manifests.append(manifests[0].withColumn("download_status", F.lit("MISSING")))
+    return union_all(*manifests).withColumn("sequence_id", F.regexp_extract("local_path", r"recording_id=([^/]+)", 1))
+
+
+_ROLE_COUNTS = "SELECT 'e' || CAST(label AS VARCHAR) AS sequence_id, count(*) AS n_rows FROM embeddings GROUP BY label"
+
+
+@query(
+    "s15_manifest_roles",
+    f"""WITH n AS ({_ROLE_COUNTS}), roles AS (SELECT * FROM (VALUES
+      ('IMU', 'imu', 'HEADER_MAPPED', 'ang_vel_x,ang_vel_y,ang_vel_z', NULL, NULL, NULL),
+      ('GROUND_TRUTH', 'pose', NULL, NULL, 'tx,ty,tz', 'qx,qy,qz,qw', 'xyzw_from_header'),
+      ('LEICA_POSITION', 'position', NULL, NULL, 'x,y,z', NULL, NULL)) AS v(content_role, kind, layout, gyro_fields, position_fields, orientation_fields, quaternion_order))
+    SELECT sequence_id, roles.*, 'timestamp' AS timestamp_field, n_rows FROM n CROSS JOIN roles""",
+)
+def s15_roles(spark, d):
+    """Every ready file of a manifest, interpreted by its content role."""
+    found = files.scan_manifest(spark, _role_files(spark, d)).files
+    return found.groupBy("sequence_id", "content_role", "kind").agg(
+        F.sum("n_rows").alias("n_rows"), F.first(F.coalesce("imu.timestamp_field", "pose.timestamp_field", "position.timestamp_field")).alias("timestamp_field"),
+        F.first("imu.layout").alias("layout"), F.first("imu.gyro_fields").alias("gyro_fields"), F.first(F.coalesce("pose.position_fields", "position.position_fields")).alias("position_fields"),
+        F.first("pose.orientation_fields").alias("orientation_fields"), F.first("pose.quaternion_order").alias("quaternion_order"),
+    )
+
+
+@query(
+    "s15_manifest_rows",
+    "WITH e AS (SELECT 'e' || CAST(label AS VARCHAR) AS sequence_id, vec_id / 200.0 AS clock, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings) "
+    + " UNION ALL ".join(
+        f"SELECT sequence_id, '{kind}' AS kind, round(clock, 6) AS clock, " + ", ".join(f"{'NULL' if at is None else f'round(v[{at + 1}], 6)'} AS {c}" for c, at in cells.items()) + " FROM e"
+        for kind, cells in {
+            "imu": {"wx": 0, "fz": 5, "px": None, "pz": None, "qw": None, "qx": None},
+            "pose": {"wx": None, "fz": None, "px": 0, "pz": 2, "qw": 7, "qx": 4},
+            "position": {"wx": None, "fz": None, "px": 8, "pz": 10, "qw": None, "qx": None},
+        }.items()
+    ),
+)
+def s15_rows(spark, d):
+    """The rows of all three kinds from one scan."""
+    rows = files.scan_manifest(spark, _role_files(spark, d)).rows
+    return rows.select(
+        "sequence_id", "kind", F.coalesce("imu.clock", "pose.clock", "position.clock").alias("clock"), F.col("imu.wx").alias("wx"), F.col("imu.fz").alias("fz"),
+        F.coalesce("pose.px", "position.px").alias("px"), F.coalesce("pose.pz", "position.pz").alias("pz"), F.col("pose.qw").alias("qw"), F.col("pose.qx").alias("qx"),
+    )
+
+
 @query(
     "s16_config_grid",
     """SELECT p_brand AS architecture, 'cfg' || CAST(p_partkey AS VARCHAR) AS config_id, CAST(p_size AS VARCHAR) || ',' || CAST(2 * p_size AS VARCHAR) AS channels, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END AS hidden_size FROM part""",

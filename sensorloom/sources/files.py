@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.sources.text import read_sensor_text
+from sensorloom.sources import text
 
 # Path tokens of the file roles.
 IMAGES = r"\.(png|jpg|jpeg|pgm|ppm|pnm)$"
@@ -65,15 +65,63 @@ def ready_files(manifest: DataFrame, roles: Sequence[str] | None = None) -> Data
     return rows.filter(F.col("content_role").isin(*roles)) if roles else rows
 
 
-def audit_files(spark: SparkSession, manifest: DataFrame, role: str) -> DataFrame:
-    """Parse all ready files of a role in one scan and report columns and row counts."""
-    rows = ready_files(manifest, [role])
-    paths = [r[0] for r in rows.select("local_path").distinct().collect()]
-    tables = read_sensor_text(spark, paths)
-    shape = tables.groupBy("path").agg(F.first("header").alias("columns"), F.count(F.lit(1)).alias("n_rows"))
+# Content roles of a manifest, and what their files are read as.
+ROLES = {"IMU": "imu", "IMU_TEXT": "imu", "GROUND_TRUTH": "pose", "LEICA_POSITION": "position"}
+CHANNELS = {"imu": text.IMU_CHANNELS, "pose": text.POSE_CHANNELS, "position": text.POSITION}
+
+
+def scan_manifest(spark: SparkSession, manifest: DataFrame, roles: Mapping[str, str] = ROLES, most_splits: int = text.MOST_SPLITS) -> text.TextScan:
+    """All ready files of a manifest in one scan, each parsed as its role says.
+
+    Files: the manifest's columns, kind (imu, pose, position; null for other roles), columns, n_rows and one struct per
+    kind with layout, fields, quaternion order and stated units; a file without lines has null columns and 0 rows. Rows: the manifest's columns,
+    kind, path, row_no and one struct per kind with clock_int, clock and its channels; the structs of other kinds are null, and rows of files
+    of other roles are left out. A path listed under two roles is parsed under both. Spark needs the list of paths on the driver to plan a file
+    scan, as it does for any listing of a folder.
+    """
+    ready = ready_files(manifest)
+    paths = [r[0] for r in ready.select("local_path").distinct().collect()]
+    scan = text.scan_sensor_text(spark, paths, most_splits)
     bare = lambda c: F.regexp_replace(c, r"^file:/*", "/")
-    keyed = rows.withColumn("key", bare(F.col("local_path")))
-    return keyed.join(shape.withColumn("key", bare(F.col("path"))).drop("path"), "key", "left").drop("key")
+    kind = F.element_at(F.create_map(*[F.lit(v) for pair in roles.items() for v in pair]), F.col("content_role"))
+    keyed = ready.withColumns({"kind": kind, "key": bare(F.col("local_path"))})
+
+    imu = text.map_imu_header(scan.files, text.TEXT_IMU_RULES, asl=False)
+    triple = lambda k: F.concat_ws(",", *[text.name_at(F.col("header"), F.col(f"places.{k}{c}")) for c in "xyz"])
+    unit = lambda flag, name: F.when(F.col(flag), name).otherwise("UNRESOLVED")
+    imu = imu.select(
+        "path", "places",
+        F.struct(
+            "layout", text.name_at(F.col("header"), F.col("places.ts")).alias("timestamp_field"), triple("w").alias("gyro_fields"), triple("f").alias("accel_fields"),
+            unit("has_gyro_unit", "rad/s").alias("unit_gyro"), unit("has_accel_unit", "m/s^2").alias("unit_acceleration"),
+        ).alias("facts"),
+    )
+    pose = text.map_text_pose_header(scan.files).select(
+        "path", "places", F.struct("timestamp_field", "position_fields", "orientation_fields", "quaternion_order", "velocity_fields", "acceleration_fields").alias("facts")
+    )
+    position = text.map_text_position_header(scan.files).select("path", "places", F.struct("timestamp_field", "position_fields").alias("facts"))
+    heads = scan.files.select("path", "header", "n_rows")
+    for name, mapped in {"imu": imu, "pose": pose, "position": position}.items():
+        heads = heads.join(mapped.select("path", F.col("places").alias(f"{name}_places"), F.col("facts").alias(name)), "path")
+    known = keyed.join(heads.withColumn("key", bare(F.col("path"))), "key", "left")
+    of_kind = lambda name, value: F.when(F.col("kind") == name, value)
+    files = known.select(
+        *manifest.columns, "kind", F.col("header").alias("columns"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *[of_kind(name, F.col(name)).alias(name) for name in CHANNELS]
+    )
+
+    dispatch = known.filter("kind is not null and path is not null").select(*manifest.columns, "kind", "path", *[f"{name}_places" for name in CHANNELS])
+    if "idx" in scan.rows.columns:  # the scan's facts were checked to be small
+        dispatch = F.broadcast(dispatch)
+    rows = scan.rows.select("path", "row_no", "tokens").join(dispatch, "path").select(
+        *manifest.columns, "kind", "path", "row_no", *[of_kind(name, F.struct(*text.channel_values(channels, f"{name}_places"))).alias(name) for name, channels in CHANNELS.items()]
+    )
+    return text.TextScan(files, rows)
+
+
+def audit_files(spark: SparkSession, manifest: DataFrame, role: str) -> DataFrame:
+    """All ready files of a role with their columns and row counts."""
+    files = scan_manifest(spark, manifest.filter(F.col("content_role") == role)).files
+    return files.select(*manifest.columns, "columns", "n_rows")
 
 
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
