@@ -2,14 +2,17 @@
 
 The network reads windows of WINDOW characters, half overlapping, around every character that can belong
 to a span of the four kinds (a digit, an at sign or a written-out one); elsewhere every tag but O is
-excluded, so the whole text is decided. Windows are decoded by Viterbi; spans that a window edge cuts are
-left to the neighbour window, and the rest are reconciled over the whole text by weighted interval
-scheduling (largest total margin over O, no overlaps). Spans of the patterns always stay; the network's
-spans are added where they touch none of them and have the digits their kind needs.
+excluded. Windows are decoded by Viterbi. A span whose edge stands inside an unbroken run (of digits, or of
+the characters of a name or host) grows to the run's end, so that names and hosts longer than a window come out
+whole; other spans that a window edge cuts are left to the neighbour window. What is found is reconciled over the
+whole text by weighted interval scheduling (largest total margin over O, no overlaps). Spans of the patterns
+always stay; the network's spans are added where they touch none of them and have the digits their kind needs,
+card numbers with their check digit.
 
 Training is numpy back-propagation through the CRF likelihood on labelled windows: about `windows` (a
-parameter) smallest by hash over all documents, labelled by the patterns, plus variants of their spans in
-spellings the patterns do not know (double separators, 00 for +, written-out at signs).
+parameter) smallest by hash over all documents, labelled by the patterns, and copies of them in which a new span is
+planted. Kinds and spellings take turns there: the pattern's, and others that the patterns do not know (double
+separators, 00 for +, written-out at signs); every fifth copy gets a decoy instead (dates, short numbers, "at" between words).
 
 Defined cases: null or empty text -> no spans; kinds may overlap each other, spans of one kind never do;
 repeated rows give equal results; without any labelled window only the patterns speak; other columns are
@@ -19,8 +22,9 @@ kept (redact) or ignored (find).
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -264,6 +268,56 @@ def examples(text: str, spans: list[Span], start: int, k: int) -> list[tuple[np.
     return out
 
 
+def made_span(kind: str, words: list[str], r: random.Random) -> str:
+    """A new span of a kind in its pattern's spelling: names and hosts from words of the text and random letters, random numbers."""
+    number = lambda n: "".join(r.choices("0123456789", k=n))
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    word = lambda: r.choice(words) if words and r.random() < 0.5 else letters(r.randint(2, 12))
+    if kind == "email":
+        name = r.choice(("", ".", "_", "-", "+")).join(word() for _ in range(r.randint(1, 3))) + r.choice(("", "", number(2), f".{number(2)}"))
+        host = ".".join(word() + r.choice(("", "", number(1))) for _ in range(r.randint(1, 2)))
+        return f"{name}@{host}.{r.choice(('com', 'org', 'net', 'de', 'io', 'co.uk', letters(r.randint(2, 4))))}"
+    if kind == "ip":
+        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        n = r.choice("3456") + number(r.choice((13, 14, 14, 14, 15, 17)))
+        return n + next(d for d in "0123456789" if luhn(n + d))
+    return f"+{r.randint(1, 99)} {number(3)} {number(r.randint(6, 8))}"
+
+
+def decoy(words: list[str], r: random.Random) -> str:
+    """What looks like a span and is none."""
+    number = lambda n: "".join(r.choices("0123456789", k=n))
+    word = lambda: r.choice(words) if words else "so"
+    return r.choice((
+        lambda: f"{word()} (at) {word()}", lambda: f"{word()} @ {word()}", lambda: f"{word()} [at] {word()}", lambda: number(r.randint(1, 7)),
+        lambda: f"{number(2)}.{number(2)}.{number(4)}", lambda: f"{number(4)}-{number(2)}-{number(2)} {number(2)}:{number(2)}", lambda: f"{number(1)}.{number(1)}.{number(2)}",
+        lambda: f"{number(3)},{number(3)}.{number(2)}", lambda: f"{number(4)}/{number(4)}", lambda: f"{number(2)}-{number(3)}",
+    ))()
+
+
+def planted(piece: str, spans: list[Span], k: int, r: random.Random) -> tuple[np.ndarray, np.ndarray] | None:
+    """The window with a new span, or every fifth time a decoy, in place of its only span or of a word.
+
+    Kinds and spellings (the pattern's and all variants) take turns, so that each comes equally often.
+    """
+    words = [w for w in re.findall(r"[A-Za-z]+", piece) if len(w) < 16]
+    gaps = [m.span() for m in re.finditer(r"(?<=\s)\w+(?=\s)", piece)]
+    if len(spans) > 1 or not (spans or gaps):
+        return None
+    a, b = spans[0][1:] if spans else r.choice(gaps)
+    kind, turn = KINDS[k % len(KINDS)], k // len(KINDS) % 5
+    new = decoy(words, r) if turn == 4 else made_span(kind, words, r)
+    if turn < 3:
+        new = variants(kind, new, turn)
+    first = max(0, min(a, a + len(new) + r.randint(8, 40) - WINDOW))  # what follows the span stays in the window
+    text = (piece[first:a] + new + piece[b:])[:WINDOW]
+    a -= first
+    if turn != 4 and a + len(new) > WINDOW:
+        return None
+    return symbols(text), labels([(kind, a, a + len(new))] if turn != 4 else [], 0, len(text))
+
+
 def plausible(kind: str, s: str) -> bool:
     n = len(digits(s))
     if kind == "email":
@@ -273,8 +327,28 @@ def plausible(kind: str, s: str) -> bool:
     return 13 <= n <= 19 if kind == "card" else 9 <= n <= 15
 
 
-def reconcile(text: str, decoded: list[tuple[int, np.ndarray, np.ndarray]], base: list[Span]) -> list[Span]:
-    """Spans of all windows of a text that stand: whole, plausible, clear of the patterns', best in total."""
+RUN = {"email": (LOCAL_PART, re.compile(r"[A-Za-z0-9.-]")), "ip": (re.compile("[0-9]"),) * 2, "card": (re.compile("[0-9]"),) * 2, "phone": (re.compile("[0-9+]"),) * 2}
+
+
+def whole(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The span grown to the ends of the unbroken runs its edges stand in, however long."""
+    left, right = RUN[kind]
+    while a > 0 and left.match(text[a]) and left.match(text[a - 1]):
+        a -= 1
+    while b < len(text) and right.match(text[b - 1]) and right.match(text[b]):
+        b += 1
+    while b > a and text[b - 1] in ".-":
+        b -= 1
+    return a, b
+
+
+def valid(kind: str, s: str) -> bool:
+    """Plausible, and a card number passes its check digit."""
+    return plausible(kind, s) and (kind != "card" or luhn(digits(s)))
+
+
+def reconcile(text: str, decoded: list[tuple[int, np.ndarray, np.ndarray]], base: list[Span], holds: Callable[[str, str], bool] = plausible) -> list[Span]:
+    """Spans of all windows of a text that stand: whole, of a form that `holds`, clear of the patterns', best in total."""
     found: dict[Span, float] = {}
     for start, tags, margin in decoded:
         size, k = min(WINDOW, len(text) - start), 0
@@ -286,15 +360,17 @@ def reconcile(text: str, decoded: list[tuple[int, np.ndarray, np.ndarray]], base
             kind = (tag - 1) // 2
             while k < size and tags[k] == 2 + 2 * kind:
                 k += 1
-            if (first == 0 and start > 0) or (k == WINDOW and start + WINDOW < len(text)):
-                continue
             a, b = start + first, start + k
+            cut = (first == 0 and start > 0) or (k == WINDOW and start + WINDOW < len(text))
+            if cut and KINDS[kind] != "email":
+                continue
             while a < b and text[a].isspace():
                 a += 1
             while b > a and text[b - 1] in " \t\r\n,;:.|":
                 b -= 1
+            a, b = whole(KINDS[kind], text, a, b)
             span = (KINDS[kind], a, b)
-            if plausible(KINDS[kind], text[a:b]) and not any(s[1] < b and a < s[2] for s in base):
+            if holds(KINDS[kind], text[a:b]) and not any(s[1] < b and a < s[2] for s in base):
                 found[span] = max(found.get(span, 0.0), float(margin[first:k].sum()))
     spans = sorted(((s, w) for s, w in found.items() if w > 0), key=lambda x: (x[0][2], x[0][1], x[0][0]))
     best: list[tuple[float, int, int]] = [(0.0, -1, 0)]  # value, span taken, place to go back to
@@ -327,7 +403,7 @@ def tag(texts: list[str], net: Tagger | None, step: int = 2048) -> list[tuple[li
             if tags[j].any():
                 decoded.setdefault(i, []).append((a, tags[j], margin[j]))
     for i, d in decoded.items():
-        added[i] = reconcile(texts[i], d, base[i])
+        added[i] = reconcile(texts[i], d, base[i], valid)
     return list(zip(base, added, strict=True))
 
 
@@ -353,16 +429,21 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(rows, pa.schema([("hit", pa.bool_()), ("rank", pa.float64()), ("piece", pa.string()), ("spans", pa.list_(pa.string()))]))
 
 
-def train(docs: DataFrame, windows: int = 2500, epochs: int = 12) -> Tagger | None:
-    """Fit on about `windows` labelled windows that rank first by hash (windows without a span count half)."""
+def train(docs: DataFrame, windows: int = 1000, epochs: int = 14, made: int = 2000, seed: int = 5) -> Tagger | None:
+    """Fit on about `windows` labelled windows that rank first by hash (windows without a span count half),
+    and about `made` copies of them with a new span planted, as many of each."""
     rows = docs.select("doc_id", "text").mapInArrow(_labelled, "hit boolean, rank double, piece string, spans array<string>")
-    made = []
-    for k, r in enumerate(ranked_sample(rows, windows)):
-        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r["spans"]]
-        made += examples(r["piece"], spans, 0, k)
-    if not any(t.any() for _, t in made):
+    return fitted([(r["piece"], [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r["spans"]]) for r in ranked_sample(rows, windows)], epochs, made, seed)
+
+
+def fitted(pieces: list[tuple[str, list[Span]]], epochs: int, made: int, seed: int) -> Tagger | None:
+    """The network of labelled windows; none if no window has a span."""
+    if not any(spans for _, spans in pieces):
         return None
-    return fit(np.stack([m[0] for m in made]), np.stack([m[1] for m in made]), epochs)
+    r, copies = random.Random(seed), -(-made // len(pieces))
+    rows = [(symbols(p), labels(spans, 0, len(p))) for p, spans in pieces]
+    rows += [x for c in range(copies) for k, (p, spans) in enumerate(pieces) if (x := planted(p, spans, k * copies + c, r))]
+    return fit(np.stack([x[0] for x in rows]), np.stack([x[1] for x in rows]), epochs)
 
 
 def joined(spans: list[Span]) -> str:
