@@ -2,8 +2,8 @@
 
 Every operator is a stateful processor that keeps a small typed state per recording and takes its rows one
 Arrow batch at a time. Rows leave in the order of `idx`: a row that follows the last one goes on at once, one that comes too early
-waits for the rows before it, HOLD rows at most and until the micro-batch ends. A row whose idx is not beyond the last one
-gone on is late, is counted, and changes nothing. It leaves a hole, and no window reaches over a hole.
+waits for the rows before it until the micro-batch ends, HOLD rows in memory and the others in files of the task. A row whose
+idx is not beyond the last one gone on is late, is counted, and changes nothing. It leaves a hole, and no window reaches over a hole.
 
 With `idle` (an interval such as "1 hour") the state of a recording ends when the watermark, `delay` behind the newest
 timestamp of the stream, has passed its last row by so much. The timers run on event time, so this also holds in
@@ -13,7 +13,9 @@ one clock: rows behind its watermark (at first: at or before 1970) are dropped b
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from sensorloom.config import RECORDING, WindowSpec
 from sensorloom.operators.filtering import Sos, filter_block
 from sensorloom.operators.linear import ridge_predict
 
-#: Rows of a recording that may wait for earlier ones within a micro-batch.
+#: Rows of a recording that wait in memory for earlier ones within a micro-batch; more wait in files.
 HOLD = 50_000
 
 
@@ -34,6 +36,26 @@ def seconds(interval: str) -> float:
     return pd.Timedelta(interval).total_seconds()
 
 
+class Waiting:
+    """Rows of one recording that wait for earlier ones, in files of HOLD idx each."""
+
+    def __init__(self) -> None:
+        self.folder = tempfile.TemporaryDirectory(prefix="spark-")
+        self.parts: dict[int, list[Path]] = {}
+
+    def add(self, rows: pd.DataFrame) -> None:
+        for number, part in rows.groupby(rows["idx"] // HOLD):
+            files = self.parts.setdefault(int(number), [])
+            files.append(Path(self.folder.name) / f"{number}-{len(files)}")
+            part.to_pickle(files[-1])
+
+    def drain(self) -> Iterator[pd.DataFrame]:
+        """All rows, a file's worth of idx at a time, ascending; the folder goes at the end."""
+        with self.folder:
+            for number in sorted(self.parts):
+                yield pd.concat([pd.read_pickle(f) for f in self.parts[number]])
+
+
 class InOrder(StatefulProcessor):
     """Orders the rows of a recording and keeps its place; subclasses say what a run of rows in order does."""
 
@@ -73,21 +95,34 @@ class InOrder(StatefulProcessor):
         last, self.late, last_ts = self.place.get() if self.place.exists() else (-1, 0, None)
         self.load()
         waiting: pd.DataFrame | None = None
-        for frame in rows:
-            count = len(frame) + (0 if waiting is None else len(waiting))
-            queue = (frame if waiting is None else pd.concat([waiting, frame])).sort_values("idx", kind="stable")
+        filed: Waiting | None = None
+
+        def ordered(queue: pd.DataFrame) -> pd.DataFrame:
+            """The rows that are not late, ascending; the others are counted."""
+            count, queue = len(queue), queue.sort_values("idx", kind="stable")
             queue = queue[(queue["idx"] > last) & ~queue["idx"].duplicated()]
             self.late += count - len(queue)
+            return queue
+
+        for frame in rows:
+            queue = ordered(frame if waiting is None else pd.concat([waiting, frame]))
             idx = queue["idx"].to_numpy(np.int64)
             go = int((idx == last + 1 + np.arange(len(idx))).argmin()) if len(idx) and idx[-1] != last + len(idx) else len(idx)
-            go = max(go, len(idx) - HOLD)
             waiting = queue.iloc[go:] if go < len(queue) else None
             if go:
                 last, last_ts = int(idx[go - 1]), float(queue["ts_s"].iloc[go - 1])
                 yield from self.take(key, queue.iloc[:go])
-        if waiting is not None:
-            last, last_ts = int(waiting["idx"].iloc[-1]), float(waiting["ts_s"].iloc[-1])
-            yield from self.take(key, waiting)
+            if waiting is not None and len(waiting) > HOLD:
+                filed = filed or Waiting()
+                filed.add(waiting)
+                waiting = None
+        if filed is not None and waiting is not None:
+            filed.add(waiting)
+        for queue in filed.drain() if filed is not None else [waiting] if waiting is not None else []:
+            queue = ordered(queue)
+            if len(queue):
+                last, last_ts = int(queue["idx"].iloc[-1]), float(queue["ts_s"].iloc[-1])
+                yield from self.take(key, queue)
         self.place.update((last, self.late, last_ts))
         self.store()
         if self.idle_ms and last_ts is not None:
@@ -306,25 +341,32 @@ def live_counts(stream: DataFrame, event_time: str, delay: str = "10 minutes", e
     )
 
 
-def replay_table(rows: DataFrame, path: str, width: int, along: str = "idx", files: int | None = None) -> None:
-    """Write a finished table so that it can be replayed in order.
+def replay_slices(rows: DataFrame, path: str, width: int, along: str = "idx", files: int | None = None) -> Iterator[int]:
+    """Write a finished table so that it can be replayed in order, and tell the number of each slice once it lies there.
 
     Slices of `width` along a column are appended one after the other, and within a
-    slice a recording lies in one file. Sliced along idx, a micro-batch never sees a
+    slice a recording lies in one file, in the order of idx. Sliced along idx, a micro-batch never sees a
     recording out of order and holds at most `width` rows of it per file. Sliced along
     event time, no row arrives behind a watermark moved by another recording. The source is
     read once: the slices are partitions of one written table, and each append reads its own.
     `files` fixes the files per slice.
     """
-    first, last = rows.agg(F.min(along), F.max(along)).first()
-    if first is None:
-        return
     spark, cut = rows.sparkSession, f"{path}-slices"
     sliced = rows.withColumn("slice", F.floor(F.col(along) / width))
     (sliced.repartition("slice", *RECORDING) if files is None else sliced.repartition("slice")).write.partitionBy("slice").parquet(cut)
-    for low in range(int(first // width), int(last // width) + 1):
-        part = spark.read.schema(sliced.schema).parquet(cut).filter(F.col("slice") == low).drop("slice")
-        (part.repartition(*RECORDING) if files is None else part.repartition(files)).write.mode("append").parquet(path)
+    written = spark.read.schema(sliced.schema).parquet(cut)
+    low, high = written.agg(F.min("slice"), F.max("slice")).first()
+    for number in range(low, high + 1) if low is not None else ():
+        part = written.filter(F.col("slice") == number).drop("slice")
+        part = part.repartition(*RECORDING) if files is None else part.repartition(files)
+        part.sortWithinPartitions(*RECORDING, "idx").write.mode("append").parquet(path)
+        yield number
+
+
+def replay_table(rows: DataFrame, path: str, width: int, along: str = "idx", files: int | None = None) -> None:
+    """All slices of `replay_slices`."""
+    for _ in replay_slices(rows, path, width, along, files):
+        pass
 
 
 def slice_rows(longest: int, slices: int = 4, least: int = 512, most: int = 1_000_000) -> int:
