@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.config import RECORDING
 from sensorloom.operators.filtering import SOS_200_HZ
 from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
+from sensorloom.operators.ordering import join_facts
 from sensorloom.plans.base import BASE, KEY, STEPS, STREAMS, query, r6, streams
 from sensorloom.plans.models import ridge_models
 from sensorloom.plans.ordered import _filter_sql
@@ -73,7 +74,8 @@ def x2_ridge(spark, d):
     return out.select("evaluation_context", "fold_id", "model", *RECORDING, "origin", F.element_at("yhat", -1).alias("yhat_last"), F.element_at("y", -1).alias("y_last"), "model_version")
 
 
-# Every 97th row arrives a slice later: it is late, and no window may reach over the hole it leaves.
+# Every 97th row arrives a slice later: it is late, and no window may reach over the hole it leaves. A slice is a whole
+# number of LATE_SLICE rows, so each late row has rows behind it in the slice that it misses.
 LATE_SLICE = 256
 
 
@@ -91,12 +93,13 @@ LATE_SLICE = 256
 def x2_late(spark, d):
     folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
     rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
+    width = -(-live.slice_rows(td.largest_recording(spark, d), least=LATE_SLICE) // LATE_SLICE) * LATE_SLICE
     ends = rows.groupBy(*RECORDING).agg(F.max("idx").alias("top"))
     late = (F.col("idx") % 97 == 5) & (F.col("idx") % LATE_SLICE < LATE_SLICE - 20) & (F.col("idx") < F.col("top") - 20)
-    shown = rows.join(ends, [*RECORDING]).withColumn("arrival", F.col("idx") + F.when(late, LATE_SLICE).otherwise(0)).drop("top")
-    live.replay_table(shown, f"{folder}/in", LATE_SLICE, "arrival", files=1)
-    source = spark.readStream.schema(shown.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = _finish(spark, live.live_windows(source, td.SPEC, MAX_STEP_S), folder)
+    shown = join_facts(rows, ends, RECORDING, "idx").withColumn("arrival", F.col("idx") + F.when(late, width).otherwise(0)).drop("top")
+    for _ in live.replay_slices(shown, f"{folder}/in", width, "arrival"):  # a micro-batch is a slice
+        source = spark.readStream.schema(shown.schema).parquet(f"{folder}/in")
+        out = _finish(spark, live.live_windows(source, td.SPEC, MAX_STEP_S), folder)
     return out.select(*RECORDING, "origin", F.element_at("hist_qf", 1).alias("oldest"), F.element_at("hist_qf", -1).alias("newest"), F.element_at("future_qf", -1).alias("y_last"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from sensorloom.plans import live_streams
 from sensorloom.streaming import live
 
 
@@ -40,3 +41,18 @@ def test_no_row_of_a_micro_batch_is_late_however_many_wait(monkeypatch, order):
     assert got["idx"].tolist() == sorted(idx)
     last, late, last_ts = processor.place.get()
     assert (last, late) == (299, 3) and last_ts == pytest.approx(2.99)
+
+
+def test_late_rows_are_replayed_in_few_slices(spark, monkeypatch):
+    """Before, each slice had 256 rows of a recording, so that micro-batches grew with the recordings."""
+    asked = []
+
+    def slices(rows, path, width, along):
+        asked.append((width, rows.agg({"arrival": "max"}).first()[0]))
+        raise InterruptedError
+
+    monkeypatch.setattr(live, "replay_slices", slices)
+    with pytest.raises(InterruptedError):
+        live_streams.x2_late(spark, "/root/testdata/sf0.1")
+    ((width, last),) = asked
+    assert width % live_streams.LATE_SLICE == 0 and last // width < 6
