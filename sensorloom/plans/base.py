@@ -14,7 +14,7 @@ from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
 from sensorloom.operators.metrics import recording_results, with_skill
 from sensorloom.operators.selection import local_assignments
 from sensorloom.operators.windows import build_windows
-from sensorloom.session import ship_package
+from sensorloom.session import materialise, ship_package
 from sensorloom.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,12 +162,17 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_windows(streams(spark, sf_dir), td.SPEC, td.bounded(spark, sf_dir))
 
 
+def written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows as a written table, for queries that read them more than once."""
+    return materialise(windows(spark, sf_dir), "windows")
+
+
 def local_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(windows(spark, sf_dir), td.SPEC, BASE, (PERSISTENCE, LINEAR))
 
 
 def local_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-recording results of the local forecasters in every context, with skill."""
+    """Per-recording results of the local forecasters in every context, with skill; written once, statistics read them several times."""
     scored = recording_results(local_predictions(spark, sf_dir), td.SPEC, BASE)
     contexts = local_assignments(td.recordings(spark, sf_dir), PAIRS)
-    return with_skill(scored.join(contexts, ["dataset", "recording_id"]), ["evaluation_context"])
+    return materialise(with_skill(scored.join(contexts, ["dataset", "recording_id"]), ["evaluation_context"]), "local-results")

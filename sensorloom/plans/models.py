@@ -13,7 +13,7 @@ from sensorloom.operators.metrics import high_target_results, recording_results,
 from sensorloom.operators.rows import union_all
 from sensorloom.operators.windows import high_thresholds
 from sensorloom.plans.base import (
-    BASE, BOOT, CELLS, KEY, LAG1, ORIGINS, PAIRS, RESULT_NUMBERS, full_grid, i64, query, r6, results_sql, streams, windows,
+    BASE, BOOT, CELLS, KEY, LAG1, ORIGINS, PAIRS, RESULT_NUMBERS, full_grid, i64, query, r6, results_sql, streams, windows, written_windows,
 )
 from sensorloom.session import materialise
 from sensorloom.sources import testdata as td
@@ -185,10 +185,10 @@ def a15(spark, d):
     return linear.channel_scaler(windows(spark, d))
 
 
-def moments(spark, d):
-    """Moments of every recording, written once: all folds and grids read this table."""
+def moments(spark, d, w=None):
+    """Moments of every recording, written once: all folds and grids read this table. `w`: windows that are written already."""
     shift = linear.channel_shift(td.event_rows(spark, d))
-    return materialise(linear.recording_moments(windows(spark, d), td.SPEC, shift), "moments"), shift
+    return materialise(linear.recording_moments(windows(spark, d) if w is None else w, td.SPEC, shift), "moments"), shift
 
 
 @query(
@@ -353,8 +353,8 @@ def ridge_models(spark, d, baseline=LAG1, lags=None, kept=None):
 
 def all_predictions(spark, d, baseline=LAG1):
     """Local and ridge forecasts in every context."""
-    w = windows(spark, d)
-    ridge = linear.ridge_predict(w, ridge_models(spark, d, baseline), td.SPEC).drop("fold_id")
+    w = written_windows(spark, d)
+    ridge = linear.ridge_predict(w, ridge_models(spark, d, baseline, kept=moments(spark, d, w)), td.SPEC).drop("fold_id")
     local = predict(w, td.SPEC, baseline, (PERSISTENCE, LINEAR))
     contexts = selection.local_assignments(td.recordings(spark, d), PAIRS).drop("ord")
     return local.join(contexts, list(RECORDING)).unionByName(ridge)
@@ -371,7 +371,8 @@ def all_results(spark, d, baseline=LAG1):
     f"WITH {ALL_CELLS1} SELECT evaluation_context, fold_id, model, {KEY}, origin, CAST(h AS BIGINT) AS h, round(yhat, 6) AS yhat FROM ridge_cells",
 )
 def a17(spark, d, baseline=LAG1):
-    p = linear.ridge_predict(windows(spark, d), ridge_models(spark, d, baseline), td.SPEC)
+    w = written_windows(spark, d)
+    p = linear.ridge_predict(w, ridge_models(spark, d, baseline, kept=moments(spark, d, w)), td.SPEC)
     cells = p.select("evaluation_context", "fold_id", "model", *RECORDING, "origin", F.posexplode("yhat").alias("h", "yhat"))
     return cells.withColumn("h", F.col("h") + 1)
 
@@ -413,7 +414,8 @@ def k8_full(spark, d):
 def k9(spark, d):
     """Lag pinned to the look-back, penalty selected, against the free selection. One pass of validation
     scores serves both; both are scored by one pass over the windows."""
-    (m, shift), r = moments(spark, d), td.recordings(spark, d)
+    w = written_windows(spark, d)
+    (m, shift), r = moments(spark, d, w), td.recordings(spark, d)
     scores = materialise(selection.validation_means(m, r, td.SPEC, BASE), "validation-means")
     settings = {"primary": scores, "fixed": scores.filter(F.col("lag") == td.SPEC.lookback)}
     models = [
@@ -421,7 +423,7 @@ def k9(spark, d):
         .withColumn("evaluation_context", F.concat_ws("|", F.lit(name), "evaluation_context"))
         for name, s in settings.items()
     ]
-    scored = recording_results(linear.ridge_predict(windows(spark, d), union_all(*models), td.SPEC), td.SPEC, BASE, ["evaluation_context", "model"])
+    scored = recording_results(linear.ridge_predict(w, union_all(*models), td.SPEC), td.SPEC, BASE, ["evaluation_context", "model"])
     split = F.split("evaluation_context", "\\|")
     tagged = scored.withColumns({"setting": split[0], "evaluation_context": split[1]}).join(r.select(*RECORDING, "ord"), list(RECORDING))
     return stats.setting_comparison(materialise(tagged, "lag-settings"), BASE, "ord", BOOT, "primary", "fixed", td.bounded(spark, d))
