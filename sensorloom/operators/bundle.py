@@ -16,6 +16,7 @@ from sensorloom.functions.scalar import overlap_fraction, overlap_seconds
 from sensorloom.operators.channels import ACCEL, GYRO, channel_inventory
 from sensorloom.operators.rows import union_all
 from sensorloom.operators.timestamps import audit_timestamps
+from sensorloom.session import materialise
 
 SIGNAL, REFERENCE = "imu", "reference"
 MIN_OVERLAP_S, MIN_FINITE = 20.0, 0.99
@@ -37,7 +38,7 @@ def stream_audits(streams: DataFrame, bounded: bool | None = None) -> DataFrame:
 
     A recording without a reference has no overlap (NULL); streams that do not meet overlap 0 s.
     """
-    audits = _untagged(audit_timestamps(streams, bounded))
+    audits = materialise(_untagged(audit_timestamps(streams, bounded)), "audits")  # a row per recording, read for the rows and for the spans
     ends = lambda side: [F.max(F.when(F.col("kind") == side, F.col(c))) for c in ("first_timestamp", "last_timestamp")]
     spans = [*ends(SIGNAL), *ends(REFERENCE)]
     overlap = audits.groupBy(*RECORDING).agg(overlap_seconds(*spans).alias("overlap_s"), overlap_fraction(*spans).alias("overlap_fraction"))

@@ -203,12 +203,12 @@ def c8(spark, d):
     SELECT dataset || ':' || kind AS dataset, recording_id, count(*) AS sample_count, round(max(dt) FILTER (WHERE dt > 0), 6) AS maximum_gap, round(quantile_cont(dt, 0.5) FILTER (WHERE dt > 0), 6) AS median_dt, count(*) FILTER (WHERE dt = 0) AS duplicate_count FROM k GROUP BY ALL""",
 )
 def a38(spark, d):
-    """Both stream kinds of every recording audited in one pass."""
+    """Both stream kinds of every recording audited together, written once."""
     rows = imu(spark, d).select(*RECORDING, "idx", "ts_s", "fy")
     reference = assign_idx(rows.filter("fy >= 0.09").withColumnRenamed("idx", "native"), RECORDING, ["native"]).drop("native")
     tagged = union_all(rows.withColumn("kind", F.lit("imu")), reference.withColumn("kind", F.lit("reference")))
     both = tagged.withColumn("dataset", F.concat_ws(":", "dataset", "kind")).drop("kind")
-    return timestamps.audit_timestamps(both).select(*RECORDING, "sample_count", "maximum_gap", "median_dt", "duplicate_count")
+    return timestamps.audit_timestamps(materialise(both, "kinds")).select(*RECORDING, "sample_count", "maximum_gap", "median_dt", "duplicate_count")
 
 
 # --- the whole audit bundle ---------------------------------------------------------------
@@ -229,7 +229,7 @@ axes AS ({' UNION ALL '.join(f"SELECT split_part(dataset, ':', 2) AS dataset, sp
 def _kinds(spark, d) -> DataFrame:
     rows = imu(spark, d)
     reference = rows.filter("fy >= 0.09 and recording_id <> 's5'").withColumnRenamed("idx", "native")
-    return bundle.both_kinds(rows, assign_idx(reference, RECORDING, ["native"]).drop("native"))
+    return materialise(bundle.both_kinds(rows, assign_idx(reference, RECORDING, ["native"]).drop("native")), "kinds")
 
 
 @query(
@@ -268,7 +268,7 @@ _MONOTONIC = "'timestamps' AS category, CASE WHEN strictly_monotonic THEN 'INFO'
 )
 def a38_findings(spark, d):
     """Findings over clocks, axes and overlap of every recording."""
-    both = materialise(_kinds(spark, d), "kinds")
+    both = _kinds(spark, d)
     audits, axes = bundle.stream_audits(both, td.bounded(spark, d)), bundle.axis_audits(both, _AXES, td.bounded(spark, d))
     return bundle.bundle_findings(audits, audits, axes)
 

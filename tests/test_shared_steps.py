@@ -31,3 +31,13 @@ def test_local_results_are_read_not_rebuilt(spark, built):
     rows = statistics.local_results(spark, SF)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert len(built) == 1 and "Window" not in plan and "Exchange" not in plan
+
+
+def test_stream_audits_are_made_once(spark, stream):
+    """Before, the rows and the spans of the overlap each ran the whole audit."""
+    from sensorloom.operators import bundle
+
+    s = stream({"r": [(i * 0.01, i, 1) for i in range(20)]})
+    audits = bundle.stream_audits(bundle.both_kinds(s, s.filter("idx > 4")), True)
+    assert audits.count() == 2
+    assert "Window" not in audits._jdf.queryExecution().executedPlan().toString()
