@@ -510,9 +510,12 @@ def verified_links(nodes: DataFrame, jobs: DataFrame, words: int, num: int, den:
     placed = materialise(placed, "jaccard-sets")
     members = own.join(placed.hint("merge"), "id").select("comp", "head", "id", "text", "blocks")
     columns = ("comp", "x", "y", "id", "text", "probe")
+    met, used, split = None, [placed], not placed.where("blocks > 1").isEmpty()
+    if split:  # the members are read several times
+        members = materialise(members, "jaccard-members")
+        used.append(members)
     small = members.where("blocks <= 1").select("comp", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "text", F.lit(True).alias("probe"))
-    met, used = None, [placed]
-    if not placed.where("blocks > 1").isEmpty():
+    if split:
         large = materialise(members.where("blocks > 1"), "jaccard-large")
         first = large.where("id = head").groupBy("comp").agg(F.min("text").alias("first"))
         met = large.join(first, "comp").select("comp", "head", "id", "text", "first").mapInArrow(_pivot(words, num, den), "comp long, head long, id long, yes boolean")

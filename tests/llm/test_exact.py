@@ -84,6 +84,23 @@ def test_join_splits_large_components(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 4, 85, 100)
 
 
+def test_large_components_fetch_their_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 10)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [(i, " ".join(f"w{i // 40}x{j}" for j in range(30))) for i in range(80)]
+    nodes = spark.createDataFrame(rows, "id long, text string").mapInArrow(counted, "id long, text string")
+    jobs = spark.createDataFrame([(i // 40, i) for i in range(80)], "job long, id long")
+    links = {(r["a"], r["b"]) for r in jaccard.verified_links(nodes, jobs, 4, 85, 100).collect()}
+    assert {a for a, b in links if b == a // 40 * 40} == {i for i in range(80) if i % 40}
+    assert read.value == 2 * len(rows)  # once for their lengths, once for the texts
+
+
 def test_join_whole_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op10_jaccard_join"](spark, sf).collect()
