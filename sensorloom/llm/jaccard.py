@@ -325,24 +325,39 @@ def candidate_sets(nodes: DataFrame, words: int, num: int, den: int) -> DataFram
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
-    """(level, id, comp): smallest id of the component of each linked id of a level, by label spreading with pointer jumps."""
-    both = materialise(links.select("level", "a", "b").union(links.select("level", "b", "a")), f"{name}-links")
-    labels = materialise(both.groupBy("level", "a").agg(F.min("b").alias("b")).select("level", F.col("a").alias("id"), F.least("a", "b").alias("comp")), f"{name}-0")
-    k = 0
-    while True:
-        k += 1
-        near = both.join(labels.withColumnRenamed("id", "b"), ["level", "b"]).groupBy("level", "a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
-        spread = labels.join(near, ["level", "id"]).select("level", "id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select("level", F.col("id").alias("comp"), F.col("comp").alias("up"))
-        moved = spread.join(jump, ["level", "comp"], "left").select("level", "id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        moved = materialise(moved, f"{name}-{k}")
-        discard(labels)
-        done = moved.where("old <> comp").isEmpty()
-        labels = moved.select("level", "id", "comp")
-        labels.written_to = moved.written_to
-        if done:
-            discard(both)
-            return labels
+    """(level, id, comp): smallest id of the component of each linked id of a level, by contraction.
+
+    In a round each id goes over to the first of itself and its neighbours (by id, later in a random order that changes
+    with the round); links between those that are left go on, ended components do not. So the rows fall from round to round.
+    """
+    edges = materialise(links.select("level", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-links-0")
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
+        k = len(steps)
+        rank = lambda c: F.xxhash64(c, F.lit(k)) if k else F.col(c)  # noqa: B023, E731
+        ends = edges.select("level", F.col("a").alias("id"), "b").union(edges.select("level", F.col("b").alias("id"), F.col("a").alias("b")))
+        near = ends.groupBy("level", "id").agg(F.min(rank("b")).alias("least"), F.min_by("b", rank("b")).alias("b"))
+        step = materialise(near.select("level", "id", F.when(F.col("least") < rank("id"), F.col("b")).otherwise(F.col("id")).alias("up")), f"{name}-{k}")
+        over = lambda end: step.select("level", F.col("id").alias(end), F.col("up").alias(f"up_{end}"))  # noqa: B023, E731
+        moved = edges.join(over("a"), ["level", "a"]).join(over("b"), ["level", "b"]).where("up_a <> up_b")
+        left = materialise(moved.select("level", F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), f"{name}-links-{k + 1}")
+        discard(edges)
+        edges = left
+        steps.append(step)
+    if not steps:
+        empty = edges.select("level", F.col("a").alias("id"), F.col("b").alias("comp"))
+        empty.written_to = edges.written_to
+        return empty
+    roots = steps[-1].select("level", "id", F.col("up").alias("root"))
+    for step in steps[-2::-1]:
+        above = roots.withColumnRenamed("id", "up")
+        roots = step.join(above, ["level", "up"], "left").select("level", "id", F.coalesce("root", "up").alias("root"))
+    roots = materialise(roots, f"{name}-roots")
+    discard(edges, *steps)
+    least = roots.groupBy("level", "root").agg(F.min("id").alias("comp"))
+    labels = materialise(roots.join(least, ["level", "root"]).select("level", "id", "comp"), f"{name}-comps")
+    discard(roots)
+    return labels
 
 
 # --- tree -------------------------------------------------------------------------

@@ -101,6 +101,24 @@ def test_large_components_fetch_their_texts_once(spark, monkeypatch):
     assert read.value == 2 * len(rows)  # once for their lengths, once for the texts
 
 
+def test_components_leave_ended_ones_behind(spark, monkeypatch):
+    written, write = [], jaccard.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    path = [(0, i, i + 1) for i in range(300)]
+    pairs = [(1, 2 * i + 1, 2 * i) for i in range(2000)]
+    ring = [(2, 7 * i % 101, 7 * (i + 1) % 101) for i in range(101)]
+    got = jaccard.components(spark.createDataFrame(path + pairs + ring, "level int, a long, b long").coalesce(1), "test").collect()
+    want = {(0, i, 0) for i in range(301)} | {(1, i, i // 2 * 2) for i in range(4000)} | {(2, i, 0) for i in range(101)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sum(written) < 8 * (len(path) + len(pairs) + len(ring))  # links, steps, roots, result; later rounds have a share of them
+
+
 def test_join_whole_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op10_jaccard_join"](spark, sf).collect()
