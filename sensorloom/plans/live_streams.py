@@ -21,12 +21,11 @@ from sensorloom.streaming import live
 MAX_STEP_S = 36000.0
 
 
-def _replay(spark, d, along: str = "idx") -> tuple[DataFrame, str]:
+def _replay(spark, d) -> tuple[DataFrame, str]:
     """The streams as a readStream over ordered slices, and a fresh folder."""
     folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
     rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
-    width = live.slice_rows(td.largest_recording(spark, d)) if along == "idx" else 3 * 86400
-    live.replay_table(rows, f"{folder}/in", width, along)
+    live.replay_table(rows, f"{folder}/in", live.slice_rows(td.largest_recording(spark, d)))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     return source, folder
 
@@ -36,6 +35,29 @@ def _finish(spark, result: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{folder}/out")
 
 
+def _by_slices(spark, rows: DataFrame, width: int, along: str, operator, mark_s: int | None = None) -> DataFrame:
+    """Result of a live operator whose micro-batches are the slices of a replay.
+
+    A watermark moves between micro-batches only, so no row of a slice is behind one that another file of the slice has
+    moved, however wide slices are. With `mark_s` a marker row so long after the end comes last.
+    """
+    folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
+    run = lambda: _finish(spark, operator(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder)
+    for _ in live.replay_slices(rows, f"{folder}/in", width, along):
+        out = run()
+    if mark_s:
+        _mark_end(spark, rows, folder, mark_s)
+        out = run()
+    return out
+
+
+def _by_days(spark, d, operator, mark_s: int) -> DataFrame:
+    """The same for the streams along event time: as few slices of a long span as of a short one, more only for more rows."""
+    rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
+    count, span_s = td.extent(spark, d)
+    return _by_slices(spark, rows, live.slice_seconds(span_s, count), "ts_s", operator, mark_s)
+
+
 @query(
     "x1_live_filter",
     _filter_sql(
@@ -91,15 +113,12 @@ LATE_SLICE = 256
     WHERE idx % 2 = 0 AND final - first = 13 AND lo > 0 AND hi <= {MAX_STEP_S}""",
 )
 def x2_late(spark, d):
-    folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
     rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
     width = -(-live.slice_rows(td.largest_recording(spark, d), least=LATE_SLICE) // LATE_SLICE) * LATE_SLICE
     ends = rows.groupBy(*RECORDING).agg(F.max("idx").alias("top"))
     late = (F.col("idx") % 97 == 5) & (F.col("idx") % LATE_SLICE < LATE_SLICE - 20) & (F.col("idx") < F.col("top") - 20)
     shown = join_facts(rows, ends, RECORDING, "idx").withColumn("arrival", F.col("idx") + F.when(late, width).otherwise(0)).drop("top")
-    for _ in live.replay_slices(shown, f"{folder}/in", width, "arrival"):  # a micro-batch is a slice
-        source = spark.readStream.schema(shown.schema).parquet(f"{folder}/in")
-        out = _finish(spark, live.live_windows(source, td.SPEC, MAX_STEP_S), folder)
+    out = _by_slices(spark, shown, width, "arrival", lambda source: live.live_windows(source, td.SPEC, MAX_STEP_S))
     return out.select(*RECORDING, "origin", F.element_at("hist_qf", 1).alias("oldest"), F.element_at("hist_qf", -1).alias("newest"), F.element_at("future_qf", -1).alias("y_last"))
 
 
@@ -123,17 +142,15 @@ def x3(spark, d):
 )
 def x3_ends(spark, d):
     """Counters told once per recording, when its timer expires: a marker row far behind the end moves the watermark there."""
-    source, folder = _replay(spark, d, "ts_s")
-    _mark_end(spark, source, folder, 400 * 86400)
-    out = _finish(spark, live.live_ends(source, idle="300 days", delay="7 days"), folder)
+    out = _by_days(spark, d, lambda source: live.live_ends(source, idle="300 days", delay="7 days"), 400 * 86400)
     return out.filter("recording_id is not null")
 
 
-def _mark_end(spark, source: DataFrame, folder: str, after_s: int) -> None:
+def _mark_end(spark, rows: DataFrame, folder: str, after_s: int) -> None:
     """A row without a recording, so long after the last one."""
-    whole = spark.read.schema(source.schema).parquet(f"{folder}/in")
+    whole = spark.read.schema(rows.schema).parquet(f"{folder}/in")
     ends = {"ts_s": F.max("ts_s") + after_s, "idx": F.lit(0).cast("bigint")}
-    whole.agg(*[ends.get(f.name, F.max(F.lit(None).cast(f.dataType))).alias(f.name) for f in source.schema]).write.mode("append").parquet(f"{folder}/in")
+    whole.agg(*[ends.get(f.name, F.max(F.lit(None).cast(f.dataType))).alias(f.name) for f in rows.schema]).write.mode("append").parquet(f"{folder}/in")
 
 
 @query(
@@ -143,8 +160,6 @@ def _mark_end(spark, source: DataFrame, folder: str, after_s: int) -> None:
 )
 def x3_counts(spark, d):
     """All days: a marker row two days after the end moves the watermark past the last of them."""
-    source, folder = _replay(spark, d, "ts_s")
-    _mark_end(spark, source, folder, 2 * 86400)
-    timed = source.withColumn("ts", F.timestamp_seconds("ts_s"))
-    out = _finish(spark, live.live_counts(timed, "ts", "10 minutes", "1 day"), folder).filter("recording_id is not null")
+    counted = lambda source: live.live_counts(source.withColumn("ts", F.timestamp_seconds("ts_s")), "ts", "10 minutes", "1 day")
+    out = _by_days(spark, d, counted, 2 * 86400).filter("recording_id is not null")
     return out.select(*RECORDING, F.floor(F.unix_seconds("window_start") / 86400).alias("day"), "n", "min_qf", "max_qf")

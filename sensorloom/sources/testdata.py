@@ -57,6 +57,13 @@ def largest_recording(spark: SparkSession, sf_dir: str) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def extent(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
+    """Rows of the events, and the seconds from the first to the last."""
+    clock = event_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), ((F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)).alias("span"))
+    n, span = clock.first()
+    return n, span or 0.0
+
+
 def bounded(spark: SparkSession, sf_dir: str) -> bool:
     """True if no group of these tables is too large for one task.
 

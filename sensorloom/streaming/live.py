@@ -13,6 +13,7 @@ one clock: rows behind its watermark (at first: at or before 1970) are dropped b
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -374,6 +375,11 @@ def slice_rows(longest: int, slices: int = 4, least: int = 512, most: int = 1_00
     return min(most, max(least, -(-longest // slices)))
 
 
+def slice_seconds(span_s: float, rows: int, slices: int = 4, most: int = 4_000_000) -> int:
+    """The same along event time: `slices` of them, or as many as hold `most` rows on average."""
+    return max(1, math.ceil(span_s / max(slices, -(-rows // most))))
+
+
 def _start(writer, spark: SparkSession, checkpoint: str, mode: str) -> None:
     """Process everything available and stop. The processors' state needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -56,3 +56,22 @@ def test_late_rows_are_replayed_in_few_slices(spark, monkeypatch):
         live_streams.x2_late(spark, "/root/testdata/sf0.1")
     ((width, last),) = asked
     assert width % live_streams.LATE_SLICE == 0 and last // width < 6
+
+
+def test_slices_along_the_clock_do_not_grow_with_the_span(spark, monkeypatch):
+    """Before, a slice had three days, so that a replay of some years took hundreds of appends."""
+    asked = []
+
+    def slices(rows, path, width, along):
+        low, high = rows.agg({"ts_s": "min"}).first()[0], rows.agg({"ts_s": "max"}).first()[0]
+        asked.append((along, high // width - low // width + 1))
+        raise InterruptedError
+
+    monkeypatch.setattr(live, "replay_slices", slices)
+    for query in (live_streams.x3_ends, live_streams.x3_counts):
+        with pytest.raises(InterruptedError):
+            query(spark, "/root/testdata/sf0.001")
+    assert [a for a, _ in asked] == ["ts_s", "ts_s"] and max(n for _, n in asked) <= 5
+    for days in (30, 1800, 10_800):
+        assert days * 86400 / live.slice_seconds(days * 86400, 100_000) <= 4
+    assert live.slice_seconds(400.0, 40_000_000) == 40  # more rows, more slices
