@@ -11,20 +11,21 @@ from sensorloom.config import RECORDING
 from sensorloom.operators.filtering import SOS_200_HZ
 from sensorloom.operators.forecasts import LINEAR, PERSISTENCE, predict
 from sensorloom.operators.ordering import join_facts
+from sensorloom.operators.windows import build_windows
 from sensorloom.plans.base import BASE, KEY, STEPS, STREAMS, query, r6, streams
-from sensorloom.plans.models import ridge_models
+from sensorloom.plans.models import moments, ridge_models
 from sensorloom.plans.ordered import _filter_sql
-from sensorloom.session import shared_folder
+from sensorloom.session import materialise, shared_folder
 from sensorloom.sources import testdata as td
 from sensorloom.streaming import live
 
 MAX_STEP_S = 36000.0
 
 
-def _replay(spark, d) -> tuple[DataFrame, str]:
-    """The streams as a readStream over ordered slices, and a fresh folder."""
+def _replay(spark, d, written: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """The streams (`written`: a table of them) as a readStream over ordered slices, and a fresh folder."""
     folder = f"{shared_folder(spark)}/sensorloom-live-{uuid.uuid4().hex}"
-    rows = streams(spark, d).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
+    rows = (streams(spark, d) if written is None else written).select(*RECORDING, "dependency_group", "idx", "ts_s", "q_f", "q_w")
     live.replay_table(rows, f"{folder}/in", live.slice_rows(td.largest_recording(spark, d)))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     return source, folder
@@ -88,8 +89,10 @@ def x2(spark, d):
 @query("x2_live_ridge")
 def x2_ridge(spark, d):
     """Selected ridge models, frozen as a table, score the windows as they come; rows as those of `ridge_predict`."""
-    source, folder = _replay(spark, d)
-    live.freeze_models(ridge_models(spark, d, BASE), f"{folder}/models")
+    rows = materialise(streams(spark, d), "streams")  # read by the replay and twice by the windows of the models
+    source, folder = _replay(spark, d, rows)
+    kept = moments(spark, d, build_windows(rows, td.SPEC, td.bounded(spark, d)))
+    live.freeze_models(ridge_models(spark, d, BASE, kept=kept), f"{folder}/models")
     windows = live.live_windows(source, td.SPEC, MAX_STEP_S)
     live.run_ridge(windows, f"{folder}/models", td.SPEC, f"{folder}/out", f"{folder}/state")
     out = spark.read.parquet(f"{folder}/out")

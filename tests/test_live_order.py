@@ -75,3 +75,21 @@ def test_slices_along_the_clock_do_not_grow_with_the_span(spark, monkeypatch):
     for days in (30, 1800, 10_800):
         assert days * 86400 / live.slice_seconds(days * 86400, 100_000) <= 4
     assert live.slice_seconds(400.0, 40_000_000) == 40  # more rows, more slices
+
+
+def test_live_ridge_orders_the_streams_once(spark, monkeypatch):
+    """Before, the replay and the windows of the models each ordered the events."""
+    made, order = [], live_streams.td.streams
+
+    def counted(*a):
+        made.append(order(*a))
+        return made[-1]
+
+    def stop(*a):
+        raise InterruptedError
+
+    monkeypatch.setattr(live_streams.td, "streams", counted)
+    monkeypatch.setattr(live, "run_ridge", stop)
+    with pytest.raises(InterruptedError):
+        live_streams.x2_ridge(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
