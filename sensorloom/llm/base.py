@@ -22,8 +22,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Texts are handed to numpy in blocks of about so many code points (one long text may exceed it).
 BLOCK_CHARS = 2_000_000
 
-#: Arrow batches to Python workers are cut at this size, so long texts cannot fill a worker.
-BATCH_BYTES = 16 << 20
+#: Arrow batches to Python workers are cut at this size, so long texts cannot fill a worker. A worker holds a batch several
+#: times over (as Arrow, as strings, as results) and keeps that memory for its next task, also while later stages need none.
+BATCH_BYTES = 4 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -69,11 +70,11 @@ def unit_hash(*columns: Column, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts of about `limit` code points together."""
+def blocks(texts: list[str], limit: int = BLOCK_CHARS, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about `limit` code points together, and of `most` texts where a row has its price whatever the text."""
     first = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if (size and size + len(t) > limit) or i - first == most:
             yield first, i
             first, size = i, 0
         size += len(t)

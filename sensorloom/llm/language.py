@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from sensorloom.llm.base import blocks, codes, fold, letters, query, table, texts_of, unit_hash
 
 DIMS = 1 << 12
+#: Vectors are made of so many code points and so many texts at a time: a vector takes DIMS numbers, however short its text.
+VECTOR_CHARS, VECTOR_TEXTS = 500_000, 512
 SALTS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Upper ends of the length classes (letters) whose distances are judged apart.
 LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
@@ -83,7 +85,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
         texts = texts_of(batch)
-        for a, b in blocks(texts, 500_000):
+        for a, b in blocks(texts, VECTOR_CHARS, VECTOR_TEXTS):
             seen += (counts(texts[a:b])[0] > 0).sum(0)
             n += b - a
     yield pa.RecordBatch.from_pydict({"dim": np.arange(-1, DIMS), "df": np.concatenate(([n], seen))})
@@ -159,7 +161,7 @@ def fit(train: DataFrame, k: int = 4, sample: int = 600, rounds: int = 8, quanti
     sampled = unit_hash("doc_id", seed=8) < share[F.col("lang")]
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [counts(list(pdf["text"][a:b])) for a, b in blocks(list(pdf["text"]), 500_000)]
+        parts = [counts(list(pdf["text"][a:b])) for a, b in blocks(list(pdf["text"]), VECTOR_CHARS, VECTOR_TEXTS)]
         n = np.concatenate([p[1] for p in parts])
         v = vectors(np.concatenate([p[0] for p in parts]), idf)[n > 0]
         if not len(v):
@@ -184,7 +186,7 @@ def fit(train: DataFrame, k: int = 4, sample: int = 600, rounds: int = 8, quanti
         for batch in batches:
             texts, langs = texts_of(batch), np.array(batch.column(1).to_pylist(), object)
             own = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in blocks(texts, 500_000):
+            for a, b in blocks(texts, VECTOR_CHARS, VECTOR_TEXTS):
                 c, n = counts(texts[a:b])
                 v, of = vectors(c, idf), length_class(n)
                 for i, lang in enumerate(languages):
@@ -206,7 +208,7 @@ def classify(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarr
     if model is None:
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     language, score, rejected = [], [], []
-    for a, b in blocks(texts, 500_000):
+    for a, b in blocks(texts, VECTOR_CHARS, VECTOR_TEXTS):
         c, n = counts(texts[a:b])
         cosine = vectors(c, model.idf) @ model.centroids.T
         at = cosine.argmax(1)
